@@ -94,6 +94,11 @@ def item(ls: str, i: int) -> str:
             f"'summary': nullif({line}, '')}}")
 
 
+def r6(x: str) -> str:
+    """Round to 6 places; ``+ 0.0`` turns a rounded -0.0 into 0.0 as Spark does."""
+    return f"(round({x}, 6) + 0.0)"
+
+
 def sql_str(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
@@ -128,7 +133,7 @@ CTES: dict[str, tuple[str, list[str]]] = {
         CAST(len(embedding) AS INTEGER) AS dim, embedding AS vector, vec_id, label FROM embeddings""", []),
     "raw_vectors": ("""SELECT CAST(vec_id AS VARCHAR) AS id,
         CASE WHEN vec_id % 97 = 0 THEN list_transform(embedding, lambda x: CAST(0.0 AS FLOAT))
-             ELSE list_transform(embedding, lambda x: CAST(x * CAST(vec_id % 7 + 1 AS FLOAT) AS FLOAT)) END AS vector
+             ELSE list_transform(embedding, lambda x: CAST(x * CAST(vec_id % 7 + 1 AS FLOAT) AS FLOAT)) END AS vector, vec_id, label
         FROM embeddings""", []),
     "domains": ("""SELECT CAST(label AS INTEGER) AS domain_id, 'domain-' || CAST(label + 1 AS VARCHAR) AS title,
         'Topic area ' || CAST(label AS VARCHAR) AS description, arg_min(embedding, vec_id) AS vector

@@ -80,7 +80,7 @@ def raw_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     scale = (F.col("vec_id") % 7 + 1).cast("float")
     vec = F.when(F.col("vec_id") % 97 == 0, F.transform("embedding", lambda x: F.lit(0.0).cast("float"))) \
         .otherwise(F.transform("embedding", lambda x: (x * scale).cast("float")))
-    return e.select(F.col("vec_id").cast("string").alias("id"), vec.alias("vector"))
+    return e.select(F.col("vec_id").cast("string").alias("id"), vec.alias("vector"), "vec_id", "label")
 
 
 def domains(spark: SparkSession, sf_dir: str) -> DataFrame:
