@@ -116,3 +116,51 @@ def manifests(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     new_text = F.when(F.col("file_id") % 17 == 0, F.concat("text", F.lit("\n// edited"))).otherwise(F.col("text"))
     new = f.where(F.col("file_id") % 13 != 0).select("path", content_hash(new_text).alias("hash"))
     return old, new
+
+
+# ---------------------------------------------------------------- ontology
+
+ROOT_TOPIC = ("Corpus", "All documents of the corpus")
+
+
+def ont_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of the ontology stand-in: one per embedding, path ``vec/<id>``."""
+    e = node_embeddings(spark, sf_dir)
+    return e.select(F.col("id").alias("file_id"), F.concat(F.lit("vec/"), F.col("id")).alias("path"),
+                    "vector", "vec_id", "label")
+
+
+def ont_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Domains with their 0-based position (= domain_id for the stand-in)."""
+    return domains(spark, sf_dir).withColumn("pos", F.col("domain_id"))
+
+
+def domain_assignment(spark: SparkSession, sf_dir: str, threshold: float = 0.3) -> DataFrame:
+    from canopy.operators.ontology import assign_domains
+    return assign_domains(ont_files(spark, sf_dir), domains(spark, sf_dir), threshold,
+                          keep=["path", "vec_id", "vector"])
+
+
+def subtopic_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """[sub-(vec_id % 3)] (+ sub-0 when vec_id % 4 = 0, a duplicate or a second
+    topic); a few rows carry a wrong path, an unknown title or no title."""
+    a = domain_assignment(spark, sf_dir)
+    empty = F.array().cast("array<string>")
+    v = F.col("vec_id")
+    subs = F.when(v % 60 == 11, empty).otherwise(F.concat(
+        F.array(F.concat(F.lit("sub-"), (v % 3).cast("string"))),
+        F.when(v % 4 == 0, F.array(F.lit("sub-0"))).otherwise(empty),
+        F.when(v % 45 == 2, F.array(F.lit("sub-9"))).otherwise(empty)))
+    path = F.when(v % 50 == 7, F.concat(F.lit("vecx/"), F.col("file_id"))).otherwise(F.col("path"))
+    return a.select("domain_id", path.alias("path"), subs.alias("subtopics"))
+
+
+def subtopic_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Subtopic j of domain d: the vector of label d's (j+2)-th lowest vec_id."""
+    from pyspark.sql import Window
+    e = table(spark, sf_dir, "embeddings")
+    w = Window.partitionBy("label").orderBy("vec_id")
+    r = e.withColumn("_rn", F.row_number().over(w)).where((F.col("_rn") >= 2) & (F.col("_rn") <= 4))
+    return r.select(F.col("label").cast("int").alias("domain_id"), (F.col("_rn") - 2).alias("pos"),
+                    F.concat(F.lit("sub-"), (F.col("_rn") - 2).cast("string")).alias("title"),
+                    F.col("embedding").alias("vector"))
