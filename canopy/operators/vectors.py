@@ -80,20 +80,57 @@ def tokens(text) -> Column:
     return F.filter(F.split(F.lower(t), TOKEN_SPLIT), lambda x: x != "")
 
 
-def embed_texts(df: DataFrame, text: str = "text", dim: int = 64, model: str = "hashed-tf-64") -> DataFrame:
-    """V12/V13 default offline embedder: hashed term frequencies, L2-normalised.
+def token_buckets(text, dim: int) -> Column:
+    """Hash bucket of every token: first 32 bits of md5(token) mod dim."""
+    return F.transform(tokens(text), lambda t: F.pmod(
+        F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("long"), F.lit(dim)).cast("int"))
+
+
+def _hashed_tf_udf(dim: int):
+    @F.pandas_udf(T.ArrayType(T.FloatType()))
+    def hashed_tf_vec(buckets: pd.Series) -> pd.Series:
+        out = []
+        for b in buckets:
+            if b is None:
+                out.append(None)
+                continue
+            c = np.bincount(np.asarray(b, dtype=np.int64), minlength=dim).astype(np.float64)
+            n = np.sqrt(np.dot(c, c))  # exact: integer sum of squares
+            out.append((c / n).astype(np.float32) if n > 0 else c.astype(np.float32))
+        return pd.Series(out)
+    return hashed_tf_vec
+
+
+def hashed_tf(text, dim: int = 64) -> Column:
+    """Unit-length hashed term-frequency vector of a text (whole text).
 
-    ``pyspark.ml`` HashingTF + Normalizer (JVM), converted to ``array<float>``.
-    Distinct texts are embedded once (dedupe by a SHA-256 key, Q9).
+    Buckets are computed JVM-side; the per-row count + L2 normalisation is
+    one ``np.bincount`` per row inside an Arrow batch (no shuffle, linear in
+    tokens).  Counts are integers, so the float64 norm is exact and the
+    result equals the SQL form ``cast(x / sqrt(sum x^2) as float)`` bit for bit.
     """
-    from pyspark.ml.feature import HashingTF, Normalizer
-    from pyspark.ml.functions import vector_to_array
+    return _hashed_tf_udf(dim)(token_buckets(text, dim))
 
+
+def embed_texts(df: DataFrame, text: str = "text", dim: int = 64, method: str = "sql",
+                model: str | None = None) -> DataFrame:
+    """V12/V13 default offline embedder; distinct texts embedded once (Q9 key).
+
+    ``method='sql'``: md5-bucketed hashed TF (reproducible in any SQL engine).
+    ``method='ml'``: ``pyspark.ml`` HashingTF + Normalizer (murmur3 buckets).
+    """
     keyed = df.withColumn("_tkey", F.sha2(F.col(text), 256))
-    uniq = keyed.select("_tkey", text).dropDuplicates(["_tkey"]).withColumn("_tok", tokens(text))
-    tf = HashingTF(inputCol="_tok", outputCol="_tf", numFeatures=dim).transform(uniq)
-    nv = Normalizer(inputCol="_tf", outputCol="_nv", p=2.0).transform(tf)
-    vec = nv.select("_tkey", vector_to_array("_nv", "float32").alias("vector"))
+    uniq = keyed.select("_tkey", text).dropDuplicates(["_tkey"])
+    if method == "ml":
+        from pyspark.ml.feature import HashingTF, Normalizer
+        from pyspark.ml.functions import vector_to_array
+        tf = HashingTF(inputCol="_tok", outputCol="_tf", numFeatures=dim).transform(
+            uniq.withColumn("_tok", tokens(text)))
+        nv = Normalizer(inputCol="_tf", outputCol="_nv", p=2.0).transform(tf)
+        vec = nv.select("_tkey", vector_to_array("_nv", "float32").alias("vector"))
+    else:
+        vec = uniq.select("_tkey", hashed_tf(text, dim).alias("vector"))
+    model = model or f"hashed-tf-{method}-{dim}"
     return (keyed.join(vec, "_tkey", "left").drop("_tkey")
             .withColumn("model", F.lit(model)).withColumn("dim", F.lit(dim)))
 

@@ -146,8 +146,13 @@ CTES: dict[str, tuple[str, list[str]]] = {
 }
 
 
-def add_cte(name: str, sql: str, deps: list[str]) -> None:
+MATERIALIZE: set[str] = set()
+
+
+def add_cte(name: str, sql: str, deps: list[str], materialize: bool = False) -> None:
     CTES[name] = (sql, deps)
+    if materialize:
+        MATERIALIZE.add(name)
 
 
 def with_ctes(body: str, *names: str) -> str:
@@ -164,4 +169,5 @@ def with_ctes(body: str, *names: str) -> str:
         visit(n)
     if not order:
         return body
-    return "WITH " + ",\n".join(f"{n} AS ({CTES[n][0]})" for n in order) + "\n" + body
+    return "WITH " + ",\n".join(
+        f"{n} AS {'MATERIALIZED ' if n in MATERIALIZE else ''}({CTES[n][0]})" for n in order) + "\n" + body
