@@ -141,8 +141,8 @@ CTES: dict[str, tuple[str, list[str]]] = {
     "subtopics": ("""SELECT domain_id, pos, 'sub-' || CAST(pos AS VARCHAR) AS title,
         'Subtopic ' || CAST(pos AS VARCHAR) || ' of domain ' || CAST(domain_id AS VARCHAR) AS description
         FROM domains, (SELECT unnest([0, 1, 2]) AS pos)""", ["domains"]),
-    "prices": ("""SELECT * FROM (VALUES ('model_a', 0.6, 2.4), ('model_b', 3.0, 15.0), ('model_c', 0.1, 0.4))
-        AS t(model, input_price, output_price)""", []),
+    "prices": ("""SELECT model, CAST(i AS DOUBLE) AS input_price, CAST(o AS DOUBLE) AS output_price FROM
+        (VALUES ('model_a', 0.6, 2.4), ('model_b', 3.0, 15.0), ('model_c', 0.1, 0.4)) AS t(model, i, o)""", []),
 }
 
 

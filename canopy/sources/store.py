@@ -33,11 +33,16 @@ class TableStore:
     def _pointer(self, name: str) -> str:
         return f"{self.root}/{name}/_current"
 
+    def _exists(self, path: str) -> bool:
+        """File-system existence check through the session's Hadoop configuration."""
+        jvm = self.spark.sparkContext._jvm
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
     def version(self, name: str) -> str | None:
-        try:
-            row = self.spark.read.text(self._pointer(name)).first()
-        except Exception:  # no table yet
+        if not self._exists(self._pointer(name)):
             return None
+        row = self.spark.read.text(self._pointer(name)).first()
         return row.value if row else None
 
     def exists(self, name: str) -> bool:
