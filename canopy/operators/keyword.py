@@ -14,7 +14,8 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from canopy.operators.vectors import tokens
@@ -25,10 +26,16 @@ RRF_K = 60
 MAX_QUERY_TERMS = 1_000_000
 
 
-def postings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc, term, tf, dl) for every distinct term of every document."""
+def postings(docs: DataFrame, key: str = "doc_id", text: str = "text", terms: DataFrame | None = None) -> DataFrame:
+    """(doc, term, tf, dl) per distinct term of each document.
+
+    With ``terms`` (a small, broadcast set) only postings of those terms are
+    aggregated: the filter runs right after the explode, before the shuffle.
+    """
     t = docs.select(key, tokens(text).alias("_t"))
     ex = t.select(key, F.size("_t").alias("dl"), F.explode("_t").alias("term"))
+    if terms is not None:
+        ex = ex.join(F.broadcast(terms), "term", "left_semi")
     return ex.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
 
 
@@ -40,13 +47,27 @@ def corpus_stats(docs: DataFrame, text: str = "text") -> tuple[int, float]:
 
 def bm25_scores(docs: DataFrame, queries: DataFrame, key: str = "doc_id", text: str = "text",
                 k1: float = K1, b: float = B) -> DataFrame:
-    """(query_id, doc, score) for every document sharing a term with a query."""
-    n, avgdl = corpus_stats(docs, text)
+    """(query_id, doc, score) for every document sharing a term with a query.
+
+    One pass over the documents: tokenise, observe N and the total length
+    (``DataFrame.observe``), keep only postings of query terms, aggregate.
+    The (small) filtered postings are persisted so the scoring stage reuses
+    them after the corpus statistics are known.
+    """
     q = queries.select("query_id", F.explode(F.array_distinct(tokens("text"))).alias("term")).distinct()
-    if q.limit(MAX_QUERY_TERMS + 1).count() > MAX_QUERY_TERMS:
-        raise ValueError("query batch has too many distinct terms for one broadcast")
     qterms = q.select("term").distinct()
-    post = postings(docs, key, text).join(F.broadcast(qterms), "term", "left_semi")
+    if qterms.limit(MAX_QUERY_TERMS + 1).count() > MAX_QUERY_TERMS:
+        raise ValueError("query batch has too many distinct terms for one broadcast")
+    obs = Observation("bm25_corpus")
+    t = docs.select(key, tokens(text).alias("_t")).select(key, F.size("_t").alias("dl"), "_t") \
+        .observe(obs, F.count(F.lit(1)).alias("n"), F.sum("dl").alias("sdl"))
+    ex = t.select(key, "dl", F.explode("_t").alias("term")).join(F.broadcast(qterms), "term", "left_semi")
+    post = ex.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl")) \
+        .persist(StorageLevel.MEMORY_AND_DISK)
+    post.count()
+    m = obs.get
+    n = int(m.get("n") or 0)
+    avgdl = float(m.get("sdl") or 0) / n if n else 1.0
     df = post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0)
     w = post.join(F.broadcast(df.select("term", idf.alias("idf"))), "term")

@@ -86,30 +86,43 @@ def token_buckets(text, dim: int) -> Column:
         F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("long"), F.lit(dim)).cast("int"))
 
 
-def _hashed_tf_udf(dim: int):
-    @F.pandas_udf(T.ArrayType(T.FloatType()))
-    def hashed_tf_vec(buckets: pd.Series) -> pd.Series:
-        out = []
-        for b in buckets:
-            if b is None:
-                out.append(None)
-                continue
-            c = np.bincount(np.asarray(b, dtype=np.int64), minlength=dim).astype(np.float64)
-            n = np.sqrt(np.dot(c, c))  # exact: integer sum of squares
-            out.append((c / n).astype(np.float32) if n > 0 else c.astype(np.float32))
-        return pd.Series(out)
-    return hashed_tf_vec
+def _hashed_tf_batches(keys: list[str], dim: int):
+    """Arrow-batch function: list<int> buckets -> list<float> unit vectors.
 
+    One ``np.bincount`` over the whole batch (row * dim + bucket), row-wise
+    L2 normalisation, zero-copy list output.  Counts are integers, so the
+    float64 norm is exact and the result equals the SQL form
+    ``cast(x / sqrt(sum x^2) as float)`` bit for bit.
+    """
+    import pyarrow as pa
+
+    def run(batches):
+        for rb in batches:
+            n = rb.num_rows
+            col = rb.column(rb.schema.get_field_index("_b"))
+            offsets = np.asarray(col.offsets, dtype=np.int64)
+            flat = np.asarray(col.values.to_numpy(zero_copy_only=False), dtype=np.int64)
+            lens = np.diff(offsets)
+            rows = np.repeat(np.arange(n, dtype=np.int64), lens)
+            c = np.bincount(rows * dim + flat, minlength=n * dim).astype(np.float64).reshape(n, dim)
+            nrm = np.sqrt(np.einsum("ij,ij->i", c, c))
+            v = np.where(nrm[:, None] > 0, c / np.where(nrm > 0, nrm, 1.0)[:, None], c).astype(np.float32)
+            vec = pa.ListArray.from_arrays(pa.array(np.arange(0, n * dim + 1, dim, dtype=np.int32)),
+                                           pa.array(v.reshape(-1)))
+            if col.null_count:
+                vec = pa.ListArray.from_arrays(vec.offsets, vec.values, mask=col.is_null())
+            arrays = [rb.column(rb.schema.get_field_index(k)) for k in keys] + [vec]
+            yield pa.RecordBatch.from_arrays(arrays, names=keys + ["vector"])
+    return run
 
-def hashed_tf(text, dim: int = 64) -> Column:
-    """Unit-length hashed term-frequency vector of a text (whole text).
 
-    Buckets are computed JVM-side; the per-row count + L2 normalisation is
-    one ``np.bincount`` per row inside an Arrow batch (no shuffle, linear in
-    tokens).  Counts are integers, so the float64 norm is exact and the
-    result equals the SQL form ``cast(x / sqrt(sum x^2) as float)`` bit for bit.
-    """
-    return _hashed_tf_udf(dim)(token_buckets(text, dim))
+def hashed_tf_vectors(df: DataFrame, keys: list[str], text: str = "text", dim: int = 64) -> DataFrame:
+    """(keys..., vector) with the unit-length hashed term-frequency vector of
+    each (whole) text: buckets JVM-side, counting per Arrow batch."""
+    src = df.select(*keys, token_buckets(text, dim).alias("_b"))
+    fields = [f for f in src.schema.fields if f.name in keys]
+    schema = T.StructType(fields + [T.StructField("vector", T.ArrayType(T.FloatType()))])
+    return src.mapInArrow(_hashed_tf_batches(list(keys), dim), schema)
 
 
 def embed_texts(df: DataFrame, text: str = "text", dim: int = 64, method: str = "sql",
@@ -129,7 +142,7 @@ def embed_texts(df: DataFrame, text: str = "text", dim: int = 64, method: str =
         nv = Normalizer(inputCol="_tf", outputCol="_nv", p=2.0).transform(tf)
         vec = nv.select("_tkey", vector_to_array("_nv", "float32").alias("vector"))
     else:
-        vec = uniq.select("_tkey", hashed_tf(text, dim).alias("vector"))
+        vec = hashed_tf_vectors(uniq, ["_tkey"], text, dim)
     model = model or f"hashed-tf-{method}-{dim}"
     return (keyed.join(vec, "_tkey", "left").drop("_tkey")
             .withColumn("model", F.lit(model)).withColumn("dim", F.lit(dim)))
@@ -237,32 +250,48 @@ _BATCH_OUT = T.StructType([
 
 def _partial_topk_fn(qids: np.ndarray, qmat: np.ndarray, k: int, id_col: str, vec: str,
                      min_score: float | None):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if pdf.empty:
+    """Arrow-batch scorer: one (rows x queries) matrix product per batch and
+    the batch's top-k per query (ties at the k-th score kept, then cut by id)."""
+    import pyarrow as pa
+    dim = qmat.shape[1]
+
+    def run(batches):
+        for rb in batches:
+            n = rb.num_rows
+            if n == 0:
                 continue
-            ids = pdf[id_col].to_numpy()
-            m = np.stack([np.asarray(v, dtype=np.float64) for v in pdf[vec]])
-            s = m @ qmat.T  # (rows, queries)
+            ids = rb.column(rb.schema.get_field_index(id_col)).to_numpy(zero_copy_only=False)
+            col = rb.column(rb.schema.get_field_index(vec))
+            lens = np.diff(np.asarray(col.offsets, dtype=np.int64))
+            flat = np.asarray(col.values.to_numpy(zero_copy_only=False), dtype=np.float64)
+            ok = (lens == dim) & ~np.asarray(col.is_null().to_numpy(zero_copy_only=False), dtype=bool)
+            if ok.all():
+                m = flat.reshape(n, dim)
+            else:  # ragged or null vectors: score only the well-formed rows
+                m = np.zeros((n, dim))
+                starts = np.asarray(col.offsets, dtype=np.int64)[:-1]
+                for r in np.nonzero(ok)[0]:
+                    m[r] = flat[starts[r] - starts[0]:starts[r] - starts[0] + dim]
+            s = m @ qmat.T
             out_q, out_i, out_s = [], [], []
-            n = s.shape[0]
             for j in range(s.shape[1]):
-                col = s[:, j]
+                colj = np.where(ok, s[:, j], -np.inf)
+                valid = np.nonzero(ok)[0]
                 if min_score is not None:
-                    cand = np.nonzero(col >= min_score)[0]
-                elif n > k:
-                    kth = np.partition(col, n - k)[n - k]
-                    cand = np.nonzero(col >= kth)[0]  # keeps ties at the boundary
+                    cand = valid[colj[valid] >= min_score]
+                elif len(valid) > k:
+                    kth = np.partition(colj[valid], len(valid) - k)[len(valid) - k]
+                    cand = valid[colj[valid] >= kth]
                 else:
-                    cand = np.arange(n)
-                if len(cand) > k and min_score is None:
-                    order = np.lexsort((ids[cand], -col[cand]))[:k]
-                    cand = cand[order]
+                    cand = valid
+                if min_score is None and len(cand) > k:
+                    cand = cand[np.lexsort((ids[cand], -colj[cand]))[:k]]
                 out_q.append(np.full(len(cand), qids[j], dtype=np.int64))
                 out_i.append(ids[cand])
-                out_s.append(col[cand])
-            yield pd.DataFrame({"query_id": np.concatenate(out_q), "id": np.concatenate(out_i),
-                                "score": np.concatenate(out_s)})
+                out_s.append(colj[cand])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate(out_q)), pa.array(np.concatenate(out_i).astype(object), pa.string()),
+                 pa.array(np.concatenate(out_s))], names=["query_id", "id", "score"])
     return run
 
 
@@ -274,25 +303,24 @@ def score_batch(corpus: DataFrame, queries: DataFrame, k: int | None, id_col: st
     The query matrix travels inside the task closure (Spark broadcasts large
     closures); its size is checked and big batches are split into blocks.
     """
-    cnt = queries.count()
-    dim_row = queries.select(F.size("vector").alias("d")).first()
-    dim = dim_row["d"] if dim_row else 0
-    per_query = max(dim, 1) * 8
-    block = max(1, max_broadcast_bytes // per_query)
-    parts = []
     qsorted = queries.select(F.col("query_id").cast("long").alias("query_id"), "vector")
+    stats = qsorted.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vector")).alias("d")).first()
+    cnt, dim = int(stats["n"]), int(stats["d"] or 0)
+    block = max(1, max_broadcast_bytes // (max(dim, 1) * 8))
     nblk = max(1, (cnt + block - 1) // block)
     # Blocks by hash of the query id: no global sort of the query set.
     qsorted = qsorted.withColumn("_blk", F.pmod(F.xxhash64("query_id"), F.lit(nblk)))
+    parts = []
     src = corpus.select(F.col(id_col).cast("string").alias(id_col), vec)
     for b in range(nblk):
-        rows = qsorted.where(F.col("_blk") == b).select("query_id", "vector").collect()
+        sel = qsorted if nblk == 1 else qsorted.where(F.col("_blk") == b)
+        rows = sel.select("query_id", "vector").collect()
         if not rows:
             continue
         qids = np.array([r[0] for r in rows], dtype=np.int64)
         qmat = np.stack([np.asarray(r[1], dtype=np.float64) for r in rows])
         fn = _partial_topk_fn(qids, qmat, k if k is not None else 0, id_col, vec, min_score)
-        parts.append(src.mapInPandas(fn, _BATCH_OUT))
+        parts.append(src.mapInArrow(fn, _BATCH_OUT))
     if not parts:
         return corpus.sparkSession.createDataFrame([], _BATCH_OUT)
     out = parts[0]
