@@ -25,6 +25,10 @@ BOUNDARY = {
 }
 
 
+def _matching_lines(ls: Column, idx: Column, pattern: str) -> Column:
+    return F.filter(idx, lambda i: F.get(ls, i).rlike(pattern))
+
+
 def boundaries(text, pattern, language_col: str = "language") -> Column:
     """0-based line numbers where a chunk starts.
 
@@ -37,7 +41,7 @@ def boundaries(text, pattern, language_col: str = "language") -> Column:
     if isinstance(pattern, dict):
         expr = None
         for lang, pat in pattern.items():
-            b = empty if pat is None else F.filter(idx, lambda i, p=pat: F.get(ls, i).rlike(p))
+            b = empty if pat is None else _matching_lines(ls, idx, pat)
             cond = F.col(language_col) == lang
             expr = F.when(cond, b) if expr is None else expr.when(cond, b)
         return expr.otherwise(empty)
