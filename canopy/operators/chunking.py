@@ -53,12 +53,18 @@ def declaration_chunks(files: DataFrame, pattern, key: str = "file_id",
     """One row per boundary segment: key, pos, start_line, end_line, text."""
     ls = lines("text")
     st = files.select(key, ls.alias("_ls"), boundaries("text", pattern, language_col).alias("_b"))
-    ex = st.select(key, "_ls", "_b", F.posexplode("_b").alias("pos", "start_line"))
-    nxt = F.get(F.col("_b"), F.col("pos") + 1)
-    end = F.coalesce(nxt - 1, F.size("_ls") - 1)
-    return ex.select(
-        key, "pos", "start_line", end.alias("end_line"),
-        F.array_join(F.slice("_ls", F.col("start_line") + 1, end - F.col("start_line") + 1), "\n").alias("text"))
+    # Build every segment inside the row first (each line copied once), then
+    # explode the small segment structs -- never the whole line array per segment.
+    b = F.col("_b")
+    segs = F.transform(b, lambda s, j: F.struct(
+        j.alias("pos"), s.alias("start_line"),
+        F.coalesce(F.get(b, j + 1) - 1, F.size("_ls") - 1).alias("end_line")))
+    segs = F.transform(segs, lambda x: F.struct(
+        x["pos"].alias("pos"), x["start_line"].alias("start_line"), x["end_line"].alias("end_line"),
+        F.array_join(F.slice(F.col("_ls"), x["start_line"] + 1, x["end_line"] - x["start_line"] + 1), "\n")
+        .alias("text")))
+    ex = st.select(key, F.explode(segs).alias("_s"))
+    return ex.select(key, "_s.pos", "_s.start_line", "_s.end_line", "_s.text")
 
 
 def chunk_fallback(files: DataFrame, pattern, key: str = "file_id",

@@ -13,6 +13,7 @@ from canopy.plans.catalog import r6, register
 from canopy.plans.q_ontology import _topics
 from canopy.sources import standins as st
 from canopy.sources.tables import table
+from canopy.session import cut_lineage
 
 K = 20           # context search k (pool = 2k)
 TOPK = 10
@@ -71,13 +72,17 @@ o.add_cte("pool", f"""SELECT q.query_id, n.id, n.kind, {o.dot('n.vector', 'q.vec
 
 
 def _ctx_inputs(spark, d):
-    s = st.summaries(spark, d)
-    nodes = vo.embed_texts(vo.embedding_texts(s)).select("id", "vector")
-    q = vo.embed_texts(table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")) \
-        .select("query_id", "vector")
-    topics = _topics(spark, d)
+    """Stored-table stand-ins of a context search: summaries, node vectors,
+    query vectors, topics and topic vectors.  In production these are tables
+    written by the build; here they are derived once and checkpointed into
+    the shared checkpoint folder so the search's several actions reuse them."""
+    s = cut_lineage(st.summaries(spark, d))
+    nodes = cut_lineage(vo.embed_texts(vo.embedding_texts(s)).select("id", "vector"))
+    q = cut_lineage(vo.embed_texts(table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text"))
+                    .select("query_id", "vector"))
+    topics = cut_lineage(_topics(spark, d))
     tv = vo.embed_texts(topics.select("id", embed_text("title", "description").alias("text"))).select("id", "vector")
-    return s, nodes, q, topics, tv
+    return s, nodes, q, topics, cut_lineage(tv)
 
 
 _CTX_COLS = ["query_id", "category", "rank", "id", "score", "title", "description"]
