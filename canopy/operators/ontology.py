@@ -118,12 +118,8 @@ def cluster_sizes(assign: DataFrame, domains: DataFrame) -> DataFrame:
         "domain_id", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
 
 
-def cluster_quality(assign: DataFrame, vec: str = "vector") -> DataFrame:
-    """A4: pair-weighted mean cosine inside clusters, without forming pairs.
-
-    Unit vectors u (zero stays zero, as cosine 0):  per cluster S = sum u,
-    Q = sum |u|^2, n = size; pair sum = (|S|^2 - Q) / 2, pairs = n(n-1)/2.
-    """
+def _cluster_sums(assign: DataFrame, vec: str = "vector") -> DataFrame:
+    """Per cluster: n, Q = sum |u|^2 and |S|^2 with S = sum u (u = unit vectors)."""
     nrm = F.sqrt(norm_sq(vec))
     u = F.when(nrm == 0, F.transform(vec, lambda x: F.lit(0.0))) \
         .otherwise(F.transform(vec, lambda x: x.cast("double") / nrm))
@@ -133,10 +129,26 @@ def cluster_quality(assign: DataFrame, vec: str = "vector") -> DataFrame:
     s2 = per_dim.groupBy("domain_id").agg(F.sum(F.col("s") * F.col("s")).alias("s2"))
     nq = a.groupBy("domain_id").agg(F.count(F.lit(1)).alias("n"), F.sum(norm_sq("u")).alias("q"))
     j = nq.join(s2, "domain_id", "left")
-    pairs = F.col("n") * (F.col("n") - 1) / 2
+    pairs = F.when(F.col("n") >= 2, F.col("n") * (F.col("n") - 1) / 2).otherwise(0).cast("long")
     psum = F.when(F.col("n") >= 2, (F.coalesce("s2", F.lit(0.0)) - F.col("q")) / 2).otherwise(F.lit(0.0))
-    t = j.agg(F.sum(F.when(F.col("n") >= 2, pairs).otherwise(0)).cast("long").alias("n_pairs"),
-              F.sum(psum).alias("_ps"))
+    return j.select("domain_id", pairs.alias("n_pairs"), psum.alias("pair_sum"))
+
+
+def intra_cluster_pairs(assign: DataFrame, vec: str = "vector") -> DataFrame:
+    """J8 re-aimed: per cluster the number of pairs i<j and their mean cosine,
+    from the sum-vector identity -- the pairs themselves are never formed."""
+    c = _cluster_sums(assign, vec)
+    return c.select("domain_id", "n_pairs", F.when(F.col("n_pairs") > 0, F.col("pair_sum") / F.col("n_pairs"))
+                    .otherwise(F.lit(0.0)).alias("avg_similarity"))
+
+
+def cluster_quality(assign: DataFrame, vec: str = "vector") -> DataFrame:
+    """A4: pair-weighted mean cosine inside clusters, without forming pairs.
+
+    Unit vectors u (zero stays zero, as cosine 0):  per cluster S = sum u,
+    Q = sum |u|^2, n = size; pair sum = (|S|^2 - Q) / 2, pairs = n(n-1)/2.
+    """
+    t = _cluster_sums(assign, vec).agg(F.sum("n_pairs").cast("long").alias("n_pairs"), F.sum("pair_sum").alias("_ps"))
     return t.select(F.coalesce("n_pairs", F.lit(0).cast("long")).alias("n_pairs"),
                     F.when(F.col("n_pairs") > 0, F.col("_ps") / F.col("n_pairs")).otherwise(F.lit(0.0))
                     .alias("avg_similarity"))

@@ -138,6 +138,16 @@ def _links(spark, d):
                              st.ont_domains(spark, d), st.subtopics(spark, d))
 
 
+@register("intra_cluster_pairs", o.with_ctes(f"""SELECT a.domain_id, count(*) AS n_pairs,
+      {o.r6('avg(' + o.cosine('a.vector', 'b.vector') + ')')} AS avg_similarity
+    FROM dassign a JOIN dassign b ON a.domain_id = b.domain_id AND a.file_id < b.file_id
+    GROUP BY a.domain_id HAVING count(*) > 0""", "dassign"))
+def q_intra_cluster_pairs(spark, d):
+    """Per-domain pair count and mean cosine (identity; the oracle joins pairs)."""
+    p = on.intra_cluster_pairs(_assign(spark, d)).where(F.col("n_pairs") > 0)
+    return p.select("domain_id", "n_pairs", r6("avg_similarity").alias("avg_similarity"))
+
+
 @register("ontology_topics", o.with_ctes("SELECT * FROM topics", "topics"))
 def q_ontology_topics(spark, d):
     return _topics(spark, d)
@@ -272,12 +282,19 @@ _VALIDATION_SQL = """SELECT len(issues) = 0 AS passed, array_to_string(issues, '
                    (SELECT avg_similarity FROM quality) AS similarity))"""
 
 
+def _one_row(*frames):
+    """Combine one-row frames with disjoint columns (union + max, no join)."""
+    u = frames[0]
+    for f in frames[1:]:
+        u = u.unionByName(f, allowMissingColumns=True)
+    return u.agg(*[F.max(c).alias(c) for c in u.columns])
+
+
 def _metrics(spark, d):
-    cov = _coverage(spark, d).select(F.col("coverage_distinct").alias("coverage"), F.lit(1).alias("_k"))
-    q = on.cluster_quality(_assign(spark, d)).select(F.col("avg_similarity").alias("similarity"), F.lit(1).alias("_k"))
-    nd = st.domains(spark, d).agg(on.call_count(F.count(F.lit(1))).alias("calls")).withColumn("_k", F.lit(1))
-    m = cov.join(q, "_k").join(nd, "_k").withColumn("total_ms", F.lit(0).cast("long")).drop("_k")
-    return m
+    cov = _coverage(spark, d).select(F.col("coverage_distinct").alias("coverage"))
+    q = on.cluster_quality(_assign(spark, d)).select(F.col("avg_similarity").alias("similarity"))
+    nd = st.domains(spark, d).agg(on.call_count(F.count(F.lit(1))).alias("calls"))
+    return _one_row(cov, q, nd).withColumn("total_ms", F.lit(0).cast("long"))
 
 
 @register("ontology_validation", o.with_ctes(_VALIDATION_SQL, "cov_pct", "quality", "domains"))
@@ -293,10 +310,9 @@ def q_ontology_validation(spark, d):
     + _VALIDATION_SQL + ") v", "topics", "links", "cov_pct", "quality", "domains"))
 def q_ontology_export(spark, d):
     """O8 with the real metrics (Q12), not constants."""
-    s = on.ontology_stats(_topics(spark, d), _links(spark, d)).withColumn("_k", F.lit(1))
-    v = on.validation(_metrics(spark, d)).select("passed", F.array_join("issues", "; ").alias("issues")) \
-        .withColumn("_k", F.lit(1))
-    return s.join(v, "_k").select("total_topics", "total_links", "max_depth", "passed", "issues")
+    s = on.ontology_stats(_topics(spark, d), _links(spark, d))
+    v = on.validation(_metrics(spark, d)).select("passed", F.array_join("issues", "; ").alias("issues"))
+    return _one_row(s, v).select("total_topics", "total_links", "max_depth", "passed", "issues")
 
 
 o.add_cte("sub_scores", f"""SELECT a.file_id, a.domain_id, s.title, s.pos, {o.cosine('a.vector', 's.vector')} AS score

@@ -122,6 +122,16 @@ def q_context_counts(spark, d):
     return rt.context_counts(rt.context_search(q, topics, tv, nodes, s, K))
 
 
+@register("relevance_pct", o.with_ctes(
+    "SELECT query_id, category, id, round(score * 100, 1) + 0.0 AS relevance FROM ctx_hits", "ctx_hits"))
+def q_relevance_pct(spark, d):
+    """Relevance of each file / chunk hit as a percentage with one decimal."""
+    from canopy.functions.text import relevance_pct
+    s, nodes, q, topics, tv = _ctx_inputs(spark, d)
+    h = rt.context_hits(q, nodes, s, K)
+    return h.select("query_id", "category", "id", relevance_pct("score").alias("relevance"))
+
+
 @register("context_search_empty")
 def q_context_search_empty(spark, d):
     """A model with no stored vectors gives an empty, typed answer."""
