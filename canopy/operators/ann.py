@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from canopy.functions.vector import dot, vec_lit
+from canopy.functions.vector import dot, dot_array
 
 MAX_PIVOTS = 4096
 
@@ -30,7 +30,7 @@ def collect_pivots(pivots: DataFrame) -> list:
 
 
 def _pivot_scores(piv: list, vec: str):
-    return F.array(*[dot(vec, vec_lit(v)) for _, v in piv])
+    return dot_array(vec, [v for _, v in piv])
 
 
 def assign_lists(corpus: DataFrame, pivots: DataFrame, vec: str = "vector") -> DataFrame:

@@ -22,7 +22,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from canopy.functions.vector import cosine, norm_sq, vec_lit
+from canopy.functions.vector import cosine, cosine_array, norm_sq
 
 MAX_DOMAINS = 64
 THRESHOLD = 0.3
@@ -40,16 +40,22 @@ def collect_domains(domains: DataFrame, max_domains: int = MAX_DOMAINS) -> list:
     return [(r[0], list(r[1])) for r in rows]
 
 
-def _score_array(doms: list, vec: str = "vector") -> Column:
+def _score_array(doms: list, vec: str = "vector", na: str = "_na") -> Column:
     """Full cosine (V3 semantics) of the row's vector to each domain, in id order."""
-    return F.array(*[cosine(vec, vec_lit(v)) for _, v in doms]) if doms else F.array().cast("array<double>")
+    return cosine_array(vec, na, [v for _, v in doms])
+
+
+def _with_norm(files: DataFrame, cols: list[str], vec: str) -> DataFrame:
+    """Project ``cols`` plus the vector and its squared norm (computed once per row)."""
+    keep = list(dict.fromkeys(cols + [vec]))
+    return files.select(*keep, norm_sq(vec).alias("_na"))
 
 
 def domain_scores(files: DataFrame, domains: DataFrame, key: str = "file_id", vec: str = "vector") -> DataFrame:
     """Score of each file for each domain (files x domains rows)."""
     doms = collect_domains(domains)
     ids = F.array(*[F.lit(d) for d, _ in doms])
-    s = files.select(key, F.posexplode(_score_array(doms, vec)).alias("_i", "score"))
+    s = _with_norm(files, [key], vec).select(key, F.posexplode(_score_array(doms, vec)).alias("_i", "score"))
     return s.select(key, F.get(ids, F.col("_i")).alias("domain_id"), "score")
 
 
@@ -61,7 +67,7 @@ def assign_domains(files: DataFrame, domains: DataFrame, threshold: float = THRE
     keep = keep or []
     ids = F.array(*[F.lit(d) for d, _ in doms])
     n = len(doms)
-    t = files.select(key, *keep, _score_array(doms, vec).alias("_s"))
+    t = _with_norm(files, [key] + keep, vec).select(key, *keep, _score_array(doms, vec).alias("_s"))
     idx = F.sequence(F.lit(0), F.lit(n - 1))
     above = F.filter(idx, lambda i: F.get(F.col("_s"), i) >= threshold)
     best = F.array_position(F.col("_s"), F.array_max("_s")).cast("int") - 1
@@ -75,7 +81,7 @@ def best_domain(files: DataFrame, domains: DataFrame, key: str = "file_id", vec:
     """Arg-max domain per file (strict '>' scan: lowest id wins ties)."""
     doms = collect_domains(domains)
     ids = F.array(*[F.lit(d) for d, _ in doms])
-    t = files.select(key, _score_array(doms, vec).alias("_s"))
+    t = _with_norm(files, [key], vec).select(key, _score_array(doms, vec).alias("_s"))
     i = F.array_position(F.col("_s"), F.array_max("_s")).cast("int") - 1
     return t.select(key, F.get(ids, i).alias("domain_id"), F.array_max("_s").alias("score"))
 
@@ -84,7 +90,7 @@ def unassigned_files(files: DataFrame, domains: DataFrame, threshold: float = TH
                      key: str = "file_id", vec: str = "vector") -> DataFrame:
     """Files with no domain at or above the threshold."""
     doms = collect_domains(domains)
-    t = files.select(key, F.array_max(_score_array(doms, vec)).alias("max_score"))
+    t = _with_norm(files, [key], vec).select(key, F.array_max(_score_array(doms, vec)).alias("max_score"))
     return t.where(~(F.col("max_score") >= threshold)).select(key)
 
 
@@ -119,19 +125,25 @@ def cluster_sizes(assign: DataFrame, domains: DataFrame) -> DataFrame:
 
 
 def _cluster_sums(assign: DataFrame, vec: str = "vector") -> DataFrame:
-    """Per cluster: n, Q = sum |u|^2 and |S|^2 with S = sum u (u = unit vectors)."""
+    """Per cluster: pairs n(n-1)/2 and the pair-cosine sum (|S|^2 - Q) / 2, with
+    S = sum u, Q = sum |u|^2 over unit vectors u (zero vectors stay zero).
+
+    One grouped aggregation: ``Summarizer.sum`` adds the unit vectors as ML
+    vectors (a JVM aggregate with map-side partial sums), so a cluster of any
+    size costs one buffer of ``dim`` doubles per partition.
+    """
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
     nrm = F.sqrt(norm_sq(vec))
     u = F.when(nrm == 0, F.transform(vec, lambda x: F.lit(0.0))) \
         .otherwise(F.transform(vec, lambda x: x.cast("double") / nrm))
-    a = assign.select("domain_id", u.alias("u"))
-    per_dim = (a.select("domain_id", F.posexplode("u").alias("pos", "x"))
-               .groupBy("domain_id", "pos").agg(F.sum("x").alias("s")))
-    s2 = per_dim.groupBy("domain_id").agg(F.sum(F.col("s") * F.col("s")).alias("s2"))
-    nq = a.groupBy("domain_id").agg(F.count(F.lit(1)).alias("n"), F.sum(norm_sq("u")).alias("q"))
-    j = nq.join(s2, "domain_id", "left")
+    a = assign.select("domain_id", u.alias("u")).select("domain_id", "u", norm_sq("u").alias("_q"))
+    g = a.groupBy("domain_id").agg(F.count(F.lit(1)).alias("n"), F.sum("_q").alias("q"),
+                                   Summarizer.sum(array_to_vector("u")).alias("_s"))
+    s2 = norm_sq(vector_to_array("_s"))
     pairs = F.when(F.col("n") >= 2, F.col("n") * (F.col("n") - 1) / 2).otherwise(0).cast("long")
-    psum = F.when(F.col("n") >= 2, (F.coalesce("s2", F.lit(0.0)) - F.col("q")) / 2).otherwise(F.lit(0.0))
-    return j.select("domain_id", pairs.alias("n_pairs"), psum.alias("pair_sum"))
+    psum = F.when(F.col("n") >= 2, (s2 - F.col("q")) / 2).otherwise(F.lit(0.0))
+    return g.select("domain_id", pairs.alias("n_pairs"), psum.alias("pair_sum"))
 
 
 def intra_cluster_pairs(assign: DataFrame, vec: str = "vector") -> DataFrame:
