@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from canopy.functions.vector import dot, dot_array
 
 MAX_PIVOTS = 4096
+MAX_PROBE_ROWS = 1_000_000
 
 
 def collect_pivots(pivots: DataFrame) -> list:
@@ -68,6 +69,8 @@ def ivf_topk(indexed: DataFrame, queries: DataFrame, pivots: DataFrame, k: int =
              id_col: str = "id", vec: str = "vector") -> DataFrame:
     """Approximate top-k per query over the probed lists."""
     p = probes(queries, pivots, nprobe, vec)
+    if p.limit(MAX_PROBE_ROWS + 1).count() > MAX_PROBE_ROWS:
+        raise ValueError("probe table too large to broadcast; split the query batch")
     j = indexed.select(id_col, "list_id", vec).join(F.broadcast(p), "list_id")
     s = j.select("query_id", F.col(id_col).alias("id"), dot(vec, "_qv").alias("score"))
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("id"))

@@ -86,66 +86,88 @@ def token_buckets(text, dim: int) -> Column:
         F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("long"), F.lit(dim)).cast("int"))
 
 
-def _hashed_tf_batches(keys: list[str], dim: int):
-    """Arrow-batch function: list<int> buckets -> list<float> unit vectors.
-
-    One ``np.bincount`` over the whole batch (row * dim + bucket), row-wise
-    L2 normalisation, zero-copy list output.  Counts are integers, so the
-    float64 norm is exact and the result equals the SQL form
-    ``cast(x / sqrt(sum x^2) as float)`` bit for bit.
+def _hashed_tf_batches(keys: list[str], text: str, dim: int):
+    """Arrow-batch embedder: text -> unit hashed term-frequency vector.
+
+    Per batch, vectorised: lower-case, split on non-word runs, drop empty
+    tokens, map tokens to the batch's distinct tokens (``unique`` +
+    ``index_in``), md5 once per distinct token (bucket = first 32 bits mod
+    dim, exactly as :func:`token_buckets` computes it in SQL), one
+    ``bincount`` over (row, bucket), row-wise L2 normalisation, zero-copy
+    list output.  Counts are integers, so the float64 norm is exact and the
+    vector equals ``cast(x / sqrt(sum x^2) as float)`` bit for bit.
     """
+    import hashlib
+
     import pyarrow as pa
+    import pyarrow.compute as pc
 
     def run(batches):
         for rb in batches:
             n = rb.num_rows
-            col = rb.column(rb.schema.get_field_index("_b"))
-            offsets = np.asarray(col.offsets, dtype=np.int64)
-            flat = np.asarray(col.values.to_numpy(zero_copy_only=False), dtype=np.int64)
-            lens = np.diff(offsets)
+            txt = rb.column(rb.schema.get_field_index(text))
+            toks = pc.split_pattern_regex(pc.utf8_lower(txt), pattern=TOKEN_SPLIT)
+            lens = np.asarray(pc.fill_null(pc.list_value_length(toks), 0).to_numpy(zero_copy_only=False),
+                              dtype=np.int64)
+            flat = pc.list_flatten(toks)
             rows = np.repeat(np.arange(n, dtype=np.int64), lens)
-            c = np.bincount(rows * dim + flat, minlength=n * dim).astype(np.float64).reshape(n, dim)
+            keep = np.asarray(pc.not_equal(flat, "").to_numpy(zero_copy_only=False), dtype=bool)
+            uniq = pc.unique(flat)
+            ub = np.array([int(hashlib.md5(t.encode("utf-8")).hexdigest()[:8], 16) % dim
+                           for t in uniq.to_pylist()], dtype=np.int64)
+            idx = np.asarray(pc.index_in(flat, value_set=uniq).to_numpy(zero_copy_only=False), dtype=np.int64)
+            b = ub[idx[keep]] if len(ub) else np.zeros(0, dtype=np.int64)
+            c = np.bincount(rows[keep] * dim + b, minlength=n * dim).astype(np.float64).reshape(n, dim)
             nrm = np.sqrt(np.einsum("ij,ij->i", c, c))
             v = np.where(nrm[:, None] > 0, c / np.where(nrm > 0, nrm, 1.0)[:, None], c).astype(np.float32)
-            vec = pa.ListArray.from_arrays(pa.array(np.arange(0, n * dim + 1, dim, dtype=np.int32)),
-                                           pa.array(v.reshape(-1)))
-            if col.null_count:
-                vec = pa.ListArray.from_arrays(vec.offsets, vec.values, mask=col.is_null())
+            offs = pa.array(np.arange(0, n * dim + 1, dim, dtype=np.int32))
+            vec = pa.ListArray.from_arrays(offs, pa.array(v.reshape(-1)),
+                                           mask=txt.is_null() if txt.null_count else None)
             arrays = [rb.column(rb.schema.get_field_index(k)) for k in keys] + [vec]
             yield pa.RecordBatch.from_arrays(arrays, names=keys + ["vector"])
     return run
 
 
 def hashed_tf_vectors(df: DataFrame, keys: list[str], text: str = "text", dim: int = 64) -> DataFrame:
-    """(keys..., vector) with the unit-length hashed term-frequency vector of
-    each (whole) text: buckets JVM-side, counting per Arrow batch."""
-    src = df.select(*keys, token_buckets(text, dim).alias("_b"))
+    """(keys..., vector): unit-length hashed term-frequency vector of each
+    whole text, computed per Arrow batch (the text is not returned)."""
+    src = df.select(*keys, text)
     fields = [f for f in src.schema.fields if f.name in keys]
     schema = T.StructType(fields + [T.StructField("vector", T.ArrayType(T.FloatType()))])
-    return src.mapInArrow(_hashed_tf_batches(list(keys), dim), schema)
+    return src.mapInArrow(_hashed_tf_batches(list(keys), text, dim), schema)
 
 
 def embed_texts(df: DataFrame, text: str = "text", dim: int = 64, method: str = "sql",
-                model: str | None = None) -> DataFrame:
-    """V12/V13 default offline embedder; distinct texts embedded once (Q9 key).
+                model: str | None = None, dedupe: bool = False) -> DataFrame:
+    """V12/V13 default offline embedder.
 
     ``method='sql'``: md5-bucketed hashed TF (reproducible in any SQL engine).
     ``method='ml'``: ``pyspark.ml`` HashingTF + Normalizer (murmur3 buckets).
+    Returns the input columns except ``text``, plus ``vector``, ``model``, ``dim``.
+    ``dedupe=True`` embeds each distinct text once (SHA-256 key, Q9) and
+    joins the vectors back -- worth its two shuffles only for a costly,
+    model-backed provider; the offline embedders are cheaper than the shuffle
+    and give equal vectors for equal texts anyway.
     """
-    keyed = df.withColumn("_tkey", F.sha2(F.col(text), 256))
-    uniq = keyed.select("_tkey", text).dropDuplicates(["_tkey"])
+    if dedupe:
+        keyed = df.withColumn("_tkey", F.sha2(F.col(text), 256))
+        uniq = keyed.select("_tkey", text).dropDuplicates(["_tkey"])
+        vec = _embed(uniq, ["_tkey"], text, dim, method)
+        out = keyed.join(vec, "_tkey", "left").drop("_tkey")
+    else:  # the text itself is not passed through (never shipped to Python)
+        out = _embed(df, [c for c in df.columns if c != text], text, dim, method)
+    model = model or f"hashed-tf-{method}-{dim}"
+    return out.withColumn("model", F.lit(model)).withColumn("dim", F.lit(dim))
+
+
+def _embed(df: DataFrame, keys: list[str], text: str, dim: int, method: str) -> DataFrame:
     if method == "ml":
         from pyspark.ml.feature import HashingTF, Normalizer
         from pyspark.ml.functions import vector_to_array
-        tf = HashingTF(inputCol="_tok", outputCol="_tf", numFeatures=dim).transform(
-            uniq.withColumn("_tok", tokens(text)))
+        tf = HashingTF(inputCol="_tok", outputCol="_tf", numFeatures=dim).transform(df.withColumn("_tok", tokens(text)))
         nv = Normalizer(inputCol="_tf", outputCol="_nv", p=2.0).transform(tf)
-        vec = nv.select("_tkey", vector_to_array("_nv", "float32").alias("vector"))
-    else:
-        vec = hashed_tf_vectors(uniq, ["_tkey"], text, dim)
-    model = model or f"hashed-tf-{method}-{dim}"
-    return (keyed.join(vec, "_tkey", "left").drop("_tkey")
-            .withColumn("model", F.lit(model)).withColumn("dim", F.lit(dim)))
+        return nv.select(*keys, vector_to_array("_nv", "float32").alias("vector"))
+    return hashed_tf_vectors(df, keys, text, dim)
 
 
 # ------------------------------------------------------------ table ops
