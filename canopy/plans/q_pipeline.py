@@ -102,7 +102,8 @@ def q_run_metrics(spark, d):
                 SELECT parent FROM doc_children WHERE parent <> '' GROUP BY parent HAVING count(*) > 3))) s
       LEFT JOIN prices p ON p.model = s.model)
     UNION ALL
-    SELECT 'total', NULL, sum(items), sum(input_tokens), sum(output_tokens), {o.r6('sum(cost)')}, sum(cost) <= 1.0 FROM (
+    SELECT 'total', NULL, CAST(sum(items) AS BIGINT), CAST(sum(input_tokens) AS BIGINT),
+           CAST(sum(output_tokens) AS BIGINT), {o.r6('sum(cost)')}, sum(cost) <= 1.0 FROM (
       SELECT s.*, s.input_tokens / 1000000 * coalesce(p.input_price, 1.0)
                   + s.output_tokens / 1000000 * coalesce(p.output_price, 3.0) AS cost
       FROM (SELECT 'model_a' AS model, count(*) AS items, count(*) * {co.FILE_INPUT_TOKENS} AS input_tokens,
