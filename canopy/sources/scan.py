@@ -99,14 +99,24 @@ def parse_ignore_rules(lines) -> list[str]:
 
 
 def read_ignore_file(spark: SparkSession, path: str) -> list[str]:
-    """Read an ignore file through Spark (works on any file system).
-
-    The rule list is bounded (checked) because it becomes part of the plan.
-    """
-    rows = spark.read.text(path).limit(MAX_RULES + 1).collect()
-    if len(rows) > MAX_RULES:
+    """Read an ignore file through the session's Hadoop file system (any
+    cluster file system; Spark's file listing would skip a hidden name such
+    as ``.gitignore``).  The rule list is bounded because it becomes part of
+    the plan."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(p):
+        return []
+    stream = fs.open(p)
+    try:
+        text = jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+    lines = text.split("\n")
+    if len(lines) > MAX_RULES:
         raise ValueError(f"ignore file has more than {MAX_RULES} lines")
-    return parse_ignore_rules(r.value for r in rows)
+    return parse_ignore_rules(lines)
 
 
 def glob_to_regex(pattern: str, compat: bool = False) -> str:
@@ -198,7 +208,14 @@ def file_records(df: DataFrame, id_col: str = "file_id") -> DataFrame:
 
 def scan_files(spark: SparkSession, root: str, rules: list[str] | None = None,
                max_bytes: int = MAX_FILE_BYTES, max_files: int | None = None) -> DataFrame:
-    """S1-S6 composed: listing -> ignore rules -> pruned dirs -> extension -> size."""
+    """S1-S6 composed: listing -> ignore rules -> pruned dirs -> extension -> size.
+
+    ``rules=None`` reads ``<root>/.gitignore`` when present.  Spark's listing
+    skips hidden files and folders (names starting with '.' or '_'), which
+    also covers the ``.git``-style pruned names.
+    """
+    if rules is None:
+        rules = read_ignore_file(spark, root.rstrip("/") + "/.gitignore")
     df = scan_directory(spark, root)
     if rules:
         df = filter_ignore_rules(df, rules)
