@@ -65,6 +65,9 @@ def assign_domains(files: DataFrame, domains: DataFrame, threshold: float = THRE
     else the single best domain (lowest id on ties), flagged ``via_fallback``."""
     doms = collect_domains(domains)
     keep = keep or []
+    if not doms:  # nothing to assign to; sequence(0, -1) would run backwards
+        return files.select(key, F.lit(None).cast("int").alias("domain_id"), F.lit(None).cast("double").alias("score"),
+                            F.lit(None).cast("boolean").alias("via_fallback"), *keep).limit(0)
     ids = F.array(*[F.lit(d) for d, _ in doms])
     n = len(doms)
     t = _with_norm(files, [key] + keep, vec).select(key, *keep, _score_array(doms, vec).alias("_s"))
@@ -80,6 +83,9 @@ def assign_domains(files: DataFrame, domains: DataFrame, threshold: float = THRE
 def best_domain(files: DataFrame, domains: DataFrame, key: str = "file_id", vec: str = "vector") -> DataFrame:
     """Arg-max domain per file (strict '>' scan: lowest id wins ties)."""
     doms = collect_domains(domains)
+    if not doms:
+        return files.select(key, F.lit(None).cast("int").alias("domain_id"),
+                            F.lit(None).cast("double").alias("score")).limit(0)
     ids = F.array(*[F.lit(d) for d, _ in doms])
     t = _with_norm(files, [key], vec).select(key, _score_array(doms, vec).alias("_s"))
     i = F.array_position(F.col("_s"), F.array_max("_s")).cast("int") - 1
@@ -90,6 +96,8 @@ def unassigned_files(files: DataFrame, domains: DataFrame, threshold: float = TH
                      key: str = "file_id", vec: str = "vector") -> DataFrame:
     """Files with no domain at or above the threshold."""
     doms = collect_domains(domains)
+    if not doms:
+        return files.select(key)
     t = _with_norm(files, [key], vec).select(key, F.array_max(_score_array(doms, vec)).alias("max_score"))
     return t.where(~(F.col("max_score") >= threshold)).select(key)
 

@@ -82,3 +82,11 @@ def test_validation_messages(spark):
 def test_call_count(spark):
     assert spark.range(1).select(on.call_count(F.lit(2)).alias("c")).first()["c"] == 5
     assert spark.range(1).select(on.call_count(F.lit(3)).alias("c")).first()["c"] == 7
+
+
+def test_no_domains_gives_empty_assignment(spark):
+    doms = spark.createDataFrame([], "domain_id int, vector array<float>")
+    files = spark.createDataFrame([("a", [1.0, 0.0])], "file_id string, vector array<float>")
+    assert on.assign_domains(files, doms).count() == 0
+    assert on.best_domain(files, doms).count() == 0
+    assert on.unassigned_files(files, doms).count() == 1
