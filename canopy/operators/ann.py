@@ -46,7 +46,7 @@ def assign_lists(corpus: DataFrame, pivots: DataFrame, vec: str = "vector") -> D
 def kmeans_pivots(corpus: DataFrame, n_lists: int = 100, seed: int = 7, vec: str = "vector") -> DataFrame:
     """Pivots from ``pyspark.ml`` KMeans (distributed Lloyd iterations)."""
     from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.functions import array_to_vector
     data = corpus.select(array_to_vector(vec).alias("features"))
     model = KMeans(k=n_lists, seed=seed, maxIter=20, featuresCol="features").fit(data)
     centers = model.clusterCenters()

@@ -68,7 +68,7 @@ def discovery_context(summaries: DataFrame, dirs: DataFrame, max_dirs: int = MAX
 def discover_domains(files: DataFrame, k: int = 10, seed: int = 1, vec: str = "vector") -> DataFrame:
     """O2 default provider: KMeans centres (k in 2..10) as domains."""
     from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.functions import array_to_vector
     k = max(2, min(10, k))
     data = files.select(array_to_vector(vec).alias("features"))
     model = KMeans(k=k, seed=seed, maxIter=20).fit(data)

@@ -12,8 +12,6 @@ whole posting list.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 

@@ -16,10 +16,8 @@ inverted-list index in :mod:`canopy.operators.ann`.
 
 from __future__ import annotations
 
-from typing import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T

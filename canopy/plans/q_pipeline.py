@@ -6,7 +6,6 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from canopy.functions.text import content_hash
 from canopy.operators import cost as co
 from canopy.operators import discovery as dv
 from canopy.operators import ontology as on

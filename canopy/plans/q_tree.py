@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from canopy.operators import tree
 from canopy.plans import oracle_sql as o
 from canopy.plans.catalog import register
