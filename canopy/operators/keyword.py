@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from canopy.operators.vectors import tokens
-from canopy.session import cut_lineage
+from canopy.session import materialize
 
 K1 = 1.2
 B = 0.75
@@ -49,8 +49,8 @@ def bm25_scores(docs: DataFrame, queries: DataFrame, key: str = "doc_id", text:
 
     One pass over the documents: tokenise, observe N and the total length
     (``DataFrame.observe``), keep only postings of query terms, aggregate.
-    The filtered postings are checkpointed (reliably, in the shared folder)
-    so the scoring stage reuses them once the corpus statistics are known
+    The filtered postings are written as a parquet table in the shared
+    checkpoint folder, so the scoring stage reuses them once the corpus statistics are known
     and an executor loss does not recompute the tokenising pass.
     """
     q = queries.select("query_id", F.explode(F.array_distinct(tokens("text"))).alias("term")).distinct()
@@ -62,7 +62,7 @@ def bm25_scores(docs: DataFrame, queries: DataFrame, key: str = "doc_id", text:
         .observe(obs, F.count(F.lit(1)).alias("n"), F.sum("dl").alias("sdl"))
     ex = t.select(key, "dl", F.explode("_t").alias("term")).join(F.broadcast(qterms), "term", "left_semi")
     post = ex.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
-    post = cut_lineage(post)  # one pass: postings written to the shared checkpoint folder, stats observed
+    post = materialize(post, "postings")  # one pass: postings written to the shared folder, stats observed
     m = obs.get
     n = int(m.get("n") or 0)
     avgdl = float(m.get("sdl") or 0) / n if n else 1.0

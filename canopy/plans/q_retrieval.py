@@ -13,7 +13,7 @@ from canopy.plans.catalog import r6, register
 from canopy.plans.q_ontology import _topics
 from canopy.sources import standins as st
 from canopy.sources.tables import table
-from canopy.session import cut_lineage
+from canopy.session import materialize
 
 K = 20           # context search k (pool = 2k)
 TOPK = 10
@@ -76,13 +76,13 @@ def _ctx_inputs(spark, d):
     query vectors, topics and topic vectors.  In production these are tables
     written by the build; here they are derived once and checkpointed into
     the shared checkpoint folder so the search's several actions reuse them."""
-    s = cut_lineage(st.summaries(spark, d))
-    nodes = cut_lineage(vo.embed_texts(vo.embedding_texts(s)).select("id", "vector"))
-    q = cut_lineage(vo.embed_texts(table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text"))
-                    .select("query_id", "vector"))
-    topics = cut_lineage(_topics(spark, d))
+    s = materialize(st.summaries(spark, d), "summaries")
+    nodes = materialize(vo.embed_texts(vo.embedding_texts(s)).select("id", "vector"), "nodes")
+    q = materialize(vo.embed_texts(table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text"))
+                    .select("query_id", "vector"), "queries")
+    topics = materialize(_topics(spark, d), "topics")
     tv = vo.embed_texts(topics.select("id", embed_text("title", "description").alias("text"))).select("id", "vector")
-    return s, nodes, q, topics, cut_lineage(tv)
+    return s, nodes, q, topics, materialize(tv, "topic_vectors")
 
 
 _CTX_COLS = ["query_id", "category", "rank", "id", "score", "title", "description"]
