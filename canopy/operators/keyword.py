@@ -1,21 +1,24 @@
 """Sparse keyword scoring (X1): BM25 top-k and hybrid fusion with dense ranks.
 
-Index: one explode of each document's tokens, term frequencies by a
-map-side-combined ``groupBy(doc, term)``; the document length rides along
-in every posting so scoring never joins back to the documents.  A query
-batch touches only postings of its terms (broadcast semi join), document
-frequencies are computed for those terms only, and the per-query top-k is
-a partial + final ``WindowGroupLimit``.  A hot term that occurs in a third
-of all documents only makes its posting scan longer; no task receives a
-whole posting list.
+Index pass: one read of the documents in Arrow batches -- tokenise, keep
+only tokens of the batch's query terms (the term list is bounded and
+shipped with the task), count (doc, term), and emit per-batch corpus
+statistics in the same output, written once as a parquet table in the
+shared checkpoint folder.  The document length rides along in every
+posting, so scoring never joins back to the documents.  Document
+frequencies are computed for query terms only; per-query top-k is a
+partial + final ``WindowGroupLimit``.  A hot term that occurs in a third of
+all documents only lengthens its postings; no task receives a whole
+posting list and nothing is grouped by term before the filter.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from canopy.operators.vectors import tokens
+from canopy.operators.vectors import TOKEN_SPLIT, tokens
 from canopy.session import materialize
 
 K1 = 1.2
@@ -43,29 +46,68 @@ def corpus_stats(docs: DataFrame, text: str = "text") -> tuple[int, float]:
     return int(r[0]), float(r[1] or 0.0)
 
 
+def _postings_batches(key: str, text: str, qterms: list[str]):
+    """Arrow-batch postings: tokenise (lower-case, split on non-word runs),
+    keep query-term tokens, count per (document, term); every batch also
+    emits one statistics row (documents, total length) so the corpus
+    statistics come out of the same single pass."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    value_set = pa.array(sorted(qterms), pa.string())
+
+    def run(batches):
+        for rb in batches:
+            n = rb.num_rows
+            ids = rb.column(rb.schema.get_field_index(key))
+            txt = rb.column(rb.schema.get_field_index(text))
+            toks = pc.split_pattern_regex(pc.utf8_lower(txt), pattern=TOKEN_SPLIT)
+            lens = np.asarray(pc.fill_null(pc.list_value_length(toks), 0).to_numpy(zero_copy_only=False), np.int64)
+            flat = pc.list_flatten(toks)
+            rows = np.repeat(np.arange(n, dtype=np.int64), lens)
+            nonempty = np.asarray(pc.not_equal(flat, "").to_numpy(zero_copy_only=False), dtype=bool)
+            dl = np.bincount(rows[nonempty], minlength=n).astype(np.int64)
+            inq = nonempty & np.asarray(pc.is_in(flat, value_set=value_set).to_numpy(zero_copy_only=False), bool)
+            g = pa.table({"r": pa.array(rows[inq]), "t": flat.filter(pa.array(inq))}) \
+                .group_by(["r", "t"]).aggregate([("r", "count")])
+            r = np.asarray(g.column("r").to_numpy(), dtype=np.int64)
+            post = pa.RecordBatch.from_arrays(
+                [ids.take(pa.array(r)), g.column("t").combine_chunks(),
+                 pa.array(np.asarray(g.column("r_count").to_numpy(), np.int64)), pa.array(dl[r]),
+                 pa.array(np.zeros(len(r), dtype=bool))],
+                names=[key, "term", "tf", "dl", "_stat"])
+            yield post
+            yield pa.RecordBatch.from_arrays(
+                [pa.nulls(1, ids.type), pa.nulls(1, pa.string()), pa.array([n], pa.int64()),
+                 pa.array([int(dl.sum())], pa.int64()), pa.array([True])],
+                names=[key, "term", "tf", "dl", "_stat"])
+    return run
+
+
 def bm25_scores(docs: DataFrame, queries: DataFrame, key: str = "doc_id", text: str = "text",
                 k1: float = K1, b: float = B) -> DataFrame:
     """(query_id, doc, score) for every document sharing a term with a query.
 
-    One pass over the documents: tokenise, observe N and the total length
-    (``DataFrame.observe``), keep only postings of query terms, aggregate.
-    The filtered postings are written as a parquet table in the shared
-    checkpoint folder, so the scoring stage reuses them once the corpus statistics are known
-    and an executor loss does not recompute the tokenising pass.
+    One pass over the documents (Arrow batches): tokenise, keep postings of
+    the batch's query terms only, count (doc, term), and emit per-batch
+    corpus statistics alongside.  The result is written once as a parquet
+    table in the shared checkpoint folder; N and the average length come
+    from its statistics rows, the postings feed the scoring joins.
     """
     q = queries.select("query_id", F.explode(F.array_distinct(tokens("text"))).alias("term")).distinct()
-    qterms = q.select("term").distinct()
-    if qterms.limit(MAX_QUERY_TERMS + 1).count() > MAX_QUERY_TERMS:
+    terms = [r[0] for r in q.select("term").distinct().limit(MAX_QUERY_TERMS + 1).collect()]
+    if len(terms) > MAX_QUERY_TERMS:
         raise ValueError("query batch has too many distinct terms for one broadcast")
-    obs = Observation("bm25_corpus")
-    t = docs.select(key, tokens(text).alias("_t")).select(key, F.size("_t").alias("dl"), "_t") \
-        .observe(obs, F.count(F.lit(1)).alias("n"), F.sum("dl").alias("sdl"))
-    ex = t.select(key, "dl", F.explode("_t").alias("term")).join(F.broadcast(qterms), "term", "left_semi")
-    post = ex.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
-    post = materialize(post, "postings")  # one pass: postings written to the shared folder, stats observed
-    m = obs.get
-    n = int(m.get("n") or 0)
-    avgdl = float(m.get("sdl") or 0) / n if n else 1.0
+    ktype = docs.schema[key].dataType
+    schema = T.StructType([T.StructField(key, ktype), T.StructField("term", T.StringType()),
+                           T.StructField("tf", T.LongType()), T.StructField("dl", T.LongType()),
+                           T.StructField("_stat", T.BooleanType())])
+    raw = materialize(docs.select(key, text).mapInArrow(_postings_batches(key, text, terms), schema), "postings")
+    st = raw.where(F.col("_stat")).agg(F.sum("tf").alias("n"), F.sum("dl").alias("sdl")).first()
+    n = int(st["n"] or 0)
+    avgdl = float(st["sdl"] or 0) / n if n else 1.0
+    post = raw.where(~F.col("_stat")).drop("_stat")
     df = post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0)
     w = post.join(F.broadcast(df.select("term", idf.alias("idf"))), "term")
