@@ -13,9 +13,11 @@ from canopy.plans.catalog import r6, register
 from canopy.plans.q_ontology import _topics
 from canopy.sources import standins as st
 from canopy.sources.tables import table
-from canopy.session import materialize
+from canopy.session import materialize, small_table
 
 K = 20           # context search k (pool = 2k)
+MAX_QUERY_BATCH = 100_000   # query vectors kept as a local relation (64 floats each)
+MAX_TOPICS = 100_000        # 1 root + domains + subtopics
 TOPK = 10
 NPROBE = 2
 DIM = 64
@@ -78,11 +80,11 @@ def _ctx_inputs(spark, d):
     the shared checkpoint folder so the search's several actions reuse them."""
     s = materialize(st.summaries(spark, d), "summaries")
     nodes = materialize(vo.embed_texts(vo.embedding_texts(s)).select("id", "vector"), "nodes")
-    q = materialize(vo.embed_texts(table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text"))
-                    .select("query_id", "vector"), "queries")
-    topics = materialize(_topics(spark, d), "topics")
+    q = small_table(vo.embed_texts(table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text"))
+                    .select("query_id", "vector"), MAX_QUERY_BATCH)
+    topics = small_table(_topics(spark, d), MAX_TOPICS)
     tv = vo.embed_texts(topics.select("id", embed_text("title", "description").alias("text"))).select("id", "vector")
-    return s, nodes, q, topics, materialize(tv, "topic_vectors")
+    return s, nodes, q, topics, small_table(tv, MAX_TOPICS)
 
 
 _CTX_COLS = ["query_id", "category", "rank", "id", "score", "title", "description"]

@@ -68,3 +68,15 @@ def materialize(df: DataFrame, name: str = "tmp") -> DataFrame:
     path = f"{checkpoint_dir(spark).rstrip('/')}/materialized/{name}-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(path)
     return spark.read.parquet(path)
+
+
+def small_table(df: DataFrame, max_rows: int) -> DataFrame:
+    """Freeze a provably small DataFrame as a local relation (row bound checked).
+
+    For tiny, reused inputs (a query batch, the topic table) this replaces a
+    write + re-read with one bounded collect; anything larger raises.
+    """
+    rows = df.limit(max_rows + 1).collect()
+    if len(rows) > max_rows:
+        raise ValueError(f"expected at most {max_rows} rows")
+    return df.sparkSession.createDataFrame(rows, df.schema)
