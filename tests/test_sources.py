@@ -64,10 +64,13 @@ def test_store_replace_and_upsert(spark, tmp_path):
 def test_incremental_stream_restart_adds_nothing(spark, tmp_path):
     from tests.conftest import SF_SMALL
     from canopy.streaming.incremental import document_stream, start_incremental
+    import uuid
+    # run ids must be unique: the checkpoint folder is the session's shared, persistent one
+    r1, r2 = f"t-{uuid.uuid4().hex[:8]}", f"t-{uuid.uuid4().hex[:8]}"
     store = TableStore(spark, str(tmp_path / "stream-store"))
-    start_incremental(spark, document_stream(spark, SF_SMALL), store, "t1").awaitTermination()
+    start_incremental(spark, document_stream(spark, SF_SMALL), store, r1).awaitTermination()
     n1 = store.read("summaries").count()
-    start_incremental(spark, document_stream(spark, SF_SMALL), store, "t1").awaitTermination()   # restart
-    start_incremental(spark, document_stream(spark, SF_SMALL), store, "t2").awaitTermination()   # fresh checkpoint, same data
+    start_incremental(spark, document_stream(spark, SF_SMALL), store, r1).awaitTermination()   # restart
+    start_incremental(spark, document_stream(spark, SF_SMALL), store, r2).awaitTermination()   # fresh checkpoint, same data
     s = store.read("summaries")
     assert s.count() == n1 == s.select("hash").distinct().count() > 0
