@@ -67,7 +67,7 @@ QUERIES = {f.__name__: f for f in (op1_warc_normalise, op2_secret_scan, op3_qual
 ORACLE = {
     "op1_warc_normalise": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS hexed FROM pages),
-        d AS (SELECT page_id, strlen(body) AS payload_bytes, array_to_string(list_transform(range(32), i -> substr(
+        d AS (SELECT page_id, strlen(body) AS payload_bytes, array_to_string(list_transform(range(32), lambda i: substr(
                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
                   1 + (((('0x' || substr(hexed, 1 + 5 * (i // 4), 5))::BIGINT) >> (5 * (3 - i % 4))) & 31)::INT, 1)), '') AS payload_digest
               FROM p),
@@ -77,8 +77,8 @@ ORACLE = {
                CASE WHEN page_id <> original THEN original END AS refers_to
         FROM m""",
     "op7_topk": """
-        WITH v AS (SELECT vec_id, list_transform(embedding, x -> floor(64 * x::DOUBLE)) AS w FROM embeddings
-                   WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+        WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS w FROM embeddings
+                   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
         s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.w, c.w)::BIGINT AS score
               FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id),
         r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, vec_id, score FROM s)
