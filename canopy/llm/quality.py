@@ -110,7 +110,7 @@ def clean_lines(docs: DataFrame, min_words: int = 20, max_repeat: float = 30, mi
                 id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
     kept, n_failed_lines, kept_words`` and, with ``with_text``, ``clean_text`` of every row,
-    then the columns named in ``keep``.
+    then the columns named in ``keep`` (no names of those before).
 
     Null or empty text: no words, so ``base_failed``; its clean text is empty.
     One output row per input row, repeated rows and null ids included; only

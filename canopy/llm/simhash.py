@@ -83,6 +83,10 @@ def _masks(blocks: int, distance: int) -> list[int]:
     return [m - (1 << 64) if m >> 63 else m for m in masks]
 
 
+def _bits(x: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(x.view(np.uint64))  # of a negative number numpy would count those of its absolute value
+
+
 def search(fps: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
     """(fingerprint, least of its component) for all but the least of each component of ``fps``."""
     rest = np.unique(fps)
@@ -91,7 +95,7 @@ def search(fps: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
         root, rest = rest[0], rest[1:]
         todo = [root]
         while todo and len(rest):
-            near = np.bitwise_count(rest ^ todo.pop()) <= distance
+            near = _bits(rest ^ todo.pop()) <= distance
             if near.any():
                 found, rest = rest[near], rest[~near]
                 todo.extend(found)
@@ -134,7 +138,7 @@ def _search_buckets(keyed: DataFrame, keys: list[str], distance: int, most: int
             inner[1:last] = True  # buckets that lie in this batch whole
             two = np.flatnonzero(inner & (sizes == 2))
             x, y = fps[np.asarray(starts)[two]], fps[np.asarray(starts)[two] + 1]
-            near = (np.bitwise_count(x ^ y) <= distance) & (x != y)
+            near = (_bits(x ^ y) <= distance) & (x != y)
             out_a += np.maximum(x, y)[near].tolist()
             out_b += np.minimum(x, y)[near].tolist()
             for i in np.flatnonzero(~inner | (sizes > 2)).tolist():
