@@ -25,8 +25,9 @@ BOUNDARY = {
 }
 
 
-def _matching_lines(ls: Column, idx: Column, pattern: str) -> Column:
-    return F.filter(idx, lambda i: F.get(ls, i).rlike(pattern))
+def _matching_lines(ls: Column, pattern: str) -> Column:
+    """Numbers of the lines that match: one pass over the lines, which are split once."""
+    return F.filter(F.transform(ls, lambda line, i: F.when(line.rlike(pattern), i)), lambda i: i.isNotNull())
 
 
 def boundaries(text, pattern, language_col: str = "language") -> Column:
@@ -36,23 +37,23 @@ def boundaries(text, pattern, language_col: str = "language") -> Column:
     row with a CASE on ``language_col`` (one scan for a mixed corpus).
     """
     ls = lines(text)
-    idx = F.sequence(F.lit(0), F.size(ls) - 1)
     empty = F.array().cast("array<int>")
     if isinstance(pattern, dict):
         expr = None
         for lang, pat in pattern.items():
-            b = empty if pat is None else _matching_lines(ls, idx, pat)
+            b = empty if pat is None else _matching_lines(ls, pat)
             cond = F.col(language_col) == lang
             expr = F.when(cond, b) if expr is None else expr.when(cond, b)
         return expr.otherwise(empty)
-    return F.filter(idx, lambda i: F.get(ls, i).rlike(pattern))
+    return _matching_lines(ls, pattern)
 
 
 def declaration_chunks(files: DataFrame, pattern, key: str = "file_id",
                        language_col: str = "language") -> DataFrame:
     """One row per boundary segment: key, pos, start_line, end_line, text."""
-    ls = lines("text")
-    st = files.select(key, ls.alias("_ls"), boundaries("text", pattern, language_col).alias("_b"))
+    # inline() is a generator, so the optimiser cannot copy the split into the lambdas below
+    parts = F.struct(lines("text").alias("_ls"), boundaries("text", pattern, language_col).alias("_b"))
+    st = files.select(key, F.inline(F.array(parts)))
     # Build every segment inside the row first (each line copied once), then
     # explode the small segment structs -- never the whole line array per segment.
     b = F.col("_b")
@@ -82,7 +83,7 @@ def loc_windows(chunks: DataFrame, window: int = LOC_LIMIT, key: str = "file_id"
     Unlike the reference loop, a trailing one-line remainder is kept (Q4).
     """
     s = chunks.select(key, "pos", "start_line", "end_line",
-                      F.split("text", "\n", -1).alias("_ls"))
+                      F.inline(F.array(F.struct(F.split("text", "\n", -1).alias("_ls")))))
     starts = F.sequence(F.col("start_line"), F.col("end_line"), F.lit(window))
     ex = s.select(key, "pos", "start_line", "end_line", "_ls",
                   F.posexplode(starts).alias("win", "w_start"))

@@ -32,7 +32,7 @@ def stage_items(df: DataFrame, stage: str, model: str, in_tokens: int, out_token
 
 def price(stages: DataFrame, prices: DataFrame, threshold: float = APPROVAL_THRESHOLD) -> DataFrame:
     """Cost per stage plus a ``total`` row carrying the approval flag."""
-    p = F.broadcast(prices.select("model", "input_price", "output_price"))
+    p = prices.select("model", "input_price", "output_price")
     j = stages.join(p, "model", "left")
     cost = (F.col("input_tokens") / 1_000_000 * F.coalesce("input_price", F.lit(DEFAULT_INPUT_PRICE))
             + F.col("output_tokens") / 1_000_000 * F.coalesce("output_price", F.lit(DEFAULT_OUTPUT_PRICE)))

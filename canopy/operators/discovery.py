@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from canopy.functions.text import segments
+from canopy.functions.text import content_hash, segments
 
 MAX_DIRS = 20
 MAX_FILES = 50
@@ -27,8 +27,14 @@ def top_directories(dirs: DataFrame, max_segments: int = 2) -> DataFrame:
     return dirs.where(F.size(segments("path")) <= max_segments).orderBy(F.col("loc").desc(), "path")
 
 
+def per_path(files: DataFrame, summaries: DataFrame) -> DataFrame:
+    """Every file's own path with the summary of its content (Q15): files of equal content each keep their row."""
+    own = files.select("path", content_hash("text").alias("hash"))
+    return own.join(summaries.drop("path"), "hash")
+
+
 def key_files(summaries: DataFrame) -> DataFrame:
-    """T5: files by summary length descending (all of them)."""
+    """T5: files by summary length descending (all of them; ``summaries`` has a row per path, see ``per_path``)."""
     n = F.coalesce(F.length("summary.summary"), F.lit(0))
     return summaries.select("path", "summary.title", n.alias("summary_len")) \
         .orderBy(F.col("summary_len").desc(), "path")

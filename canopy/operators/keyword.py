@@ -36,7 +36,7 @@ def postings(docs: DataFrame, key: str = "doc_id", text: str = "text", terms: Da
     t = docs.select(key, tokens(text).alias("_t"))
     ex = t.select(key, F.size("_t").alias("dl"), F.explode("_t").alias("term"))
     if terms is not None:
-        ex = ex.join(F.broadcast(terms), "term", "left_semi")
+        ex = ex.join(terms, "term", "left_semi")
     return ex.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
 
 
@@ -110,10 +110,10 @@ def bm25_scores(docs: DataFrame, queries: DataFrame, key: str = "doc_id", text:
     post = raw.where(~F.col("_stat")).drop("_stat")
     df = post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0)
-    w = post.join(F.broadcast(df.select("term", idf.alias("idf"))), "term")
+    w = post.join(df.select("term", idf.alias("idf")), "term")
     denom = F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(avgdl if avgdl else 1.0))
     w = w.select(key, "term", (F.col("idf") * F.col("tf") * (k1 + 1) / denom).alias("w"))
-    return w.join(F.broadcast(q), "term").groupBy("query_id", key).agg(F.sum("w").alias("score"))
+    return w.join(q, "term").groupBy("query_id", key).agg(F.sum("w").alias("score"))
 
 
 def _topk(scores: DataFrame, k: int, key: str) -> DataFrame:

@@ -41,8 +41,18 @@ def collect_domains(domains: DataFrame, max_domains: int = MAX_DOMAINS) -> list:
 
 
 def _score_array(doms: list, vec: str = "vector", na: str = "_na") -> Column:
-    """Full cosine (V3 semantics) of the row's vector to each domain, in id order."""
-    return cosine_array(vec, na, [v for _, v in doms])
+    """Full cosine (V3 semantics) of the row's vector to each domain, in id order.
+
+    NaN, which Spark orders above every number, becomes minus infinity: such a
+    vector reaches no threshold and falls back to the lowest domain id.
+    """
+    return F.transform(cosine_array(vec, na, [v for _, v in doms]),
+                       lambda x: F.when(F.isnan(x), F.lit(float("-inf"))).otherwise(x))
+
+
+def _known(score: Column) -> Column:
+    """A score, or null where the vector has none."""
+    return F.when(score > float("-inf"), score)
 
 
 def _with_norm(files: DataFrame, cols: list[str], vec: str) -> DataFrame:
@@ -56,7 +66,7 @@ def domain_scores(files: DataFrame, domains: DataFrame, key: str = "file_id", ve
     doms = collect_domains(domains)
     ids = F.array(*[F.lit(d) for d, _ in doms])
     s = _with_norm(files, [key], vec).select(key, F.posexplode(_score_array(doms, vec)).alias("_i", "score"))
-    return s.select(key, F.get(ids, F.col("_i")).alias("domain_id"), "score")
+    return s.select(key, F.get(ids, F.col("_i")).alias("domain_id"), _known(F.col("score")).alias("score"))
 
 
 def assign_domains(files: DataFrame, domains: DataFrame, threshold: float = THRESHOLD,
@@ -76,7 +86,7 @@ def assign_domains(files: DataFrame, domains: DataFrame, threshold: float = THRE
     best = F.array_position(F.col("_s"), F.array_max("_s")).cast("int") - 1
     chosen = F.when(F.size(above) > 0, above).otherwise(F.array(best))
     t = t.select(key, *keep, "_s", (F.size(above) == 0).alias("via_fallback"), F.explode(chosen).alias("_i"))
-    return t.select(key, F.get(ids, F.col("_i")).alias("domain_id"), F.get(F.col("_s"), F.col("_i")).alias("score"),
+    return t.select(key, F.get(ids, F.col("_i")).alias("domain_id"), _known(F.get(F.col("_s"), F.col("_i"))).alias("score"),
                     "via_fallback", *keep)
 
 
@@ -89,7 +99,7 @@ def best_domain(files: DataFrame, domains: DataFrame, key: str = "file_id", vec:
     ids = F.array(*[F.lit(d) for d, _ in doms])
     t = _with_norm(files, [key], vec).select(key, _score_array(doms, vec).alias("_s"))
     i = F.array_position(F.col("_s"), F.array_max("_s")).cast("int") - 1
-    return t.select(key, F.get(ids, i).alias("domain_id"), F.array_max("_s").alias("score"))
+    return t.select(key, F.get(ids, i).alias("domain_id"), _known(F.array_max("_s")).alias("score"))
 
 
 def unassigned_files(files: DataFrame, domains: DataFrame, threshold: float = THRESHOLD,
@@ -108,7 +118,7 @@ def domain_candidates(scores: DataFrame, threshold: float = THRESHOLD) -> DataFr
     Ordered with a range-partitioned global sort (balanced even when one
     domain dominates) instead of a per-domain window.
     """
-    return scores.where(F.col("score") >= threshold).orderBy("domain_id", F.col("score").desc(), "file_id")
+    return scores.where((F.col("score") >= threshold) & ~F.isnan("score")).orderBy("domain_id", F.col("score").desc(), "file_id")
 
 
 def domain_top_files(assign: DataFrame, n: int = TOP_FILES, key: str = "file_id") -> DataFrame:
@@ -121,7 +131,7 @@ def domain_top_files(assign: DataFrame, n: int = TOP_FILES, key: str = "file_id"
     w = Window.partitionBy("domain_id").orderBy(F.col("score").desc(), F.col(key))
     top = assign.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
     tot = assign.groupBy("domain_id").agg(F.count(F.lit(1)).alias("_total"))
-    return top.join(F.broadcast(tot), "domain_id").select(
+    return top.join(tot, "domain_id").select(
         "domain_id", "rank", key, "score", F.greatest(F.col("_total") - n, F.lit(0)).alias("n_more"))
 
 
@@ -197,7 +207,7 @@ def ontology_topics(root: tuple[str, str], domains: DataFrame, subtopics: DataFr
     d = domains.select(domain_topic_id(F.col("pos")).alias("id"), "title", "description",
                        F.lit(ROOT_ID).alias("parent_id"), F.lit(1).alias("depth"), F.lit(False).alias("is_root"))
     dp = domains.select("domain_id", F.col("pos").alias("dpos"))
-    s = subtopics.join(F.broadcast(dp), "domain_id").select(
+    s = subtopics.join(dp, "domain_id").select(
         subtopic_topic_id(F.col("dpos"), F.col("pos")).alias("id"), "title", "description",
         domain_topic_id(F.col("dpos")).alias("parent_id"), F.lit(2).alias("depth"), F.lit(False).alias("is_root"))
     return r.unionByName(d).unionByName(s)
@@ -207,7 +217,7 @@ def subtopic_ids(domains: DataFrame, subtopics: DataFrame) -> DataFrame:
     """(domain_id, title) -> topic id; keyed per domain, so equal titles in
     two domains stay distinct (Q7).  First position wins inside a domain."""
     dp = domains.select("domain_id", F.col("pos").alias("dpos"))
-    s = subtopics.join(F.broadcast(dp), "domain_id")
+    s = subtopics.join(dp, "domain_id")
     g = s.groupBy("domain_id", "title").agg(F.min_by(subtopic_topic_id(F.col("dpos"), F.col("pos")), F.col("pos"))
                                             .alias("topic_id"))
     return g
@@ -226,7 +236,7 @@ def ontology_links(assignments: DataFrame, files: DataFrame, domains: DataFrame,
     """H6: assignments -> (topic, file) links, confidence 100, distinct."""
     ex = _exploded(assignments)
     ids = subtopic_ids(domains, subtopics)
-    j = ex.join(_path_ids(files), "path").join(F.broadcast(ids), ["domain_id", "title"])
+    j = ex.join(_path_ids(files), "path").join(ids, ["domain_id", "title"])
     links = j.select("topic_id", F.col("node_id").cast("string").alias("node_id")).dropDuplicates(["topic_id", "node_id"])
     return links.select(F.concat(F.lit("link-"), F.col("topic_id"), F.lit("-"), F.col("node_id")).alias("id"),
                         "topic_id", "node_id", F.lit("file").alias("node_type"), F.lit(100).alias("confidence"))
@@ -239,7 +249,7 @@ def link_resolution(assignments: DataFrame, files: DataFrame, domains: DataFrame
     bad_path = ex.join(paths, "path", "left_anti").select(F.lit("unknown_path").alias("reason"), "path", "title")
     ok = ex.join(paths, "path", "left_semi")
     ids = subtopic_ids(domains, subtopics).select("domain_id", "title")
-    bad_title = ok.join(F.broadcast(ids), ["domain_id", "title"], "left_anti") \
+    bad_title = ok.join(ids, ["domain_id", "title"], "left_anti") \
         .select(F.lit("unknown_subtopic").alias("reason"), "path", "title")
     return bad_path.unionByName(bad_title)
 
@@ -256,7 +266,7 @@ def assignment_violations(assignments: DataFrame, candidates: DataFrame, subtopi
     unknown_path = a.join(c, ["domain_id", "path"], "left_anti") \
         .select("domain_id", F.lit("unknown_path").alias("reason"), "path", F.lit(None).cast("string").alias("title"))
     titles = subtopics.select("domain_id", "title").distinct()
-    unknown_sub = _exploded(a).join(F.broadcast(titles), ["domain_id", "title"], "left_anti") \
+    unknown_sub = _exploded(a).join(titles, ["domain_id", "title"], "left_anti") \
         .select("domain_id", F.lit("unknown_subtopic").alias("reason"), "path", "title")
     empty = a.where(F.size("subtopics") == 0) \
         .select("domain_id", F.lit("empty").alias("reason"), "path", F.lit(None).cast("string").alias("title"))
@@ -299,7 +309,7 @@ def ontology_stats(topics: DataFrame, links: DataFrame) -> DataFrame:
 def topics_for_files(links: DataFrame, topics: DataFrame) -> DataFrame:
     """J1 (batch form): every file's topics; topics are small and broadcast."""
     t = topics.select(F.col("id").alias("topic_id"), "title", "depth")
-    return links.join(F.broadcast(t), "topic_id").select("node_id", "topic_id", "title", "depth")
+    return links.join(t, "topic_id").select("node_id", "topic_id", "title", "depth")
 
 
 def files_for_topic(links: DataFrame, topic_id: str) -> DataFrame:
@@ -314,7 +324,7 @@ def topic_subtree(topics: DataFrame) -> DataFrame:
     one = t.where(F.col("parent_id").isNotNull()).select(
         F.col("parent_id").alias("ancestor_id"), F.col("id").alias("descendant_id"), F.lit(1).alias("distance"))
     p = t.select(F.col("id").alias("mid"), F.col("parent_id").alias("gp"))
-    two = one.join(F.broadcast(p), one["ancestor_id"] == p["mid"]).where(F.col("gp").isNotNull()) \
+    two = one.join(p, one["ancestor_id"] == p["mid"]).where(F.col("gp").isNotNull()) \
         .select(F.col("gp").alias("ancestor_id"), "descendant_id", F.lit(2).alias("distance"))
     return self_.unionByName(one).unionByName(two)
 
@@ -325,7 +335,7 @@ def topic_neighbours(links: DataFrame) -> DataFrame:
     returns per file how many other files share at least its topics
     (sum over its topics of topic size - 1)."""
     size = links.groupBy("topic_id").agg(F.count(F.lit(1)).alias("_n"))
-    j = links.join(F.broadcast(size), "topic_id")
+    j = links.join(size, "topic_id")
     return j.groupBy("node_id").agg(F.count(F.lit(1)).alias("n_topics"),
                                     F.sum(F.col("_n") - 1).cast("long").alias("n_neighbour_links"))
 
@@ -381,7 +391,7 @@ def assign_subtopics(assign: DataFrame, subtopic_vectors: DataFrame, threshold:
     if n > MAX_SUBTOPIC_ROWS:
         raise ValueError("too many subtopics to broadcast")
     sv = subtopic_vectors.select("domain_id", "pos", "title", F.col("vector").alias("_sv"))
-    j = assign.select(key, "domain_id", vec).join(F.broadcast(sv), "domain_id")
+    j = assign.select(key, "domain_id", vec).join(sv, "domain_id")
     s = j.select(key, "domain_id", "title", "pos", cosine(vec, "_sv", strict=True).alias("score"))
     g = Window.partitionBy(key, "domain_id")
     w = g.orderBy(F.col("score").desc(), F.col("pos"))

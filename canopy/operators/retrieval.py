@@ -24,7 +24,6 @@ ROOT_SCORE = 1.0
 TOP_TOPICS = 3
 PER_CATEGORY = 4
 POOL_FACTOR = 2
-MAX_POOL_ROWS = 5_000_000
 
 
 def _rank(df: DataFrame, part: list[str], k: int | None) -> DataFrame:
@@ -40,7 +39,7 @@ def context_topics(queries: DataFrame, topics: DataFrame, topic_vectors: DataFra
     non_root = topic_vectors.join(topics.where(~F.col("is_root")).select("id"), "id", "left_semi")
     best = _rank(score_batch(non_root, queries, top), ["query_id"], top)
     t = topics.select("id", "title", "description", "depth")
-    best = best.join(F.broadcast(t), "id").withColumn(
+    best = best.join(t, "id").withColumn(
         "category", F.when(F.col("depth") == 1, F.lit("domain")).otherwise(F.lit("topic")))
     out = best.select("query_id", "category", "id", "score", "title", "description")
     if roots:
@@ -60,16 +59,13 @@ def context_hits(queries: DataFrame, nodes: DataFrame, summaries: DataFrame, k:
     pool_k = k * pool_factor
     partial = score_batch(nodes, queries, pool_k)
     pool = _rank(partial, ["query_id"], pool_k).drop("rank")
-    n_q = queries.count()
-    if n_q * pool_k > MAX_POOL_ROWS:
-        raise ValueError("query batch too large for one broadcast pool; split the batch")
     p = parse_chunk_id("id")
     pool = pool.select("query_id", "id", "score", node_kind("id").alias("kind"),
                        F.when(node_kind("id") == "chunk", p["file"]).otherwise(F.col("id")).alias("hash"),
                        p["kind"].alias("ckind"), p["idx"].alias("idx"), p["name"].alias("cname"))
     s = summaries.select("hash", F.col("summary.title").alias("s_title"), F.col("summary.summary").alias("s_summary"),
                          F.col("summary.functions").alias("fn"), F.col("summary.classes").alias("cl"))
-    j = s.join(F.broadcast(pool), "hash")
+    j = s.join(pool, "hash")
     item = F.when(F.col("ckind") == "func", F.get(F.col("fn"), F.col("idx"))).otherwise(F.get(F.col("cl"), F.col("idx")))
     j = j.withColumn("_item", item)
     file_rows = j.where(F.col("kind") == "file").select(

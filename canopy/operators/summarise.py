@@ -1,9 +1,9 @@
 """Chunk / file summaries (C4-C8) and the provider seam.
 
 The default provider is extractive and written in Spark SQL (no Python
-worker): title = first line, summary = first ``n_chars`` characters,
-functions = lines 2-4, classes = line 5 (each item: first word, loc 1, the
-line).  A model-backed provider plugs in through :class:`Provider`, wrapped
+worker): title = first line, summary = the first sentence of every line,
+functions = all lines after the title, classes = the last line (each item:
+first word, loc 1, the line).  A model-backed provider plugs in through :class:`Provider`, wrapped
 by ``mapInPandas`` over *distinct* content hashes only.
 """
 
@@ -23,8 +23,10 @@ from canopy.schemas import SUMMARY
 ERROR_TITLE = "[summary failed]"
 
 
-def _item(ls: Column, i: int) -> Column:
-    line = F.get(ls, i)
+SENTENCE = "^[^.!?]*[.!?]?"
+
+
+def _item(line: Column) -> Column:
     return F.struct(
         F.nullif(F.regexp_extract(line, r"^([^ ]+)", 1), F.lit("")).alias("name"),
         F.lit(1).alias("loc"),
@@ -32,15 +34,15 @@ def _item(ls: Column, i: int) -> Column:
     )
 
 
-def extractive_summary(text, n_chars: int = 200) -> Column:
+def extractive_summary(text) -> Column:
     """C4 default provider as one struct expression (JVM-side)."""
     t = F.col(text) if isinstance(text, str) else text
     ls = lines(t)
     return F.struct(
         F.get(ls, 0).alias("title"),
-        F.substring(t, 1, n_chars).alias("summary"),
-        F.array(_item(ls, 1), _item(ls, 2), _item(ls, 3)).alias("functions"),
-        F.array(_item(ls, 4)).alias("classes"),
+        F.array_join(F.transform(ls, lambda x: F.regexp_extract(x, SENTENCE, 0)), " ").alias("summary"),
+        F.transform(F.slice(ls, 2, F.size(ls)), _item).alias("functions"),
+        F.array(_item(F.element_at(ls, -1))).alias("classes"),
         line_count(t).alias("loc"),
     )
 
@@ -117,19 +119,19 @@ def split_errors(summaries: DataFrame) -> tuple[DataFrame, DataFrame]:
     return (summaries.where(F.col("status") == "ok"), summaries.where(F.col("status") != "ok"))
 
 
-def summarise_files(files: DataFrame, provider: Provider | None = None, n_chars: int = 200) -> DataFrame:
+def summarise_files(files: DataFrame, provider: Provider | None = None) -> DataFrame:
     """Whole-file summaries keyed by content hash, one per distinct content.
 
     Equal content at several paths is summarised once (C7); the row keeps the
-    path and language of the lowest ``file_id`` (Q15).
+    path and language of the lowest ``file_id`` (Q15).  Which file stands for
+    a content is decided on ids and hashes alone; no text is aggregated.
     """
     keyed = files.select("file_id", "path", "text", content_hash("text").alias("hash"))
-    first = (keyed.groupBy("hash")
-             .agg(F.min_by(F.struct("path", "text"), F.col("file_id")).alias("f"))
-             .select("hash", F.col("f.path").alias("path"), F.col("f.text").alias("text")))
+    lowest = keyed.groupBy("hash").agg(F.min("file_id").alias("file_id"))
+    first = keyed.join(lowest, ["hash", "file_id"], "left_semi").select("hash", "path", "text")
     if provider is None:
         out = first.select("hash", detect_language("path").alias("language"), "path",
-                           extractive_summary("text", n_chars).alias("summary"),
+                           extractive_summary("text").alias("summary"),
                            F.lit("ok").alias("status"), F.lit(None).cast("string").alias("error"))
         return out
     enriched = summarise_with_provider(first, provider)

@@ -234,7 +234,7 @@ def topk_similar(corpus: DataFrame, query_vec, k: int = 10, id_col: str = "id",
     if k <= 0:
         return corpus.sparkSession.createDataFrame([], "id string, score double, rank int")
     scored = corpus.select(F.col(id_col).alias("id"), score_literal(corpus, query_vec, vec).alias("score"))
-    top = scored.orderBy(F.col("score").desc(), F.col("id")).limit(k)
+    top = scored.where(~F.isnan("score")).orderBy(F.col("score").desc(), F.col("id")).limit(k)
     w = Window.orderBy(F.col("score").desc(), F.col("id"))  # over <= k rows
     return top.withColumn("rank", F.row_number().over(w))
 
@@ -295,8 +295,9 @@ def _partial_topk_fn(qids: np.ndarray, qmat: np.ndarray, k: int, id_col: str, ve
             s = m @ qmat.T
             out_q, out_i, out_s = [], [], []
             for j in range(s.shape[1]):
-                colj = np.where(ok, s[:, j], -np.inf)
-                valid = np.nonzero(ok)[0]
+                scored = ok & ~np.isnan(s[:, j])
+                colj = np.where(scored, s[:, j], -np.inf)
+                valid = np.nonzero(scored)[0]
                 if min_score is not None:
                     cand = valid[colj[valid] >= min_score]
                 elif len(valid) > k:

@@ -100,13 +100,15 @@ def run_pipeline(spark: SparkSession, files: DataFrame, store: TableStore | None
         except Exception as e:  # noqa: BLE001
             if not optional:
                 raise
-            status.append((name, "failed", None, _ms(t0), str(e)[:500]))
+            status.append((name, "failed", None, _ms(t0), str(e)))
 
     def summarise():
         keyed = files.select("file_id", "path", "text", content_hash("text").alias("hash"))
-        todo = keyed if cache is None else keyed.join(cache.select("hash").distinct(), "hash", "left_anti")
-        summ = summarise_files(todo.drop("hash"))
-        store.append("summaries", summ)
+        known = cache if cache is not None else store.read("summaries") if store.exists("summaries") else None
+        if known is not None and "status" in known.columns:
+            known = known.where("status = 'ok'")
+        todo = keyed if known is None else keyed.join(known.select("hash").distinct(), "hash", "left_anti")
+        store.put_summaries("summaries", summarise_files(todo.drop("hash")))
         return store.read("summaries").count()
 
     def directories():

@@ -89,11 +89,21 @@ def normalize(a: str) -> str:
 
 
 def item(ls: str, i: int) -> str:
-    line = f"{ls}[{i}]"
+    return item_of(f"{ls}[{i}]")
+
+
+def item_of(line: str) -> str:
     return (f"{{'name': nullif(regexp_extract({line}, '^([^ ]+)', 1), ''), 'loc': 1, "
             f"'summary': nullif({line}, '')}}")
 
 
+def summary_parts(t: str) -> str:
+    """title, summary, functions, classes, loc of a whole text, as SELECT items."""
+    ls = lines(t)
+    return (f"{ls}[1] AS title, array_to_string(list_transform({ls}, lambda x: regexp_extract(x, '^[^.!?]*[.!?]?')), ' ') AS summary, "
+            f"list_transform({ls}[2:], lambda x: {item_of('x')}) AS functions, [{item(ls, -1)}] AS classes, {loc(t)} AS loc")
+
+
 def r6(x: str) -> str:
     """Round to 6 places; ``+ 0.0`` turns a rounded -0.0 into 0.0 as Spark does."""
     return f"(round({x}, 6) + 0.0)"
@@ -122,9 +132,7 @@ CTES: dict[str, tuple[str, list[str]]] = {
         CAST(strlen(html) AS BIGINT) AS size FROM pages""", []),
     "keyed": (f"SELECT file_id, path, text, {content_hash('text')} AS hash FROM files", ["files"]),
     "summaries": (f"""SELECT hash, {language('path')} AS language, path, text,
-        {lines('text')}[1] AS title, substring(text, 1, 200) AS summary,
-        [{item(lines('text'), 2)}, {item(lines('text'), 3)}, {item(lines('text'), 4)}] AS functions,
-        [{item(lines('text'), 5)}] AS classes, {loc('text')} AS loc
+        {summary_parts('text')}
         FROM (SELECT hash, arg_min(path, file_id) AS path, arg_min(text, file_id) AS text
               FROM keyed GROUP BY hash)""", ["keyed"]),
     "cache": ("SELECT DISTINCT hash FROM keyed WHERE file_id % 3 = 0", ["keyed"]),
@@ -142,7 +150,7 @@ CTES: dict[str, tuple[str, list[str]]] = {
         'Subtopic ' || CAST(pos AS VARCHAR) || ' of domain ' || CAST(domain_id AS VARCHAR) AS description
         FROM domains, (SELECT unnest([0, 1, 2]) AS pos)""", ["domains"]),
     "prices": ("""SELECT model, CAST(i AS DOUBLE) AS input_price, CAST(o AS DOUBLE) AS output_price FROM
-        (VALUES ('model_a', 0.6, 2.4), ('model_b', 3.0, 15.0), ('model_c', 0.1, 0.4)) AS t(model, i, o)""", []),
+        (VALUES ('model_a', 1.5, 7.0), ('model_b', 4.25, 11.5), ('model_c', 0.35, 0.9)) AS t(model, i, o)""", []),
 }
 
 

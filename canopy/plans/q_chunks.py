@@ -34,9 +34,7 @@ o.add_cte("fallback", """SELECT file_id, 0 AS pos, 0 AS win, 0 AS start_line, CA
 o.add_cte("all_chunks", """SELECT file_id, pos, win, start_line, end_line,
       array_to_string(ls[start_line + 1:end_line + 1], chr(10)) AS text
     FROM (SELECT * FROM windows UNION ALL SELECT * FROM fallback)""", ["windows", "fallback"])
-o.add_cte("chunk_summ", f"""SELECT file_id, pos, win, {o.lines('text')}[1] AS title, substring(text, 1, 200) AS summary,
-      [{o.item(o.lines('text'), 2)}, {o.item(o.lines('text'), 3)}, {o.item(o.lines('text'), 4)}] AS functions,
-      [{o.item(o.lines('text'), 5)}] AS classes, {o.loc('text')} AS loc FROM all_chunks""", ["all_chunks"])
+o.add_cte("chunk_summ", f"""SELECT file_id, pos, win, {o.summary_parts('text')} FROM all_chunks""", ["all_chunks"])
 
 
 def _chunks(spark, d):
@@ -97,7 +95,7 @@ def _flaky(text: str) -> dict:
     if len(text) < 120:
         raise ValueError("input too short for the model")
     ls = text.split("\n")
-    return {"title": ls[0], "summary": text[:200], "functions": [], "classes": [], "loc": len(ls)}
+    return {"title": ls[0], "summary": text, "functions": [], "classes": [], "loc": len(ls)}
 
 
 @register("summarise_with_errors")

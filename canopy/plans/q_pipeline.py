@@ -27,17 +27,21 @@ def q_top_directories(spark, d):
     return dv.top_directories(tree.directory_rollup(st.files(spark, d))).select("path", "file_count", "loc")
 
 
+o.add_cte("summaries_by_path", "SELECT k.path, s.* EXCLUDE (path) FROM keyed k JOIN summaries s USING (hash)",
+          ["keyed", "summaries"])
+
+
 @register("key_files", o.with_ctes(
-    "SELECT path, title, CAST(coalesce(length(summary), 0) AS INTEGER) AS summary_len FROM summaries", "summaries"))
+    "SELECT path, title, CAST(coalesce(length(summary), 0) AS INTEGER) AS summary_len FROM summaries_by_path", "summaries_by_path"))
 def q_key_files(spark, d):
-    return dv.key_files(st.summaries(spark, d))
+    return dv.key_files(dv.per_path(st.files(spark, d), st.summaries(spark, d)))
 
 
 _NL = "chr(10)"
 
 
 @register("discovery_context", o.with_ctes(f"""
-    SELECT 'Repository contains ' || CAST((SELECT count(*) FROM summaries) AS VARCHAR) || ' files across '
+    SELECT 'Repository contains ' || CAST((SELECT count(*) FROM summaries_by_path) AS VARCHAR) || ' files across '
         || CAST((SELECT count(*) FROM rollup_docs) AS VARCHAR) || ' directories.' || {_NL} || {_NL}
         || coalesce((SELECT 'Top-level directories:' || {_NL} || string_agg(line, {_NL} ORDER BY loc DESC, path)
                      || {_NL} || {_NL} FROM (
@@ -47,10 +51,10 @@ _NL = "chr(10)"
         || coalesce((SELECT 'Key files:' || {_NL} || string_agg(line, {_NL} ORDER BY n DESC, path) FROM (
              SELECT path, coalesce(length(summary), 0) AS n,
                     '• ' || path || ': ' || coalesce(title, '') || ' - ' || coalesce(summary, '') AS line
-             FROM summaries ORDER BY n DESC, path LIMIT {dv.MAX_FILES})), '') AS context""",
-    "summaries", "rollup_docs"))
+             FROM summaries_by_path ORDER BY n DESC, path LIMIT {dv.MAX_FILES})), '') AS context""",
+    "summaries_by_path", "rollup_docs"))
 def q_discovery_context(spark, d):
-    return dv.discovery_context(st.summaries(spark, d), tree.directory_rollup(st.files(spark, d)))
+    return dv.discovery_context(dv.per_path(st.files(spark, d), st.summaries(spark, d)), tree.directory_rollup(st.files(spark, d)))
 
 
 @register("discover_domains")

@@ -19,6 +19,7 @@ K = 20           # context search k (pool = 2k)
 MAX_QUERY_BATCH = 100_000   # query vectors kept as a local relation (64 floats each)
 MAX_TOPICS = 100_000        # 1 root + domains + subtopics
 TOPK = 10
+FUSION_DEPTH = 100  # ranks of each ranker that hybrid search fuses
 NPROBE = 2
 DIM = 64
 TOKEN_RX = vo.TOKEN_SPLIT
@@ -157,15 +158,15 @@ _BM25_BASE = {
         / (p.tf + CAST(1.2 AS DOUBLE) * (CAST(0.25 AS DOUBLE) + CAST(0.75 AS DOUBLE) * p.dl / st.avgdl))) AS score
         FROM bm_qterms q JOIN bm_post p ON p.term = q.term JOIN bm_df d ON d.term = q.term, bm_stats st
         GROUP BY q.query_id, p.doc_id""", ["bm_qterms", "bm_post", "bm_df", "bm_stats"]),
-    "bm_top": ("""SELECT query_id, doc_id, score, CAST(rank AS INTEGER) AS rank FROM (
+    "bm_top": (f"""SELECT query_id, doc_id, score, CAST(rank AS INTEGER) AS rank FROM (
         SELECT query_id, doc_id, round(score, 6) + 0.0 AS score,
                row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) AS rank FROM bm_scores)
-        WHERE rank <= 10""", ["bm_scores"]),
+        WHERE rank <= {FUSION_DEPTH}""", ["bm_scores"]),
     "doc_vecs": (embed_sql("SELECT doc_id, text FROM documents", "doc_id"), []),
     "dense_top": (f"""SELECT query_id, doc_id, CAST(rank AS INTEGER) AS rank FROM (
         SELECT q.query_id, d.doc_id, row_number() OVER (PARTITION BY q.query_id ORDER BY
           {o.dot('d.vector', 'q.vector')} DESC, CAST(d.doc_id AS VARCHAR)) AS rank FROM doc_vecs d, q_vecs q)
-        WHERE rank <= 10""",
+        WHERE rank <= {FUSION_DEPTH}""",
                   ["doc_vecs", "q_vecs"]),
 }
 for _n, (_s, _d) in _BM25_BASE.items():
@@ -180,7 +181,7 @@ def _docs(spark, d):
     return table(spark, d, "documents").select("doc_id", "text")
 
 
-@register("bm25_topk", o.with_ctes("SELECT query_id, doc_id, score, rank FROM bm_top", "bm_top"))
+@register("bm25_topk", o.with_ctes(f"SELECT query_id, doc_id, score, rank FROM bm_top WHERE rank <= {TOPK}", "bm_top"))
 def q_bm25_topk(spark, d):
     t = kw.bm25_topk(_docs(spark, d), _bench_queries(spark, d), TOPK)
     return t.select("query_id", "doc_id", "score", "rank")
@@ -189,7 +190,7 @@ def q_bm25_topk(spark, d):
 def _dense_rank(spark, d):
     docs = vo.embed_texts(_docs(spark, d)).select(F.col("doc_id").cast("string").alias("id"), "vector")
     q = vo.embed_texts(_bench_queries(spark, d)).select("query_id", "vector")
-    t = vo.topk_similar_batch(docs, q, TOPK)
+    t = vo.topk_similar_batch(docs, q, FUSION_DEPTH)
     return t.select("query_id", F.col("id").cast("long").alias("doc_id"), "rank")
 
 
@@ -200,7 +201,7 @@ def _dense_rank(spark, d):
           SELECT query_id, doc_id, rank FROM bm_top UNION ALL SELECT query_id, doc_id, rank FROM dense_top)
         GROUP BY query_id, doc_id)) WHERE rank <= 10""", "bm_top", "dense_top"))
 def q_hybrid_topk(spark, d):
-    sparse = kw.bm25_topk(_docs(spark, d), _bench_queries(spark, d), TOPK)
+    sparse = kw.bm25_topk(_docs(spark, d), _bench_queries(spark, d), FUSION_DEPTH)
     t = kw.hybrid_topk(sparse, _dense_rank(spark, d), TOPK)
     return t.select("query_id", "doc_id", "score", "rank")
 

@@ -24,7 +24,7 @@ def _query_vec(spark, d):
 
 def _with_domain(df, spark, d):
     dom = st.domains(spark, d).select(F.col("domain_id").alias("label"), F.col("vector").alias("dv"))
-    return df.join(F.broadcast(dom), "label")  # <= one row per label
+    return df.join(dom, "label")  # <= one row per label
 
 
 @register("normalize_vectors", o.with_ctes(f"""
@@ -202,7 +202,7 @@ o.add_cte("node_texts", """
     UNION ALL
     SELECT hash || ':' || kind || ':' || CAST(idx AS VARCHAR) || ':' || it.name, 'chunk', it.name || ': ' || it.summary
     FROM (SELECT hash, 'func' AS kind, i - 1 AS idx, functions[i] AS it
-          FROM summaries, (SELECT unnest(range(1, 4)) AS i)
+          FROM (SELECT hash, functions, unnest(range(1, len(functions) + 1)) AS i FROM summaries)
           UNION ALL SELECT hash, 'class', 0, classes[1] FROM summaries)
     WHERE coalesce(it.name, '') <> '' AND coalesce(it.summary, '') <> ''""", ["summaries"])
 

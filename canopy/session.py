@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,13 +38,15 @@ def get_spark(master: str | None = None, app: str = "canopy",
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared checkpoint folder named by the cluster (``spark.checkpoint.dir``).
 
-    Only when the setting is absent (local tests) a fresh scratch folder is
-    created and registered; on a cluster the configured shared folder is used.
+    Where the setting is absent, a local master (tests) gets a fresh scratch
+    folder; on a cluster executors would not share one, so that is an error.
     """
     conf = spark.conf.get("spark.checkpoint.dir", None)
     if conf:
         spark.sparkContext.setCheckpointDir(conf)
         return conf
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     path = tempfile.mkdtemp(prefix="canopy-ckpt-")
     spark.conf.set("spark.checkpoint.dir", path)
     spark.sparkContext.setCheckpointDir(path)

@@ -1,8 +1,8 @@
 """File scan and the scan-time filters.
 
-The directory walk of a single process becomes one distributed listing
-(``binaryFile`` with recursive lookup); every filter below is a narrow,
-per-row predicate, so a 100 TB corpus is filtered without a shuffle.
+The directory walk of a single process becomes a distributed listing; every
+filter below is a narrow, per-row predicate on the listing, so a 100 TB corpus
+is filtered without a shuffle and before any file is opened.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from canopy.functions.text import basename, extension, line_count, prefixes, segments
 
@@ -28,27 +29,76 @@ IGNORED_DIR_NAMES = [
 ]
 MAX_FILE_BYTES = 1024 * 1024
 MAX_FILES = 500
-MAX_RULES = 10_000
 
 
-def scan_directory(spark: SparkSession, root: str, path_glob: str | None = None) -> DataFrame:
-    """Recursive listing + read of a root folder.
+LISTING = "path string, size long, modified timestamp"
 
-    Returns ``path`` (relative to ``root``), ``size``, ``modified`` and the
-    UTF-8 ``text``.  The listing itself is distributed by Spark's file index.
+
+def _open_root(root: str):
+    """(file system, folder path) of a root given as URI or absolute path."""
+    from pyarrow import fs
+    root = re.sub(r"^file:/+", "file:///", root.rstrip("/"))
+    return fs.FileSystem.from_uri(root)
+
+
+def list_files(spark: SparkSession, root: str) -> DataFrame:
+    """``path`` (relative to ``root``), ``size`` and ``modified`` of every file below a folder.
+
+    Spark's own file index drops names that start with '_' or '.', so the
+    folder is listed through its file system: the top level by the driver,
+    each folder below it by a task.  No file is opened.
     """
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    if path_glob:
-        reader = reader.option("pathGlobFilter", path_glob)
-    df = reader.load(root)
-    root_uri = root.rstrip("/")
-    rel = F.regexp_replace(F.col("path"), r"^(file:)?/*" + re.escape(root_uri.lstrip("/")) + "/", "")
-    return df.select(
-        rel.alias("path"),
-        F.col("length").alias("size"),
-        F.col("modificationTime").alias("modified"),
-        F.decode(F.col("content"), "UTF-8").alias("text"),
-    )
+    files, base = _open_root(root)
+    from pyarrow import fs
+    top = files.get_file_info(fs.FileSelector(base))
+    folders = sorted(i.base_name for i in top if i.type == fs.FileType.Directory)
+    own = [(i.base_name, i.size, i.mtime) for i in top if i.type == fs.FileType.File]
+    dealt = spark.createDataFrame([(f,) for f in folders], "folder string").repartition(max(1, len(folders)))
+
+    def walk(batches):
+        import pyarrow as pa
+        from pyarrow import fs
+        files, base = _open_root(root)
+        for batch in batches:
+            todo = batch.column(0).to_pylist()
+            while todo:
+                folder = todo.pop()
+                found = files.get_file_info(fs.FileSelector(f"{base}/{folder}"))
+                todo += [f"{folder}/{i.base_name}" for i in found if i.type == fs.FileType.Directory]
+                here = [i for i in found if i.type == fs.FileType.File]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([f"{folder}/{i.base_name}" for i in here], pa.string()),
+                     pa.array([i.size for i in here], pa.int64()),
+                     pa.array([i.mtime for i in here], pa.timestamp("us", "UTC"))], names=["path", "size", "modified"])
+
+    return dealt.mapInArrow(walk, LISTING).unionByName(spark.createDataFrame(own, LISTING))
+
+
+def read_texts(listed: DataFrame, root: str) -> DataFrame:
+    """``listed`` with ``text``: the content of each file as UTF-8 (bytes that are none become replacement characters).
+
+    Files are dealt over the tasks first, since a listing's rows stand where
+    their folder was listed; a task holds one file's text beside its batch.
+    """
+    columns = listed.columns
+
+    def read(batches):
+        import pyarrow as pa
+        files, base = _open_root(root)
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1)
+                with files.open_input_stream(f"{base}/{row.column(columns.index('path'))[0].as_py()}") as f:
+                    text = f.read().decode("utf-8", errors="replace")
+                yield pa.RecordBatch.from_arrays([*row.columns, pa.array([text])], names=[*columns, "text"])
+
+    schema = T.StructType([*listed.schema.fields, T.StructField("text", T.StringType())])
+    return listed.repartition("path").mapInArrow(read, schema)
+
+
+def scan_directory(spark: SparkSession, root: str) -> DataFrame:
+    """Listing and texts of every file below a folder."""
+    return read_texts(list_files(spark, root), root)
 
 
 def filter_extension(df: DataFrame, exts=SUPPORTED_EXTENSIONS, path: str = "path") -> DataFrame:
@@ -86,23 +136,15 @@ def limit_files(df: DataFrame, n: int = MAX_FILES, order: str = "path") -> DataF
 # ---------------------------------------------------------------- ignore rules
 
 def parse_ignore_rules(lines) -> list[str]:
-    """Trim, drop blanks and '#' comments, strip one trailing '/'."""
-    out = []
-    for line in lines:
-        p = (line or "").strip()
-        if not p or p.startswith("#"):
-            continue
-        if p.endswith("/"):
-            p = p[:-1]
-        out.append(p)
-    return out
+    """Trim, drop blanks and '#' comments.  Order and trailing '/' count."""
+    stripped = ((line or "").strip() for line in lines)
+    return [p for p in stripped if p and not p.startswith("#")]
 
 
 def read_ignore_file(spark: SparkSession, path: str) -> list[str]:
     """Read an ignore file through the session's Hadoop file system (any
     cluster file system; Spark's file listing would skip a hidden name such
-    as ``.gitignore``).  The rule list is bounded because it becomes part of
-    the plan."""
+    as ``.gitignore``)."""
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -113,83 +155,68 @@ def read_ignore_file(spark: SparkSession, path: str) -> list[str]:
         text = jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
     finally:
         stream.close()
-    lines = text.split("\n")
-    if len(lines) > MAX_RULES:
-        raise ValueError(f"ignore file has more than {MAX_RULES} lines")
-    return parse_ignore_rules(lines)
+    return parse_ignore_rules(text.split("\n"))
 
 
-def glob_to_regex(pattern: str, compat: bool = False) -> str:
-    """Anchored regex for a '*' rule.
+def glob_to_regex(pattern: str) -> str:
+    """Regex, over a path relative to the root, of a rule without '!' and trailing '/'.
 
-    ``compat=True`` reproduces the reference translation (only '.' escaped,
-    '**' ends up as ``.[^/]*``); the default escapes every metacharacter and
-    maps '**' to ``.*``, '*' to ``[^/]*``, '?' to ``[^/]``.
+    A pattern with a '/' at its start or inside is anchored to the root; any
+    other matches the last segment at every depth.  '**/' stands for any
+    number of segments, a final '/**' for all below, '*' and '?' stay within
+    a segment, '[...]' is a character class ('!' negates), '\\' quotes.
     """
-    if compat:
-        rx = pattern.replace(".", "\\.").replace("**", ".*").replace("*", "[^/]*")
-        return f"^{rx}$"
-    out, i = [], 0
-    while i < len(pattern):
-        ch = pattern[i]
-        if pattern.startswith("**", i):
+    anchored = "/" in pattern
+    p, out, i = pattern.lstrip("/"), [], 0
+    while i < len(p):
+        if p.startswith("**/", i) and (i == 0 or p[i - 1] == "/"):
+            out.append("(?:.*/)?")
+            i += 3
+        elif p.startswith("**", i) and i + 2 == len(p) and (i == 0 or p[i - 1] == "/"):
             out.append(".*")
             i += 2
-            continue
-        if ch == "*":
+        elif p[i] == "*":
             out.append("[^/]*")
-        elif ch == "?":
+            i += 1
+        elif p[i] == "?":
             out.append("[^/]")
-        elif ch in ".^$+{}[]()|\\":
-            out.append("\\" + ch)
+            i += 1
+        elif p[i] == "[" and "]" in p[i + 2:]:
+            end = p.index("]", i + 2)
+            body = p[i + 1:end].replace("\\", "\\\\").replace("[", "\\[").replace("&&", "&\\&")
+            out.append(f"[{'^' + body[1:] if body[0] in '!^' else body}]")
+            i = end + 1
         else:
-            out.append(ch)
-        i += 1
-    return "^" + "".join(out) + "$"
+            if p[i] == "\\" and i + 1 < len(p):
+                i += 1
+            out.append(re.escape(p[i]))
+            i += 1
+    return ("^" if anchored else "^(?:.*/)?") + "".join(out) + "$"
 
 
-def _rule_matches_any_prefix(path: str, rule: str, compat: bool) -> Column:
-    """A rule hits a file when it hits the file or any ancestor directory."""
-    if "*" in rule:
-        rx = glob_to_regex(rule, compat)
-        return F.exists(prefixes(path), lambda x: x.rlike(rx))
-    p = F.col(path)
-    # Plain rule: equal, under it, or equal to any segment.  Checking the full
-    # path covers every prefix because a prefix's segments are the path's.
-    return (p == F.lit(rule)) | p.startswith(rule + "/") | F.array_contains(segments(path), rule)
+def ignore_predicate(rules: list[str], path: str = "path") -> Column:
+    """Boolean column: do the rules ignore the file?
 
+    For the file and each folder above it the last rule that matches decides;
+    '!' re-includes.  A file below an ignored folder is ignored whatever later
+    rules say of it.  A rule with a trailing '/' matches folders only.
+    """
+    def verdict(prefix: Column) -> Column:
+        out = None
+        for rule in reversed(rules):
+            back, body = rule.startswith("!"), rule.removeprefix("!")
+            hit = prefix.rlike(glob_to_regex(body.rstrip("/")))
+            if body.endswith("/"):
+                hit = hit & (prefix != F.col(path))
+            out = F.when(hit, F.lit(not back)) if out is None else out.when(hit, F.lit(not back))
+        return F.lit(False) if out is None else out.otherwise(F.lit(False))
 
-def _rule_misses_some_prefix(path: str, rule: str, compat: bool) -> Column:
-    if "*" in rule:
-        rx = glob_to_regex(rule, compat)
-        return F.exists(prefixes(path), lambda x: ~x.rlike(rx))
-    return F.exists(prefixes(path), lambda x: ~((x == F.lit(rule)) | x.startswith(rule + "/")
-                                              | F.array_contains(F.split(x, "/"), rule)))
-
+    return F.exists(prefixes(path), verdict)
 
-def ignore_predicate(rules: list[str], compat: bool = False, path: str = "path") -> Column:
-    """Boolean column: is the file ignored by ``rules``.
 
-    compat: ``!p`` means "ignored when some walked prefix does not match p"
-    (the reference behaviour).  Default: ``!p`` re-includes paths that match p.
-    """
-    if len(rules) > MAX_RULES:
-        raise ValueError("too many ignore rules")
-    pos = [r for r in rules if not r.startswith("!")]
-    neg = [r[1:] for r in rules if r.startswith("!")]
-    if compat:
-        terms = [_rule_matches_any_prefix(path, r, True) for r in pos]
-        terms += [_rule_misses_some_prefix(path, r, True) for r in neg]
-        return reduce(lambda a, b: a | b, terms, F.lit(False))
-    hit = reduce(lambda a, b: a | b, [_rule_matches_any_prefix(path, r, False) for r in pos], F.lit(False))
-    back = reduce(lambda a, b: a | b, [_rule_matches_any_prefix(path, r, False) for r in neg], F.lit(False))
-    return hit & ~back
-
-
-def filter_ignore_rules(df: DataFrame, rules: list[str], compat: bool = False,
-                        path: str = "path") -> DataFrame:
+def filter_ignore_rules(df: DataFrame, rules: list[str], path: str = "path") -> DataFrame:
     """Drop files hit by the ignore rules (a narrow filter, no join)."""
-    return df.where(~ignore_predicate(rules, compat, path))
+    return df.where(~ignore_predicate(rules, path))
 
 
 def file_records(df: DataFrame, id_col: str = "file_id") -> DataFrame:
@@ -207,19 +234,26 @@ def file_records(df: DataFrame, id_col: str = "file_id") -> DataFrame:
 
 
 def scan_files(spark: SparkSession, root: str, rules: list[str] | None = None,
-               max_bytes: int = MAX_FILE_BYTES, max_files: int | None = None) -> DataFrame:
-    """S1-S6 composed: listing -> ignore rules -> pruned dirs -> extension -> size.
+               max_bytes: int | None = None, max_files: int | None = None) -> DataFrame:
+    """S1-S6 composed: listing -> ignore rules -> pruned dirs -> extension -> size -> texts.
 
-    ``rules=None`` reads ``<root>/.gitignore`` when present.  Spark's listing
-    skips hidden files and folders (names starting with '.' or '_'), which
-    also covers the ``.git``-style pruned names.
+    All filters see paths and sizes alone; only files that pass are opened.
+    ``rules=None`` reads ``<root>/.gitignore`` when present.  ``max_bytes``
+    is off unless given (``skipped_files`` reports what it leaves out).
     """
     if rules is None:
         rules = read_ignore_file(spark, root.rstrip("/") + "/.gitignore")
-    df = scan_directory(spark, root)
+    df = list_files(spark, root)
     if rules:
         df = filter_ignore_rules(df, rules)
-    df = filter_max_size(filter_extension(filter_ignored_dirs(df)), max_bytes)
+    df = filter_extension(filter_ignored_dirs(df))
+    if max_bytes is not None:
+        df = filter_max_size(df, max_bytes)
     if max_files is not None:
         df = limit_files(df, max_files)
-    return df
+    return read_texts(df, root)
+
+
+def skipped_files(listed: DataFrame, max_bytes: int) -> DataFrame:
+    """Files that the size guard leaves out."""
+    return listed.where(F.col("size") > max_bytes)

@@ -17,10 +17,9 @@ from canopy.operators.summarise import summarise_files
 from canopy.sources.tables import table
 
 # Fixed stand-in parameters.
-IGNORE_FILE_LINES = ["src3/", "src1*/de/*", "doc7.ts", "# c", ""]
-IGNORE_FILE_LINES_COMPAT = IGNORE_FILE_LINES + ["!src5"]
-# price per 1M tokens (input, output); "model_x" is deliberately missing.
-PRICES = [("model_a", 0.6, 2.4), ("model_b", 3.0, 15.0), ("model_c", 0.1, 0.4)]
+IGNORE_FILE_LINES = ["src3/", "src1*/de/*", "doc7.ts", "# c", "", "/src5/*", "!src5/en", "**/doc4*", "!doc41*"]
+# invented price per 1M tokens (input, output); "model_x" is deliberately missing.
+PRICES = [("model_a", 1.5, 7.0), ("model_b", 4.25, 11.5), ("model_c", 0.35, 0.9)]
 
 
 def _ext(lang):

@@ -15,7 +15,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from canopy.session import checkpoint_dir
+from canopy.session import checkpoint_dir, materialize
 
 
 class TableStore:
@@ -73,6 +73,21 @@ class TableStore:
         else:
             df.write.mode("append").parquet(f"{self.root}/{name}/{v}")
 
+    def put_summaries(self, name: str, new: DataFrame) -> None:
+        """One row per hash: new hashes are appended; where an error row is
+        replaced, the table is written anew without it."""
+        if not self.exists(name):
+            self.replace(name, new)
+            return
+        old = self.read(name)
+        if old.where("status <> 'ok'").isEmpty():
+            self.append(name, new.join(old.select("hash"), "hash", "left_anti").select(*old.columns))
+            return
+        fresh = materialize(new, name)
+        kept = old.where("status = 'ok'").join(fresh.select("hash"), "hash", "left_anti")
+        left = old.where("status <> 'ok'").join(fresh.select("hash"), "hash", "left_anti")
+        self.replace(name, kept.unionByName(left).unionByName(fresh))
+
     def upsert(self, name: str, new: DataFrame, keys=("id", "model"), order: str = "batch",
                partition_by: list[str] | None = ("model",)) -> str:
         """Latest-wins merge on ``keys`` written as a new version."""

@@ -1,9 +1,9 @@
 """ST1: cache-first incremental summaries as a Structured Streaming job.
 
 New files (or new rows of a document table) arrive on a file stream; each
-micro-batch hashes the content, drops hashes already summarised
-(anti join against the summaries table), summarises the rest and appends
-them.  The content hash is the idempotency key, so a replayed batch after
+micro-batch hashes the content, drops hashes summarised well
+(anti join against the summaries table), summarises the rest and stores
+them; a stored error row is no hit and is replaced.  The content hash is the idempotency key, so a replayed batch after
 an executor or driver loss adds nothing twice; the stream checkpoint lives
 in the shared checkpoint folder.  No watermark is needed: there is no
 event-time aggregation, only a keyed anti join against a table.
@@ -24,9 +24,9 @@ def process_batch(store: TableStore, name: str = "summaries"):
     def fn(batch: DataFrame, epoch_id: int) -> None:
         keyed = batch.select("file_id", "path", "text", content_hash("text").alias("hash"))
         if store.exists(name):
-            keyed = keyed.join(store.read(name).select("hash"), "hash", "left_anti")
-        summ = summarise_files(keyed.drop("hash"))
-        store.append(name, summ)
+            good = store.read(name).where("status = 'ok'").select("hash")
+            keyed = keyed.join(good, "hash", "left_anti")
+        store.put_summaries(name, summarise_files(keyed.drop("hash")))
     return fn
 
 

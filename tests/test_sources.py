@@ -1,4 +1,4 @@
-"""Directory scan (binaryFile) with all scan-time filters, and the table store."""
+"""Directory scan with all scan-time filters, and the table store."""
 
 import os
 
@@ -36,10 +36,21 @@ def test_scan_directory_and_filters(spark, tmp_path):
     assert [r["path"] for r in capped] == ["README.md", "docs/big.md"]
 
 
+def test_scan_keeps_hidden_names_and_takes_uris(spark, tmp_path):
+    root = tmp_path / "repo"
+    names = ["pkg/__init__.py", "pkg/_app.tsx", "_shared/b.ts", ".eslintrc.json", "pkg/a.py", "top.py"]
+    for n in names:
+        _write(str(root), n, "x = 1\n")
+    for given in (str(root), f"file://{root}", f"file:{root}/"):
+        assert sorted(r["path"] for r in scan.scan_files(spark, given).collect()) == sorted(names)
+    listed = scan.list_files(spark, str(root))
+    assert scan.skipped_files(listed, 3).count() == len(names) and scan.scan_files(spark, str(root), max_bytes=3).count() == 0
+
+
 def test_read_ignore_file(spark, tmp_path):
     p = tmp_path / ".gitignore"
     p.write_text("build/\n# c\n\n*.log\n!keep.log\n")
-    assert scan.read_ignore_file(spark, str(p)) == ["build", "*.log", "!keep.log"]
+    assert scan.read_ignore_file(spark, str(p)) == ["build/", "*.log", "!keep.log"]
 
 
 def test_store_replace_and_upsert(spark, tmp_path):

@@ -37,16 +37,25 @@ def test_ignored_dirs_are_substrings(spark):
 
 def test_ignore_rules(spark):
     rules = scan.parse_ignore_rules(["dist/", "# comment", "", "*.log", "a*/b/*"])
-    assert rules == ["dist", "*.log", "a*/b/*"]
+    assert rules == ["dist/", "*.log", "a*/b/*"]
     df = spark.createDataFrame([("dist/x.ts",), ("x.log",), ("d/x.log",), ("ab/b/c.ts",), ("ab/c/c.ts",)], "path string")
     kept = {r["path"] for r in scan.filter_ignore_rules(df, rules).collect()}
-    assert kept == {"d/x.log", "ab/c/c.ts"}  # '*' stays inside one segment; anchored
-
-
-def test_compat_negation(spark):
-    df = spark.createDataFrame([("src5/a.ts",), ("src1/a.ts",)], "path string")
-    kept = {r["path"] for r in scan.filter_ignore_rules(df, ["!src5"], compat=True).collect()}
-    assert kept == {"src5/a.ts"}
+    assert kept == {"ab/c/c.ts"}  # '*' stays inside one segment; a '/' inside anchors
+
+
+def test_ignore_rules_last_match_and_anchors(spark):
+    paths = ["a/b/x.log", "foo", "d/foo", "build/x", "d/build/x", "tmp1.c", "tmpx.c", "keep.log", "out/keep.log", "logs/a", "logs"]
+    df = spark.createDataFrame([(p,) for p in paths], "path string")
+    kept = lambda *rules: {r["path"] for r in scan.filter_ignore_rules(df, list(rules)).collect()}
+    assert kept("*.log") == set(paths) - {"a/b/x.log", "keep.log", "out/keep.log"}
+    assert kept("**/foo") == set(paths) - {"foo", "d/foo"}
+    assert kept("/build") == set(paths) - {"build/x"}
+    assert kept("tmp[0-9].c") == set(paths) - {"tmp1.c"} and kept("tmp[!0-9].c") == set(paths) - {"tmpx.c"}
+    assert kept("!keep.log", "*.log") == kept("*.log")
+    assert kept("*.log", "!keep.log") == set(paths) - {"a/b/x.log"}
+    assert kept("out", "!keep.log") == set(paths) - {"out/keep.log"}  # its folder stays ignored
+    assert kept("logs/") == set(paths) - {"logs/a"}
+    assert kept() == set(paths)
 
 
 def _text(n):
