@@ -37,6 +37,7 @@ from canopy.llm.shared import slices
 
 SPACE = "▁"        # fixed value: the mark that stands for a space in pieces
 NORMAL, CONTROL, BYTE = 1, 3, 6  # fixed values: piece types of the model format
+SHORT_TEXT = 48         # characters up to which merging keeps its scores in a list
 LONG_WORD = 64          # longer words are encoded each time and not kept
 MAX_WORDS = 400_000     # kept words per Python worker; the cache restarts when full
 TEXTS_AT_ONCE = 256
@@ -68,9 +69,15 @@ class _Model:
         self.bytes = {int(p.piece[1:-1], 16): i for i, p in enumerate(spec.pieces) if p.type == BYTE}
         self.byte_of = {i: b for b, i in self.bytes.items()}
         self.end_id = next(i for i, p in enumerate(spec.pieces) if p.piece == "</s>")
+        self.number = {p: str(i) for p, i in self.ids.items()}
         self.automaton = ahocorasick.Automaton()
+        self.shorter: dict[str, str] = {}  # the longest shorter piece that a piece begins with
         for piece in self.ids:
-            self.automaton.add_word(piece, len(piece))
+            if len(piece) > 1:  # a single character is the default
+                self.automaton.add_word(piece, len(piece))
+                begin = next((piece[:k] for k in range(len(piece) - 1, 0, -1) if piece[:k] in self.ids), None)
+                if begin:
+                    self.shorter[piece] = begin
         self.automaton.make_automaton()
         self.pairs: dict[tuple[str, str], bool] = {}
         self.known: dict[str, tuple[str, str]] = {}
@@ -80,6 +87,8 @@ class _Model:
     def merge(self, text: str) -> list[str]:
         """Pieces of a text by merging, best score and then leftmost first."""
         n = len(text)
+        if n <= SHORT_TEXT:
+            return self._merge_short(list(text))
         right, left = list(range(1, n + 1)), list(range(-1, n - 1))
         size, heap = [1] * n, []
 
@@ -105,6 +114,20 @@ class _Model:
                 offer(left[i])
         return [text[i:i + s] for i, s in enumerate(size) if s]
 
+    def _merge_short(self, parts: list[str]) -> list[str]:
+        """The same without a heap: the scores of all neighbours in a list."""
+        get, none = self.scores.get, float("-inf")
+        scores = [get(a + b, none) for a, b in zip(parts, parts[1:])]
+        while scores and (best := max(scores)) != none:
+            k = scores.index(best)
+            parts[k:k + 2] = [parts[k] + parts[k + 1]]
+            del scores[k]
+            if k:
+                scores[k - 1] = get(parts[k - 1] + parts[k], none)
+            if k < len(scores):
+                scores[k] = get(parts[k] + parts[k + 1], none)
+        return parts
+
     def compatible(self, a: str, b: str) -> bool:
         if (a, b) not in self.pairs:
             if len(self.pairs) > 4 * MAX_WORDS:
@@ -117,34 +140,41 @@ class _Model:
         if word in self.ids:  # the longest match covers it
             return [word]
         n = len(word)
-        sizes: list[list[int]] = [[] for _ in range(n)]  # of the pieces that start at each character, ascending
+        longest = [1] * n  # size of the longest piece that starts at each character: ends ascend, so the last stays
         for end, size in self.automaton.iter(word):
-            sizes[end - size + 1].append(size)
-        failed = bytearray(n // 8 + 1)
+            longest[end - size + 1] = size
+        failed = None  # bitfield of positions from which no encoding goes on
+        pairs, shorter = self.pairs, self.shorter
         out: list[str] = []
-        starts: list[int] = []
-        at, longest = 0, n  # longest: only pieces up to this size are tried at this position
-        while at < n:
-            own = sizes[at]
-            for size in (reversed(own) if own else (1,)):
-                end = at + size
-                if size > longest or failed[end >> 3] >> (end & 7) & 1:
-                    continue
-                piece = word[at:end]
-                if not out or not own or not sizes[starts[-1]] or self.compatible(out[-1], piece):
+        before, at = None, 0
+        piece = word[:longest[0]]
+        while True:
+            end = at + len(piece)
+            if failed is None or not failed[end >> 3] >> (end & 7) & 1:
+                fits = before is None or pairs.get((before, piece))
+                if fits is None:
+                    fits = self.compatible(before, piece)
+                if fits:
                     out.append(piece)
-                    starts.append(at)
-                    at, longest = end, n
-                    break
-            else:
+                    if end == n:
+                        return out
+                    before, at, piece = piece, end, word[end:end + longest[end]]
+                    continue
+            piece = shorter.get(piece)
+            if piece is None:  # none fits here: mark it and take the last piece back, whose end has now failed
                 if not out:
                     raise ValueError(f"no encoding of {word!r}")
+                failed = failed or bytearray(n // 8 + 1)
                 failed[at >> 3] |= 1 << (at & 7)
-                longest, at = len(out.pop()), starts.pop()
-        return out
+                piece = out.pop()
+                at -= len(piece)
+                before = out[-1] if out else None
+
+    def word_pieces(self, word: str) -> list[str]:
+        return self.merge(word) if word.startswith(2 * SPACE) else self.backtrack(word)
 
-    def word_ids(self, word: str) -> list[int]:
-        pieces = self.merge(word) if word.startswith(2 * SPACE) else self.backtrack(word)
+    def piece_ids(self, pieces: list[str]) -> list[int]:
+        """Ids of pieces; a character that is none has the ids of its bytes."""
         out: list[int] = []
         for piece in pieces:
             if piece in self.ids:
@@ -188,12 +218,14 @@ class _Model:
 
     def learn(self, words) -> None:
         for w in words:
-            ids = self.word_ids(w)
-            if any(i in self.byte_of for i in ids):
-                text = self.decode(ids, first=False)
-            else:
-                text = "".join([self.pieces[i] for i in ids]).replace(SPACE, " ")
-            self.known[w] = " ".join(map(str, ids)), text
+            pieces = self.word_pieces(w)
+            try:
+                ids = " ".join([self.number[p] for p in pieces])
+                text = "".join(pieces).replace(SPACE, " ")  # the pieces of those ids
+            except KeyError:
+                numbers = self.piece_ids(pieces)
+                ids, text = " ".join(map(str, numbers)), self.decode(numbers, first=False)
+            self.known[w] = ids, text
 
     def encode_decode(self, texts: list[str | None]) -> list[tuple[str, str]]:
         """(ids as decimal numbers joined by spaces, text decoded from those ids) of each text."""
