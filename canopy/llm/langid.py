@@ -183,13 +183,17 @@ def held_out(id_col: str = "doc_id"):
 def sample(docs: DataFrame, docs_per_language: int, id_col: str, text_col: str, lang_col: str) -> list:
     """At most ``docs_per_language`` (lang, text) rows of each language: those of the least id hash.
 
-    The choice reads ids and languages only; a limited window keeps that many
-    rows a task.  Then the texts of the chosen ids are fetched.
+    The choice reads ids and languages only: limited windows over the salted
+    languages first, so that the last sees a bounded number of rows of each
+    language however many there are.  Then the texts of the chosen ids are fetched.
     """
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).cast("string").alias("lang"))
     own = own.where(F.col("lang").isNotNull() & ~held_out("doc_id"))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = own.withColumn("n", F.row_number().over(order)).where(F.col("n") <= docs_per_language).select("doc_id")
+    chosen = own.withColumn("salt", F.pmod(F.xxhash64(F.lit("salt"), "doc_id"), F.lit(64)))
+    for keys in (["lang", "salt"], ["lang"]):
+        order = Window.partitionBy(*keys).orderBy(F.xxhash64("doc_id"), "doc_id")
+        chosen = chosen.withColumn("n", F.row_number().over(order)).where(F.col("n") <= docs_per_language)
+    chosen = chosen.select("doc_id")
     ids = [r[0] for r in chosen.distinct().collect()]
     rows = (docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"),
                         F.col(lang_col).cast("string").alias("lang"))
