@@ -38,11 +38,12 @@ CLASSES = (
     ("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz+/_=-", 20, 3.9),
 )
 # A candidate must mix letters and digits: words of natural text are never random.
-MIXED = "(?=.*[0-9])(?=.*[A-Za-z])"
+MIXED = ("[0-9]", "[A-Za-z]")
+# Quantifiers are possessive, so that a match takes linear time and no stack however long the candidate is.
 ALLOWED = (
     "(?i)example|placeholder|dummy|changeme|your[_-]|xxxx|0123456789|abcdefgh|"
     "^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$|"
-    "^/?([a-z]+[_-]?[a-z]*/)+[a-z0-9_-]*$|^[a-z]+([_-][a-z]+)*[_-]?[0-9]{0,4}$"
+    "^/?([a-z]++[_-]?+[a-z]*+/)++[a-z0-9_-]*+$|^[a-z]++([_-][a-z]++)*+[_-]?[0-9]{0,4}$"
 )
 POINT = 1 << 16
 
@@ -137,7 +138,7 @@ def _class_spans(found: Column, n: int) -> Column:
 
 def _entropy(found: Column) -> Column:
     """Entropy spans of the candidates ``found``."""
-    able = F.filter(found, lambda x: x["hit"].rlike(MIXED) & ~x["hit"].rlike(ALLOWED))
+    able = F.filter(found, lambda x: x["hit"].rlike(MIXED[0]) & x["hit"].rlike(MIXED[1]) & ~x["hit"].rlike(ALLOWED))
     spans = [_class_spans(able, n) for n in range(len(CLASSES))]
     return F.concat(*spans)
 

@@ -108,7 +108,7 @@ def brute_secrets(text):
     found = []
     for m in re.finditer(secrets.CANDIDATE, text):
         s = m[0]
-        if not re.search(secrets.MIXED, s) or re.search(secrets.ALLOWED, s):
+        if not all(re.search(m, s) for m in secrets.MIXED) or re.search(secrets.ALLOWED, s):
             continue
         letters, w, bits = next(c for c in secrets.CLASSES if set(s) <= set(c[0]))
         runs = []
@@ -156,6 +156,13 @@ def test_secrets_match_brute_force(spark):
     assert secrets.find_secrets(empty(frame)).collect() == []
 
 
+def test_secret_scan_of_very_long_candidates(spark):
+    long = ["-".join(["a"] * 20_000) + "9", "/".join(["a"] * 20_000) + "9", "=" * 100_000, "g" * 100_000 + "9"]
+    frame = spark.createDataFrame(list(enumerate(long)), "doc_id long, text string")
+    for r in secrets.find_secrets(frame).collect():
+        assert ([tuple(x) for x in r.base], [tuple(x) for x in r.entropy]) == ([], []), r.doc_id
+
+
 def test_secret_scan_runs_no_python(spark, docs):
     plan = secrets.span_digest(secrets.find_secrets(docs))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Exchange.*text", plan.split("Scan ExistingRDD")[0].replace("RoundRobin", ""))
