@@ -1,22 +1,25 @@
 """Sparse keyword scoring (X1): BM25 top-k and hybrid fusion with dense ranks.
 
 Index pass: one read of the documents in Arrow batches -- tokenise, keep
-only tokens of the batch's query terms (the term list is bounded and
-shipped with the task), count (doc, term), and emit per-batch corpus
-statistics in the same output, written once as a parquet table in the
-shared checkpoint folder.  The document length rides along in every
-posting, so scoring never joins back to the documents.  Document
-frequencies are computed for query terms only; per-query top-k is a
-partial + final ``WindowGroupLimit``.  A hot term that occurs in a third of
-all documents only lengthens its postings; no task receives a whole
-posting list and nothing is grouped by term before the filter.
+only tokens of the batch's query terms, count (doc, term), and write one row
+per document: its length and two parallel arrays of term numbers and counts,
+as a parquet table in the shared checkpoint folder.  Corpus size and average
+length are one aggregate over it, document frequencies one count per term.
+
+Scoring pass: every Arrow batch of index rows is scored against the query
+terms, and only the batch's k best documents of each query leave the task
+(ties at the k-th score cut by id), so the last exchange carries at most
+k x queries x batches rows however many documents share a term.  A term
+that occurs in a third of all documents only lengthens the rows.
+
+Query batches of more than ``max_pairs`` (query, term) pairs are answered in
+blocks of queries, one pass each, with the same results.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from canopy.operators.vectors import TOKEN_SPLIT, tokens
 from canopy.session import materialize
@@ -24,96 +27,125 @@ from canopy.session import materialize
 K1 = 1.2
 B = 0.75
 RRF_K = 60
-MAX_QUERY_TERMS = 1_000_000
+MAX_PAIRS = 1_000_000   # (query, term) pairs that travel to the tasks at once
 
 
-def postings(docs: DataFrame, key: str = "doc_id", text: str = "text", terms: DataFrame | None = None) -> DataFrame:
-    """(doc, term, tf, dl) per distinct term of each document.
-
-    With ``terms`` (a small, broadcast set) only postings of those terms are
-    aggregated: the filter runs right after the explode, before the shuffle.
-    """
-    t = docs.select(key, tokens(text).alias("_t"))
-    ex = t.select(key, F.size("_t").alias("dl"), F.explode("_t").alias("term"))
-    if terms is not None:
-        ex = ex.join(terms, "term", "left_semi")
-    return ex.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
-
-
-def corpus_stats(docs: DataFrame, text: str = "text") -> tuple[int, float]:
-    """(N, average document length) as two driver scalars."""
-    r = docs.select(F.size(tokens(text)).alias("dl")).agg(F.count(F.lit(1)), F.avg("dl")).first()
-    return int(r[0]), float(r[1] or 0.0)
-
-
-def _postings_batches(key: str, text: str, qterms: list[str]):
-    """Arrow-batch postings: tokenise (lower-case, split on non-word runs),
-    keep query-term tokens, count per (document, term); every batch also
-    emits one statistics row (documents, total length) so the corpus
-    statistics come out of the same single pass."""
+def _index_batches(key: str, text: str, terms: list[str]):
+    """Arrow batches -> (key, dl, terms, tfs): token counts of the query terms of every document."""
     import numpy as np
     import pyarrow as pa
     import pyarrow.compute as pc
 
-    value_set = pa.array(sorted(qterms), pa.string())
-
     def run(batches):
+        known = pa.array(terms, pa.string())
         for rb in batches:
             n = rb.num_rows
-            ids = rb.column(rb.schema.get_field_index(key))
-            txt = rb.column(rb.schema.get_field_index(text))
+            txt = pc.fill_null(rb.column(rb.schema.get_field_index(text)), "")
             toks = pc.split_pattern_regex(pc.utf8_lower(txt), pattern=TOKEN_SPLIT)
-            lens = np.asarray(pc.fill_null(pc.list_value_length(toks), 0).to_numpy(zero_copy_only=False), np.int64)
+            rows = np.repeat(np.arange(n, dtype=np.int64), np.asarray(pc.list_value_length(toks), np.int64))
             flat = pc.list_flatten(toks)
-            rows = np.repeat(np.arange(n, dtype=np.int64), lens)
-            nonempty = np.asarray(pc.not_equal(flat, "").to_numpy(zero_copy_only=False), dtype=bool)
-            dl = np.bincount(rows[nonempty], minlength=n).astype(np.int64)
-            inq = nonempty & np.asarray(pc.is_in(flat, value_set=value_set).to_numpy(zero_copy_only=False), bool)
-            g = pa.table({"r": pa.array(rows[inq]), "t": flat.filter(pa.array(inq))}) \
-                .group_by(["r", "t"]).aggregate([("r", "count")])
-            r = np.asarray(g.column("r").to_numpy(), dtype=np.int64)
-            post = pa.RecordBatch.from_arrays(
-                [ids.take(pa.array(r)), g.column("t").combine_chunks(),
-                 pa.array(np.asarray(g.column("r_count").to_numpy(), np.int64)), pa.array(dl[r]),
-                 pa.array(np.zeros(len(r), dtype=bool))],
-                names=[key, "term", "tf", "dl", "_stat"])
-            yield post
+            dl = np.bincount(rows[np.asarray(pc.not_equal(flat, ""), bool)], minlength=n).astype(np.int64)
+            number = np.asarray(pc.fill_null(pc.index_in(flat, value_set=known), -1), np.int64)
+            hit = number >= 0
+            pairs, tf = np.unique(rows[hit] * max(len(terms), 1) + number[hit], return_counts=True)
+            doc, term = np.divmod(pairs, max(len(terms), 1))
+            ends = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=n))]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [pa.nulls(1, ids.type), pa.nulls(1, pa.string()), pa.array([n], pa.int64()),
-                 pa.array([int(dl.sum())], pa.int64()), pa.array([True])],
-                names=[key, "term", "tf", "dl", "_stat"])
+                [rb.column(rb.schema.get_field_index(key)), pa.array(dl),
+                 pa.ListArray.from_arrays(pa.array(ends), pa.array(term.astype(np.int32))),
+                 pa.ListArray.from_arrays(pa.array(ends), pa.array(tf.astype(np.int32)))],
+                names=[key, "dl", "terms", "tfs"])
     return run
 
 
+def _score_batches(key: str, idf, by_term: dict, avgdl: float, k: int | None, k1: float, b: float):
+    """Arrow batches of index rows -> (query_id, key, score): each query's k best of the batch, all if k is None."""
+    import numpy as np
+    import pyarrow as pa
+
+    def run(batches):
+        for rb in batches:
+            ids, dl, terms, tfs = (rb.column(i) for i in range(4))
+            sizes = np.diff(np.asarray(terms.offsets, np.int64))
+            doc = np.repeat(np.arange(rb.num_rows), sizes)
+            term = np.asarray(terms.flatten(), np.int64)
+            tf = np.asarray(tfs.flatten(), np.float64)
+            norm = k1 * (1 - b + b * np.asarray(dl, np.float64) / avgdl)
+            weight = idf[term] * tf * (k1 + 1) / (tf + norm[doc])
+            order = np.argsort(term, kind="stable")
+            present, starts = np.unique(term[order], return_index=True)
+            postings = dict(zip(present.tolist(), np.split(order, starts[1:])))
+            queries: dict[int, list] = {}
+            for t, rows in postings.items():
+                for q in by_term.get(t, ()):
+                    queries.setdefault(q, []).append(rows)
+            out_q, out_row, out_s = [], [], []
+            for q, lists in queries.items():
+                rows = np.concatenate(lists)
+                scores = np.bincount(doc[rows], weights=weight[rows], minlength=rb.num_rows)
+                docs = np.unique(doc[rows])
+                s = np.round(scores[docs], 6)
+                if k is not None and len(docs) > k:
+                    docs = docs[s >= np.partition(s, len(s) - k)[len(s) - k]]
+                    if len(docs) > k:  # ties at the bound: the least ids stay
+                        names = ids.take(pa.array(docs)).to_numpy(zero_copy_only=False)
+                        docs = docs[np.lexsort((names, -np.round(scores[docs], 6)))[:k]]
+                out_q.append(np.full(len(docs), q, np.int64))
+                out_row.append(docs)
+                out_s.append(scores[docs])
+            if out_q:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(out_q)), ids.take(pa.array(np.concatenate(out_row))),
+                     pa.array(np.concatenate(out_s))], names=["query_id", key, "score"])
+    return run
+
+
+def _query_blocks(q: DataFrame, max_pairs: int):
+    """Yield lists of (query_id, terms) with at most ``max_pairs`` terms in all (or one query)."""
+    block, pairs = [], 0
+    for r in q.orderBy("query_id").toLocalIterator():
+        if block and pairs + len(r["terms"]) > max_pairs:
+            yield block
+            block, pairs = [], 0
+        block.append((r["query_id"], r["terms"]))
+        pairs += len(r["terms"])
+    if block:
+        yield block
+
+
 def bm25_scores(docs: DataFrame, queries: DataFrame, key: str = "doc_id", text: str = "text",
-                k1: float = K1, b: float = B) -> DataFrame:
-    """(query_id, doc, score) for every document sharing a term with a query.
-
-    One pass over the documents (Arrow batches): tokenise, keep postings of
-    the batch's query terms only, count (doc, term), and emit per-batch
-    corpus statistics alongside.  The result is written once as a parquet
-    table in the shared checkpoint folder; N and the average length come
-    from its statistics rows, the postings feed the scoring joins.
+                k1: float = K1, b: float = B, k: int | None = None, max_pairs: int = MAX_PAIRS) -> DataFrame:
+    """(query_id, doc, score) of documents that share a term with a query.
+
+    With ``k`` only the k best of each query and Arrow batch come out, which
+    hold the k best of all (ranked on the 6-place score, then the id).  Query
+    ids are integers; queries without a term, and null texts, match nothing.
     """
-    q = queries.select("query_id", F.explode(F.array_distinct(tokens("text"))).alias("term")).distinct()
-    terms = [r[0] for r in q.select("term").distinct().limit(MAX_QUERY_TERMS + 1).collect()]
-    if len(terms) > MAX_QUERY_TERMS:
-        raise ValueError("query batch has too many distinct terms for one broadcast")
-    ktype = docs.schema[key].dataType
-    schema = T.StructType([T.StructField(key, ktype), T.StructField("term", T.StringType()),
-                           T.StructField("tf", T.LongType()), T.StructField("dl", T.LongType()),
-                           T.StructField("_stat", T.BooleanType())])
-    raw = materialize(docs.select(key, text).mapInArrow(_postings_batches(key, text, terms), schema), "postings")
-    st = raw.where(F.col("_stat")).agg(F.sum("tf").alias("n"), F.sum("dl").alias("sdl")).first()
-    n = int(st["n"] or 0)
-    avgdl = float(st["sdl"] or 0) / n if n else 1.0
-    post = raw.where(~F.col("_stat")).drop("_stat")
-    df = post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = F.log((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0)
-    w = post.join(df.select("term", idf.alias("idf")), "term")
-    denom = F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(avgdl if avgdl else 1.0))
-    w = w.select(key, "term", (F.col("idf") * F.col("tf") * (k1 + 1) / denom).alias("w"))
-    return w.join(q, "term").groupBy("query_id", key).agg(F.sum("w").alias("score"))
+    import numpy as np
+    spark = docs.sparkSession
+    ktype = docs.schema[key].dataType.simpleString()
+    q = queries.select("query_id", F.explode(F.array_distinct(tokens("text"))).alias("term")) \
+        .groupBy("query_id").agg(F.collect_set("term").alias("terms"))
+    out = None
+    for block in _query_blocks(q, max_pairs):
+        terms = sorted({t for _, own in block for t in own})
+        number = {t: i for i, t in enumerate(terms)}
+        by_term: dict[int, list[int]] = {}
+        for query, own in block:
+            for t in own:
+                by_term.setdefault(number[t], []).append(query)
+        index = materialize(docs.select(key, text).mapInArrow(
+            _index_batches(key, text, terms), f"{key} {ktype}, dl long, terms array<int>, tfs array<int>"), "postings")
+        n, total = index.agg(F.count(F.lit(1)), F.sum("dl")).first()
+        df = np.zeros(len(terms))
+        for r in index.select(F.explode("terms").alias("t")).groupBy("t").count().toLocalIterator():
+            df[r["t"]] = r["count"]
+        idf = np.log((n - df + 0.5) / (df + 0.5) + 1.0)
+        avgdl = float(total or 0) / n if total else 1.0
+        part = index.select(key, "dl", "terms", "tfs").where(F.size("terms") > 0).mapInArrow(
+            _score_batches(key, idf, by_term, avgdl, k, k1, b), f"query_id long, {key} {ktype}, score double")
+        out = part if out is None else out.unionByName(part)
+    return out if out is not None else spark.createDataFrame([], f"query_id long, {key} {ktype}, score double")
 
 
 def _topk(scores: DataFrame, k: int, key: str) -> DataFrame:
@@ -124,7 +156,7 @@ def _topk(scores: DataFrame, k: int, key: str) -> DataFrame:
 
 def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = 10, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Top-k documents per query by BM25 (ranked on the 6-place score, then id)."""
-    return _topk(bm25_scores(docs, queries, key, text), k, key)
+    return _topk(bm25_scores(docs, queries, key, text, k=k), k, key)
 
 
 def rrf(rankings: list[DataFrame], k: int = 10, key: str = "doc_id", c: int = RRF_K) -> DataFrame:

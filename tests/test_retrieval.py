@@ -45,6 +45,24 @@ def test_bm25_equals_brute_force(spark):
         assert math.isclose(got[k], v, rel_tol=1e-12)
 
 
+def test_bm25_topk_and_query_blocks(spark):
+    docs = spark.createDataFrame([*DOCS, (99, None), (98, "")], "doc_id long, text string").repartition(3)
+    qs = spark.createDataFrame([*QUERIES, (13, None), (14, ""), (10, "mat")], "query_id long, text string")
+    whole = {(r["query_id"], r["doc_id"]): r["score"] for r in kw.bm25_scores(docs, qs).collect()}
+    blocks = {(r["query_id"], r["doc_id"]): r["score"] for r in kw.bm25_scores(docs, qs, max_pairs=1).collect()}
+    assert whole == blocks and whole
+    for k in (1, 2):
+        best = {}
+        for (q, d), s in sorted(whole.items(), key=lambda x: (-round(x[1], 6), x[0][1])):
+            best.setdefault(q, []).append(d)
+        got = {}
+        for r in kw.bm25_topk(docs, qs, k).orderBy("query_id", "rank").collect():
+            got.setdefault(r["query_id"], []).append(r["doc_id"])
+        assert got == {q: d[:k] for q, d in best.items()}
+    assert kw.bm25_topk(docs.limit(0), qs, 2).collect() == []
+    assert kw.bm25_topk(docs, qs.limit(0), 2).collect() == []
+
+
 def test_rrf(spark):
     a = spark.createDataFrame([(1, 7, 1), (1, 8, 2)], "query_id long, doc_id long, rank int")
     b = spark.createDataFrame([(1, 8, 1), (1, 9, 2)], "query_id long, doc_id long, rank int")
