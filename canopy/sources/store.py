@@ -1,8 +1,14 @@
-"""Table store with atomic replace.
-
-Each table lives under ``<root>/<name>/<version>``; a replace writes a new
-version folder first and then swaps a one-line pointer, so readers never
-see a half-written table and a merge never overwrites the data it reads.
+"""Table store with atomic commits.
+
+Data files are written first, into new folders ``<root>/<name>/<version>``.
+One manifest then names the folders of every table: a file
+``<root>/_manifests/<number>`` that is written under another name and renamed
+to its number.  Where another writer took that number (HDFS then refuses the
+rename; local disks, of one writer, are only checked before it), the commit is
+made anew on top of the other's.  Readers use the largest number, so they see
+all tables of one commit or none of it, and a crash leaves the commit before
+it in place.  An append adds a folder to a table; a
+merge never overwrites what it reads.
 The root is ``canopy.store.dir`` when set, else a folder inside the
 cluster's shared ``spark.checkpoint.dir`` (never a machine-local path on a
 cluster; tests get a scratch folder from :func:`canopy.session.checkpoint_dir`).
@@ -10,13 +16,17 @@ cluster; tests get a scratch folder from :func:`canopy.session.checkpoint_dir`).
 
 from __future__ import annotations
 
+import json
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from canopy.session import checkpoint_dir, materialize
 
+COMMIT_TRIES = 20
+
 
 class TableStore:
     def __init__(self, spark: SparkSession, root: str):
@@ -30,20 +40,57 @@ class TableStore:
             root = checkpoint_dir(spark).rstrip("/") + "/canopy-store"
         return cls(spark, root)
 
-    def _pointer(self, name: str) -> str:
-        return f"{self.root}/{name}/_current"
+    # -- manifests
+
+    def _path(self, name: str):
+        return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/_manifests/{name}")
+
+    def _files(self):
+        return self._path("x").getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _manifest(self) -> tuple[int, dict[str, list[str]]]:
+        """(number, folders of each table) of the latest commit; number 0: none yet."""
+        files, folder = self._files(), self._path("x").getParent()
+        if not files.exists(folder):
+            return 0, {}
+        names = [s.getPath().getName() for s in files.listStatus(folder)]
+        numbers = [int(n) for n in names if n.isdigit()]
+        if not numbers:
+            return 0, {}
+        stream = files.open(self._path(f"{max(numbers):012d}"))
+        try:
+            return max(numbers), json.loads(bytes(stream.readAllBytes()))
+        finally:
+            stream.close()
+
+    def _commit(self, change: Callable[[dict[str, list[str]]], dict[str, list[str]]]) -> None:
+        """Apply ``change`` to the latest manifest and publish the result; tried again if another commit came first."""
+        files = self._files()
+        for _ in range(COMMIT_TRIES):
+            number, tables = self._manifest()
+            staged, final = self._path(f"staged-{uuid.uuid4().hex}"), self._path(f"{number + 1:012d}")
+            stream = files.create(staged, False)
+            stream.write(bytearray(json.dumps(change(tables)).encode()))
+            stream.close()
+            if not files.exists(final) and files.rename(staged, final):
+                return
+            files.delete(staged, False)
+        raise RuntimeError(f"no commit to {self.root} in {COMMIT_TRIES} tries")
+
+    def _stage(self, name: str, df: DataFrame, partition_by: list[str] | None = None) -> str:
+        v = "v-" + uuid.uuid4().hex
+        w = df.write.mode("errorifexists")
+        if partition_by:
+            w = w.partitionBy(*partition_by)
+        w.parquet(f"{self.root}/{name}/{v}")
+        return v
 
-    def _exists(self, path: str) -> bool:
-        """File-system existence check through the session's Hadoop configuration."""
-        jvm = self.spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+    # -- tables
 
     def version(self, name: str) -> str | None:
-        if not self._exists(self._pointer(name)):
-            return None
-        row = self.spark.read.text(self._pointer(name)).first()
-        return row.value if row else None
+        """The folders of the table's latest commit, joined by commas."""
+        folders = self._manifest()[1].get(name)
+        return ",".join(folders) if folders else None
 
     def exists(self, name: str) -> bool:
         return self.version(name) is not None
@@ -52,26 +99,18 @@ class TableStore:
         v = self.version(name)
         if v is None:
             raise KeyError(f"table {name} does not exist in {self.root}")
-        return self.spark.read.parquet(f"{self.root}/{name}/{v}")
+        return self.spark.read.parquet(*(f"{self.root}/{name}/{f}" for f in v.split(",")))
 
     def replace(self, name: str, df: DataFrame, partition_by: list[str] | None = None) -> str:
-        """Write a new version, then swap the pointer (delete-all + insert)."""
-        v = "v-" + uuid.uuid4().hex
-        w = df.write.mode("errorifexists")
-        if partition_by:
-            w = w.partitionBy(*partition_by)
-        w.parquet(f"{self.root}/{name}/{v}")
-        self.spark.createDataFrame([(v,)], "value string").coalesce(1) \
-            .write.mode("overwrite").text(self._pointer(name))
+        """Write a new version, then commit it in place of the old one."""
+        v = self._stage(name, df, partition_by)
+        self._commit(lambda tables: {**tables, name: [v]})
         return v
 
     def append(self, name: str, df: DataFrame) -> None:
-        """Append rows to the current version (cache tables: S8)."""
-        v = self.version(name)
-        if v is None:
-            self.replace(name, df)
-        else:
-            df.write.mode("append").parquet(f"{self.root}/{name}/{v}")
+        """Add rows to an unpartitioned table in a folder of their own (cache tables: S8)."""
+        v = self._stage(name, df)
+        self._commit(lambda tables: {**tables, name: [*tables.get(name, []), v]})
 
     def put_summaries(self, name: str, new: DataFrame) -> None:
         """One row per hash: new hashes are appended; where an error row is
@@ -99,15 +138,9 @@ class TableStore:
         return self.replace(name, merged, list(partition_by) if partition_by else None)
 
     def replace_many(self, tables: dict[str, DataFrame]) -> dict[str, str]:
-        """Several tables staged first, pointers swapped last."""
-        staged = {}
-        for name, df in tables.items():
-            v = "v-" + uuid.uuid4().hex
-            df.write.mode("errorifexists").parquet(f"{self.root}/{name}/{v}")
-            staged[name] = v
-        for name, v in staged.items():
-            self.spark.createDataFrame([(v,)], "value string").coalesce(1) \
-                .write.mode("overwrite").text(self._pointer(name))
+        """Several tables staged first, then one commit for all of them."""
+        staged = {name: self._stage(name, df) for name, df in tables.items()}
+        self._commit(lambda old: {**old, **{name: [v] for name, v in staged.items()}})
         return staged
 
 

@@ -72,6 +72,30 @@ def test_store_replace_and_upsert(spark, tmp_path):
     assert set(staged) == {"topics", "topic_links"} and store.read("topic_links").count() == 4
 
 
+def test_store_commits_are_whole(spark, tmp_path):
+    import pytest
+    store = TableStore(spark, str(tmp_path / "atomic"))
+    store.replace_many({"topics": spark.range(1), "topic_links": spark.range(4)})
+    before = store._manifest()
+    failing = spark.range(3).select(F.raise_error(F.lit("broken")).alias("id"))
+    with pytest.raises(Exception):  # the second table fails: neither changes
+        store.replace_many({"topics": spark.range(9), "topic_links": failing})
+    assert store._manifest() == before and store.read("topics").count() == 1
+    with pytest.raises(Exception):  # nor does a failed append leave rows
+        store.append("topics", failing)
+    assert store.read("topics").count() == 1
+    calls = []
+
+    def late(tables):  # another writer commits between our read and our rename
+        if not calls:
+            calls.append(1)
+            store.append("topics", spark.range(2))
+        return {**tables, "topic_links": before[1]["topics"]}
+
+    store._commit(late)
+    assert store.read("topics").count() == 3 and store._manifest()[0] == before[0] + 2
+
+
 def test_incremental_stream_restart_adds_nothing(spark, tmp_path):
     from tests.conftest import SF_SMALL
     from canopy.streaming.incremental import document_stream, start_incremental
