@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from canopy.functions import vector as vx
 from canopy.functions.text import embed_text
 from canopy.operators import ann, keyword as kw, retrieval as rt
 from canopy.operators import vectors as vo
@@ -74,6 +75,28 @@ o.add_cte("pool", f"""SELECT q.query_id, n.id, n.kind, {o.dot('n.vector', 'q.vec
           ["node_vecs", "q_vecs"])
 
 
+@register("embed_texts", o.with_ctes(
+    f"SELECT id, kind, 'hashed-tf-sql-{DIM}' AS model, {DIM} AS dim, {o.r6('sqrt(' + o.norm_sq('vector') + ')')} AS norm, "
+    f"list_transform(vector, lambda x: {o.r6('CAST(x AS DOUBLE)')}) AS vector FROM node_vecs", "node_vecs"))
+def q_embed_texts(spark, d):
+    """Every distinct node text embedded once by the offline embedder."""
+    e = vo.embed_texts(vo.embedding_texts(st.summaries(spark, d)))
+    return e.select("id", "kind", "model", "dim", r6(F.sqrt(vx.norm_sq("vector"))).alias("norm"),
+                    F.transform("vector", lambda x: F.round(x.cast("double"), 6)).alias("vector"))
+
+
+@register("topk_by_text", o.with_ctes(f"""SELECT query_id, id, {o.r6('score')} AS score, CAST(rank AS INTEGER) AS rank FROM (
+      SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM (
+        SELECT q.query_id, n.id, {o.dot('n.vector', 'q.vector')} AS score
+        FROM node_vecs n, q_vecs q WHERE n.kind = 'file')) WHERE rank <= {TOPK}""", "node_vecs", "q_vecs"))
+def q_topk_by_text(spark, d):
+    """V7: benchmark texts embedded, then searched over embedded file summaries."""
+    corpus = vo.embed_texts(vo.embedding_texts(st.summaries(spark, d)).where(F.col("kind") == "file"))
+    q = vo.embed_texts(_bench_queries(spark, d))
+    t = vo.topk_similar_batch(corpus.select("id", "vector"), q.select("query_id", "vector"), TOPK)
+    return t.select("query_id", "id", r6("score").alias("score"), "rank")
+
+
 def _ctx_inputs(spark, d):
     """Stored-table stand-ins of a context search: summaries, node vectors,
     query vectors, topics and topic vectors.  In production these are tables

@@ -189,14 +189,6 @@ def q_embedding_load_model(spark, d):
     return vo.load_model(st.node_embeddings(spark, d), FILTER_MODEL).select("id", F.size("vector").alias("dim"))
 
 
-@register("embed_texts")
-def q_embed_texts(spark, d):
-    """Every distinct node text embedded once by the offline embedder."""
-    t = vo.embedding_texts(st.summaries(spark, d))
-    e = vo.embed_texts(t)
-    return e.select("id", "kind", "model", "dim", r6(F.sqrt(vx.norm_sq("vector"))).alias("norm"))
-
-
 o.add_cte("node_texts", """
     SELECT hash AS id, 'file' AS kind, summary AS text FROM summaries
     UNION ALL
@@ -222,13 +214,3 @@ def q_embedding_worklist(spark, d):
     "FROM node_texts", "node_texts"))
 def q_embedding_counts(spark, d):
     return vo.embedding_counts(vo.embedding_texts(st.summaries(spark, d)))
-
-
-@register("topk_by_text")
-def q_topk_by_text(spark, d):
-    """V7: benchmark texts embedded, then searched over embedded file summaries."""
-    from canopy.sources.tables import table
-    corpus = vo.embed_texts(vo.embedding_texts(st.summaries(spark, d)).where(F.col("kind") == "file"))
-    q = vo.embed_texts(table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text"))
-    t = vo.topk_similar_batch(corpus.select("id", "vector"), q.select("query_id", "vector"), K)
-    return t.select("query_id", "id", r6("score").alias("score"), "rank")
