@@ -1,25 +1,26 @@
 """Domain / subtopic discovery (O1, O2, O4) with offline default providers.
 
-* ``discovery_context``: the prompt text (counts, top directories, key
-  files).  It feeds one model call, so it is bounded: the top
-  ``max_dirs`` directories and ``max_files`` files (the reference lists all).
+* ``discovery_lines``: the lines of the discovery prompt, all directories of
+  the first two levels and all files, in prompt order; a prompt builder pages them.
 * ``discover_domains``: default provider = ``pyspark.ml`` KMeans over the
   file vectors (distributed), centres normalised as domain vectors.
-* ``discover_subtopics``: per domain, the top-30 files (W2, bounded group)
-  go to ``applyInPandas`` where a tiny k-means picks 2-3 subtopic vectors.
+* ``discover_subtopics``: spherical k-means inside every domain at once, over
+  all its files, by grouped vector sums.
+* ``cluster_titles``: the terms that set a cluster apart, as its title.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from canopy.functions.text import content_hash, segments
+from canopy.functions.vector import dot, norm_sq
+from canopy.operators.vectors import TOKEN_SPLIT
+from canopy.session import cut_lineage, materialize
 
-MAX_DIRS = 20
-MAX_FILES = 50
+MAX_SUBTOPICS = 10   # fixed value: the most a domain is divided into
 
 
 def top_directories(dirs: DataFrame, max_segments: int = 2) -> DataFrame:
@@ -40,35 +41,28 @@ def key_files(summaries: DataFrame) -> DataFrame:
         .orderBy(F.col("summary_len").desc(), "path")
 
 
-def discovery_context(summaries: DataFrame, dirs: DataFrame, max_dirs: int = MAX_DIRS,
-                      max_files: int = MAX_FILES) -> DataFrame:
-    """O1: the discovery prompt as one row, built from bounded top-n lists."""
-    td = dirs.where(F.size(segments("path")) <= 2)
-    wd = Window.orderBy(F.col("loc").desc(), "path")
-    dl = (td.orderBy(F.col("loc").desc(), "path").limit(max_dirs)
-          .select(F.lit(1).alias("sec"), F.row_number().over(wd).alias("r"),
-                  F.concat(F.lit("• "), "path", F.lit(" ("), F.col("file_count").cast("string"), F.lit(" files, "),
-                           F.col("loc").cast("string"), F.lit(" LOC)")).alias("line")))
-    n = F.coalesce(F.length("summary.summary"), F.lit(0))
-    wf = Window.orderBy(n.desc(), "path")
-    fl = (summaries.orderBy(n.desc(), "path").limit(max_files)
-          .select(F.lit(2).alias("sec"), F.row_number().over(wf).alias("r"),
-                  F.concat(F.lit("• "), "path", F.lit(": "), F.coalesce("summary.title", F.lit("")), F.lit(" - "),
-                           F.coalesce("summary.summary", F.lit(""))).alias("line")))
-    nf = summaries.agg(F.count(F.lit(1)).alias("c")).select(F.lit(0).alias("sec"), F.lit(0).alias("r"),
-                                                               F.col("c").cast("string").alias("line"))
-    nd = dirs.agg(F.count(F.lit(1)).alias("c")).select(F.lit(0).alias("sec"), F.lit(1).alias("r"),
-                                                        F.col("c").cast("string").alias("line"))
-    allr = nf.unionByName(nd).unionByName(dl).unionByName(fl)
-    g = allr.agg(F.array_sort(F.collect_list(F.struct("sec", "r", "line"))).alias("x"))
-    sec = lambda k: F.transform(F.filter("x", lambda e: e["sec"] == k), lambda e: e["line"])
-    counts = sec(0)
-    head = F.concat(F.lit("Repository contains "), F.get(counts, 0), F.lit(" files across "), F.get(counts, 1),
-                    F.lit(" directories.\n\n"))
-    dpart = F.when(F.size(sec(1)) > 0, F.concat(F.lit("Top-level directories:\n"), F.array_join(sec(1), "\n"),
-                                                  F.lit("\n\n"))).otherwise(F.lit(""))
-    fpart = F.when(F.size(sec(2)) > 0, F.concat(F.lit("Key files:\n"), F.array_join(sec(2), "\n"))).otherwise(F.lit(""))
-    return g.select(F.concat(head, dpart, fpart).alias("context"))
+def discovery_lines(summaries: DataFrame, dirs: DataFrame) -> DataFrame:
+    """O1: the discovery prompt as rows ``(section, weight, path, line)`` in prompt order.
+
+    Sections: 0 the counts, 1 the directories of at most two path segments by
+    LOC, 2 the files by summary length.  ``summaries`` has a row per path (see
+    ``per_path``), ``dirs`` the columns path, file_count, loc, summary.  The
+    order is a range-partitioned sort, so no task holds all lines.
+    """
+    counts = summaries.select(F.lit(1).alias("f"), F.lit(0).alias("d")) \
+        .unionByName(dirs.select(F.lit(0).alias("f"), F.lit(1).alias("d"))) \
+        .agg(F.coalesce(F.sum("f"), F.lit(0)).alias("f"), F.coalesce(F.sum("d"), F.lit(0)).alias("d"))
+    head = counts.select(F.lit(0).alias("section"), F.lit(0).cast("long").alias("weight"), F.lit("").alias("path"),
+                         F.format_string("Repository contains %d files across %d directories.", "f", "d").alias("line"))
+    top = dirs.where(F.size(segments("path")) <= 2).select(
+        F.lit(1).alias("section"), F.col("loc").cast("long").alias("weight"), "path",
+        F.concat(F.lit("• "), "path", F.lit(" ("), F.col("file_count").cast("string"), F.lit(" files, "),
+                 F.col("loc").cast("string"), F.lit(" LOC): "), F.coalesce("summary", F.lit(""))).alias("line"))
+    files = summaries.select(
+        F.lit(2).alias("section"), F.coalesce(F.length("summary.summary"), F.lit(0)).cast("long").alias("weight"), "path",
+        F.concat(F.lit("• "), "path", F.lit(": "), F.coalesce("summary.title", F.lit("")), F.lit(" - "),
+                 F.coalesce("summary.summary", F.lit(""))).alias("line"))
+    return head.unionByName(top).unionByName(files).orderBy("section", F.col("weight").desc(), "path")
 
 
 def discover_domains(files: DataFrame, k: int = 10, seed: int = 1, vec: str = "vector") -> DataFrame:
@@ -90,32 +84,88 @@ def discover_domains(files: DataFrame, k: int = 10, seed: int = 1, vec: str = "v
         rows, "domain_id int, pos int, title string, description string, vector array<float>")
 
 
-SUBTOPIC_SCHEMA = "domain_id int, pos int, title string, description string, vector array<float>"
+def _unit_sum(by: list[str], vectors: DataFrame) -> DataFrame:
+    """Per group the normalised sum of the unit vectors ``u`` and their number; partial sums are made before the exchange."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+    g = vectors.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), Summarizer.sum(array_to_vector("u")).alias("s")) \
+        .select(*by, "n", vector_to_array("s").alias("s")).withColumn("l", F.sqrt(norm_sq("s")))
+    return g.select(*by, "n", F.when(F.col("l") == 0, F.col("s"))
+                    .otherwise(F.transform("s", lambda x: x / F.col("l"))).alias("c"))
 
 
-def discover_subtopics(top_files: DataFrame, max_sub: int = 3, iters: int = 10) -> DataFrame:
-    """O4 default provider: per domain a small k-means over its top files.
+def discover_subtopics(assigned: DataFrame, max_sub: int = MAX_SUBTOPICS, iters: int = 8, key: str = "file_id",
+                       vec: str = "vector") -> tuple[DataFrame, DataFrame]:
+    """O4 default provider: k-means by cosine inside every domain, over all its files.
 
-    ``top_files`` (domain_id, rank, vector) holds <= 30 rows per domain, so
-    each Python group is bounded whatever the domain size.
+    ``assigned``: (domain_id, key, vector).  A domain of n files is divided into
+    floor(log2(n)) parts, at least 2 and at most ``max_sub``, fewer if files or
+    distinct vectors run out.  Centres start at files chosen by a hash of the key; each
+    iteration is one pass over the stored unit vectors with a grouped sum, so a
+    domain with a third of all files is summed like any other.  Null, NaN and zero
+    vectors have no direction and take no part.
+
+    Returns the subtopics (domain_id, pos, title, description, vector), with
+    positions from 0 and titles ``sub-<pos>``, and each file's (domain_id, pos, key).
+    """
+    length = F.sqrt(norm_sq(vec))
+    unit = assigned.where((length > 0) & ~F.isnan(length) & (length < float("inf"))).select(
+        "domain_id", key, F.transform(vec, lambda x: x.cast("double") / length).alias("u"))
+    unit = materialize(unit, "subtopic-vectors")
+    w = Window.partitionBy("domain_id").orderBy(F.xxhash64(F.col(key).cast("string")), F.col(key))
+    start = unit.withColumn("pos", F.row_number().over(w) - 1).where(F.col("pos") < max_sub)
+    parts = unit.groupBy("domain_id").agg(F.greatest(F.lit(2), F.least(
+        F.lit(max_sub), F.floor(F.log2(F.count(F.lit(1)))))).alias("k"))
+    centres = cut_lineage(start.join(parts, "domain_id").where(F.col("pos") < F.col("k"))
+                          .select("domain_id", "pos", F.col("u").alias("c")))
+
+    def nearest(centres: DataFrame) -> DataFrame:
+        g = centres.groupBy("domain_id").agg(F.array_sort(F.collect_list(F.struct("pos", "c"))).alias("cs"))
+        score = F.transform("cs", lambda s: dot(F.col("u"), s["c"]))
+        at = F.array_position(score, F.array_max(score)).cast("int") - 1
+        return unit.join(g, "domain_id").select("domain_id", key, "u", F.get(F.col("cs"), at)["pos"].alias("pos"))
+
+    for _ in range(iters):
+        centres = cut_lineage(_unit_sum(["domain_id", "pos"], nearest(centres)).select("domain_id", "pos", "c"))
+    members = materialize(nearest(centres), "subtopic-members")
+    wd = Window.partitionBy("domain_id").orderBy("pos")   # at most max_sub rows
+    subs = cut_lineage(_unit_sum(["domain_id", "pos"], members).withColumn("new", F.row_number().over(wd) - 1))
+    members = members.join(subs.select("domain_id", "pos", "new"), ["domain_id", "pos"]) \
+        .select("domain_id", F.col("new").alias("pos"), key)
+    return subs.select(
+        "domain_id", F.col("new").alias("pos"), F.concat(F.lit("sub-"), F.col("new").cast("string")).alias("title"),
+        F.format_string("Subtopic %d of domain %d (%d files)", "new", "domain_id", "n").alias("description"),
+        F.transform("c", lambda x: x.cast("float")).alias("vector")), members
+
+
+def cluster_titles(members: DataFrame, texts: DataFrame, by: list[str], key: str = "file_id",
+                   n_terms: int = 3) -> DataFrame:
+    """Titles from content: per cluster its ``n_terms`` terms of the highest weight, ties by term.
+
+    ``members``: (by..., key); ``texts``: (key, text).  A term (letters and digits,
+    three characters or more) weighs the number of the cluster's files that have it times
+    log(1 + clusters / clusters that have it).  Clusters without a term have no row.
     """
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("rank")
-        m = np.stack([np.asarray(v, dtype=np.float64) for v in pdf["vector"]])
-        k = int(max(1, min(max_sub, len(pdf))))
-        cent = m[:k].copy()
-        for _ in range(iters):
-            lab = np.argmax(m @ cent.T, axis=1)
-            for j in range(k):
-                if np.any(lab == j):
-                    cent[j] = m[lab == j].mean(axis=0)
-            n = np.linalg.norm(cent, axis=1, keepdims=True)
-            cent = np.where(n > 0, cent / np.where(n > 0, n, 1), cent)
-        lab = np.argmax(m @ cent.T, axis=1)
-        d = int(pdf["domain_id"].iloc[0])
-        return pd.DataFrame({
-            "domain_id": [d] * k, "pos": list(range(k)), "title": [f"sub-{j}" for j in range(k)],
-            "description": [f"Subtopic {j} of domain {d} ({int((lab == j).sum())} files)" for j in range(k)],
-            "vector": [c.astype(np.float32).tolist() for c in cent]})
-
-    return top_files.select("domain_id", "rank", "vector").groupBy("domain_id").applyInPandas(run, SUBTOPIC_SCHEMA)
+    words = F.array_distinct(F.filter(F.split(F.lower("text"), TOKEN_SPLIT), lambda t: F.length(t) >= 3))
+    terms = texts.select(key, words.alias("_w"))
+    per = members.select(*by, key).join(terms, key).select(*by, F.explode("_w").alias("term")) \
+        .groupBy(*by, "term").agg(F.count(F.lit(1)).alias("n"))
+    per = materialize(per, "cluster-terms")
+    spread = per.groupBy("term").agg(F.count(F.lit(1)).alias("clusters"))
+    total = members.select(*by).distinct().count()
+    weight = F.col("n") * F.log1p(F.lit(float(total)) / F.col("clusters"))
+    w = Window.partitionBy(*by).orderBy(F.col("weight").desc(), "term")
+    best = per.join(spread, "term").withColumn("weight", F.round(weight, 9)) \
+        .withColumn("r", F.row_number().over(w)).where(F.col("r") <= n_terms)
+    return best.groupBy(*by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "term"))),
+                                                          lambda t: t["term"]), ", ").alias("title"))
+
+
+def with_titles(topics: DataFrame, titles: DataFrame, by: list[str], within: list[str]) -> DataFrame:
+    """``topics`` with the titles found; where two inside one ``within`` group are equal, the later ones get a number."""
+    t = topics.join(titles.select(*by, F.col("title").alias("_t")), by, "left") \
+        .withColumn("title", F.coalesce("_t", "title")).drop("_t")
+    w = Window.partitionBy(*within, "title").orderBy("pos")
+    n = F.row_number().over(w)
+    return t.withColumn("title", F.when(n > 1, F.concat("title", F.lit(" ("), n.cast("string"), F.lit(")")))
+                        .otherwise(F.col("title")))

@@ -2,29 +2,34 @@
 
 Scale notes
 -----------
-* Domains are few by construction (2-10 from discovery; checked against
-  ``MAX_DOMAINS``).  Their vectors become literals in one projection, so
-  scoring every file against every domain, choosing threshold-or-best and
-  exploding the assignments is a *narrow* per-row transformation: no join,
-  no shuffle, and a domain that attracts a third of the files costs nothing
-  extra.
+* Domains are few by construction (2-10 from discovery).  Up to
+  ``LITERAL_DOMAINS`` their vectors become literals in one projection; more
+  are scored by a matrix product per Arrow batch.  Either way scoring every
+  file against every domain, choosing threshold-or-best and exploding the
+  assignments is a *narrow* per-row transformation: no join, no shuffle, and
+  a domain that attracts a third of the files costs nothing extra.
 * Intra-cluster mean cosine uses the identity
   ``sum_{i<j} u_i.u_j = (|sum u|^2 - sum |u|^2) / 2`` on unit vectors, so it
   is two map-side-combined aggregations instead of an n^2 pair join.
-* Links resolve paths and (domain, title) pairs with equi-joins; subtopic
-  and topic tables are tiny and broadcast by size.
+* Links resolve paths and (domain, title) pairs with equi-joins; whether a
+  subtopic or topic table is broadcast is left to its measured size (AQE).
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from canopy.functions.vector import cosine, cosine_array, norm_sq
 
-MAX_DOMAINS = 64
+LITERAL_DOMAINS = 64
+SCORES_AT_ONCE = 1 << 20   # scores of a block of rows in the matrix product
 THRESHOLD = 0.3
 TOP_FILES = 30
 ROOT_ID = "root"
@@ -32,11 +37,9 @@ ROOT_ID = "root"
 
 # ------------------------------------------------------------ scoring
 
-def collect_domains(domains: DataFrame, max_domains: int = MAX_DOMAINS) -> list:
-    """(domain_id, vector) of every domain, ordered by id; size-checked."""
-    rows = domains.select("domain_id", "vector").orderBy("domain_id").limit(max_domains + 1).collect()
-    if len(rows) > max_domains:
-        raise ValueError(f"more than {max_domains} domains")
+def collect_domains(domains: DataFrame) -> list:
+    """(domain_id, vector) of every domain, ordered by id."""
+    rows = domains.select("domain_id", "vector").orderBy("domain_id").collect()
     return [(r[0], list(r[1])) for r in rows]
 
 
@@ -55,18 +58,55 @@ def _known(score: Column) -> Column:
     return F.when(score > float("-inf"), score)
 
 
-def _with_norm(files: DataFrame, cols: list[str], vec: str) -> DataFrame:
-    """Project ``cols`` plus the vector and its squared norm (computed once per row)."""
-    keep = list(dict.fromkeys(cols + [vec]))
-    return files.select(*keep, norm_sq(vec).alias("_na"))
+def _matrix_scores(doms: list, vec: str):
+    """Arrow batches with a column ``_s`` of each row's cosines to all domains:
+    null for a null vector, 0 where either has a zero norm, minus infinity for NaN."""
+    m = np.array([v for _, v in doms], dtype=np.float64)
+    norms = np.sqrt((m * m).sum(axis=1))
+    n, dim = m.shape
+    step = max(1, SCORES_AT_ONCE // n)
+
+    def score(rows: pa.RecordBatch) -> pa.RecordBatch:
+        col = rows.column(rows.schema.get_field_index(vec))
+        known = np.asarray(col.is_valid())
+        if not pc.all(pc.equal(pc.list_value_length(col.drop_null()), dim)).as_py() and known.any():
+            raise ValueError("Vectors must have the same length")
+        x = np.asarray(col.drop_null().flatten(), dtype=np.float64).reshape(-1, dim)
+        own = np.sqrt((x * x).sum(axis=1))
+        zero = (own == 0)[:, None] | (norms == 0)[None, :]
+        cos = np.where(zero, 0.0, x @ m.T / np.where(zero, 1.0, own[:, None] * norms[None, :]))
+        values = np.full((len(known), n), np.nan)
+        values[known] = np.where(np.isnan(cos), -np.inf, cos)
+        flat = pa.array(values.ravel(), mask=np.repeat(~known, n))
+        arrays = [*rows.columns, pa.ListArray.from_arrays(np.arange(len(known) + 1, dtype=np.int32) * n, flat)]
+        return pa.RecordBatch.from_arrays(arrays, names=[*rows.schema.names, "_s"])
+
+    def run(batches):
+        for rb in batches:
+            for i in range(0, rb.num_rows, step):
+                yield score(rb.slice(i, step))
+    return run
+
+
+def _scored(files: DataFrame, cols: list[str], doms: list, vec: str) -> DataFrame:
+    """``cols`` and ``_s``, the row's scores to all domains in id order."""
+    cols = list(dict.fromkeys(cols))
+    rows = files.select(*dict.fromkeys([*cols, vec]))
+    if len(doms) <= LITERAL_DOMAINS:
+        return rows.withColumn("_na", norm_sq(vec)).select(*cols, _score_array(doms, vec).alias("_s"))
+    schema = T.StructType([*rows.schema.fields, T.StructField("_s", T.ArrayType(T.DoubleType()))])
+    return rows.mapInArrow(_matrix_scores(doms, vec), schema).select(*cols, "_s")
+
+
+def _ids(doms: list) -> Column:
+    return F.array(*[F.lit(d) for d, _ in doms])
 
 
 def domain_scores(files: DataFrame, domains: DataFrame, key: str = "file_id", vec: str = "vector") -> DataFrame:
     """Score of each file for each domain (files x domains rows)."""
     doms = collect_domains(domains)
-    ids = F.array(*[F.lit(d) for d, _ in doms])
-    s = _with_norm(files, [key], vec).select(key, F.posexplode(_score_array(doms, vec)).alias("_i", "score"))
-    return s.select(key, F.get(ids, F.col("_i")).alias("domain_id"), _known(F.col("score")).alias("score"))
+    s = _scored(files, [key], doms, vec).select(key, F.posexplode("_s").alias("_i", "score"))
+    return s.select(key, F.get(_ids(doms), F.col("_i")).alias("domain_id"), _known(F.col("score")).alias("score"))
 
 
 def assign_domains(files: DataFrame, domains: DataFrame, threshold: float = THRESHOLD,
@@ -78,9 +118,8 @@ def assign_domains(files: DataFrame, domains: DataFrame, threshold: float = THRE
     if not doms:  # nothing to assign to; sequence(0, -1) would run backwards
         return files.select(key, F.lit(None).cast("int").alias("domain_id"), F.lit(None).cast("double").alias("score"),
                             F.lit(None).cast("boolean").alias("via_fallback"), *keep).limit(0)
-    ids = F.array(*[F.lit(d) for d, _ in doms])
-    n = len(doms)
-    t = _with_norm(files, [key] + keep, vec).select(key, *keep, _score_array(doms, vec).alias("_s"))
+    ids, n = _ids(doms), len(doms)
+    t = _scored(files, [key, *keep], doms, vec)
     idx = F.sequence(F.lit(0), F.lit(n - 1))
     above = F.filter(idx, lambda i: F.get(F.col("_s"), i) >= threshold)
     best = F.array_position(F.col("_s"), F.array_max("_s")).cast("int") - 1
@@ -96,10 +135,9 @@ def best_domain(files: DataFrame, domains: DataFrame, key: str = "file_id", vec:
     if not doms:
         return files.select(key, F.lit(None).cast("int").alias("domain_id"),
                             F.lit(None).cast("double").alias("score")).limit(0)
-    ids = F.array(*[F.lit(d) for d, _ in doms])
-    t = _with_norm(files, [key], vec).select(key, _score_array(doms, vec).alias("_s"))
+    t = _scored(files, [key], doms, vec)
     i = F.array_position(F.col("_s"), F.array_max("_s")).cast("int") - 1
-    return t.select(key, F.get(ids, i).alias("domain_id"), _known(F.array_max("_s")).alias("score"))
+    return t.select(key, F.get(_ids(doms), i).alias("domain_id"), _known(F.array_max("_s")).alias("score"))
 
 
 def unassigned_files(files: DataFrame, domains: DataFrame, threshold: float = THRESHOLD,
@@ -108,7 +146,7 @@ def unassigned_files(files: DataFrame, domains: DataFrame, threshold: float = TH
     doms = collect_domains(domains)
     if not doms:
         return files.select(key)
-    t = _with_norm(files, [key], vec).select(key, F.array_max(_score_array(doms, vec)).alias("max_score"))
+    t = _scored(files, [key], doms, vec).select(key, F.array_max("_s").alias("max_score"))
     return t.where(~(F.col("max_score") >= threshold)).select(key)
 
 
@@ -375,26 +413,30 @@ def call_count(n_domains) -> Column:
     return F.lit(1) + 2 * n_domains
 
 
-MAX_SUBTOPIC_ROWS = 10_000
-
-
 def assign_subtopics(assign: DataFrame, subtopic_vectors: DataFrame, threshold: float = THRESHOLD,
-                     key: str = "file_id", vec: str = "vector") -> DataFrame:
+                     key: str = "file_id", vec: str = "vector", keep: list[str] | None = None) -> DataFrame:
     """O5 default provider: inside its domain, each file takes every subtopic
     with cosine >= threshold, else the best one (lowest position on ties).
 
-    Subtopic vectors (<= 10 per domain) are joined by ``domain_id`` with a
-    broadcast whose row count is checked; the per-(file, domain) window
-    covers at most 10 rows.
+    A domain's subtopics (2-10 of them) are one row, joined by ``domain_id``;
+    scores, choice and fallback are array functions of the joined row, without
+    a window.  A NaN vector falls back to the first subtopic, with a null score.
     """
-    n = subtopic_vectors.limit(MAX_SUBTOPIC_ROWS + 1).count()
-    if n > MAX_SUBTOPIC_ROWS:
-        raise ValueError("too many subtopics to broadcast")
-    sv = subtopic_vectors.select("domain_id", "pos", "title", F.col("vector").alias("_sv"))
-    j = assign.select(key, "domain_id", vec).join(sv, "domain_id")
-    s = j.select(key, "domain_id", "title", "pos", cosine(vec, "_sv", strict=True).alias("score"))
-    g = Window.partitionBy(key, "domain_id")
-    w = g.orderBy(F.col("score").desc(), F.col("pos"))
-    t = s.withColumn("_max", F.max("score").over(g)).withColumn("_rn", F.row_number().over(w))
-    keep = (F.col("score") >= threshold) | ((F.col("_max") < threshold) & (F.col("_rn") == 1))
-    return t.where(keep).select(key, "domain_id", "title", "score", (F.col("_max") < threshold).alias("via_fallback"))
+    keep = keep or []
+    subs = subtopic_vectors.groupBy("domain_id").agg(
+        F.array_sort(F.collect_list(F.struct("pos", "title", F.col("vector").alias("v")))).alias("_subs"))
+    j = assign.select(key, "domain_id", vec, *keep).join(subs, "domain_id")
+
+    def scored(s: Column) -> Column:
+        c = cosine(F.col(vec), s["v"], strict=True)
+        return F.struct(s["title"].alias("title"), F.when(F.isnan(c), F.lit(float("-inf"))).otherwise(c).alias("score"))
+
+    t = j.select(key, "domain_id", *keep, F.transform("_subs", scored).alias("_c"))
+    t = t.withColumn("_max", F.array_max(F.transform("_c", lambda c: c["score"])))
+    above = F.filter("_c", lambda c: c["score"] >= threshold)
+    best = F.slice(F.filter("_c", lambda c: c["score"] == F.col("_max")), 1, 1)
+    fallback = F.col("_max") < threshold
+    t = t.select(key, "domain_id", *keep, fallback.alias("via_fallback"),
+                 F.explode(F.when(fallback, best).otherwise(above)).alias("_t"))
+    return t.select(key, "domain_id", F.col("_t.title").alias("title"), _known(F.col("_t.score")).alias("score"),
+                    "via_fallback", *keep)

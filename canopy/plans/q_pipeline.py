@@ -17,8 +17,17 @@ from canopy.sources import standins as st
 from canopy.sources.store import TableStore
 
 o.add_cte("doc_children", f"""
-    SELECT {o.dirname('path')} AS parent, 0 AS kind FROM doc_dirs
-    UNION ALL SELECT {o.dirname('path')}, 1 FROM files""", ["doc_dirs", "files"])
+    SELECT {o.dirname('path')} AS parent, 0 AS kind, {o.basename('path')} || '/' AS label FROM doc_dirs
+    UNION ALL SELECT {o.dirname('path')}, 1, CAST(file_id AS VARCHAR) FROM files""", ["doc_dirs", "files"])
+o.add_cte("dir_summaries", f"""
+    SELECT d.path, CASE WHEN coalesce(c.n, 0) = 0 THEN '[empty directory]'
+        WHEN c.n <= 3 THEN 'Contains ' || c.listing
+        ELSE 'Directory ''' || {o.basename('d.path')} || ''' with ' || CAST(c.n AS VARCHAR) || ' items ('
+             || CAST(c.n_dirs AS VARCHAR) || ' sub-directories, ' || CAST(c.n - c.n_dirs AS VARCHAR) || ' files)' END AS summary
+    FROM doc_dirs d LEFT JOIN (
+      SELECT parent, count(*) AS n, count(*) FILTER (WHERE kind = 0) AS n_dirs,
+             array_to_string(list(label ORDER BY kind, label), ', ') AS listing
+      FROM doc_children GROUP BY parent) c ON c.parent = d.path""", ["doc_dirs", "doc_children"])
 
 
 @register("top_directories", o.with_ctes(
@@ -37,24 +46,20 @@ def q_key_files(spark, d):
     return dv.key_files(dv.per_path(st.files(spark, d), st.summaries(spark, d)))
 
 
-_NL = "chr(10)"
-
-
 @register("discovery_context", o.with_ctes(f"""
-    SELECT 'Repository contains ' || CAST((SELECT count(*) FROM summaries_by_path) AS VARCHAR) || ' files across '
-        || CAST((SELECT count(*) FROM rollup_docs) AS VARCHAR) || ' directories.' || {_NL} || {_NL}
-        || coalesce((SELECT 'Top-level directories:' || {_NL} || string_agg(line, {_NL} ORDER BY loc DESC, path)
-                     || {_NL} || {_NL} FROM (
-             SELECT path, loc, '• ' || path || ' (' || CAST(file_count AS VARCHAR) || ' files, '
-                    || CAST(loc AS VARCHAR) || ' LOC)' AS line
-             FROM rollup_docs WHERE len({o.segs('path')}) <= 2 ORDER BY loc DESC, path LIMIT {dv.MAX_DIRS})), '')
-        || coalesce((SELECT 'Key files:' || {_NL} || string_agg(line, {_NL} ORDER BY n DESC, path) FROM (
-             SELECT path, coalesce(length(summary), 0) AS n,
-                    '• ' || path || ': ' || coalesce(title, '') || ' - ' || coalesce(summary, '') AS line
-             FROM summaries_by_path ORDER BY n DESC, path LIMIT {dv.MAX_FILES})), '') AS context""",
-    "summaries_by_path", "rollup_docs"))
+    SELECT 0 AS section, 0 AS weight, '' AS path,
+           'Repository contains ' || CAST((SELECT count(*) FROM summaries_by_path) AS VARCHAR) || ' files across '
+           || CAST((SELECT count(*) FROM rollup_docs) AS VARCHAR) || ' directories.' AS line
+    UNION ALL
+    SELECT 1, r.loc, r.path, '• ' || r.path || ' (' || CAST(r.file_count AS VARCHAR) || ' files, '
+           || CAST(r.loc AS VARCHAR) || ' LOC): ' || coalesce(s.summary, '')
+    FROM rollup_docs r LEFT JOIN dir_summaries s ON s.path = r.path WHERE len({o.segs('r.path')}) <= 2
+    UNION ALL
+    SELECT 2, coalesce(length(summary), 0), path, '• ' || path || ': ' || coalesce(title, '') || ' - ' || coalesce(summary, '')
+    FROM summaries_by_path""", "summaries_by_path", "rollup_docs", "dir_summaries"))
 def q_discovery_context(spark, d):
-    return dv.discovery_context(dv.per_path(st.files(spark, d), st.summaries(spark, d)), tree.directory_rollup(st.files(spark, d)))
+    f = st.files(spark, d)
+    return dv.discovery_lines(dv.per_path(f, st.summaries(spark, d)), tree.build_directories(f))
 
 
 @register("discover_domains")
@@ -65,10 +70,9 @@ def q_discover_domains(spark, d):
 
 @register("discover_subtopics")
 def q_discover_subtopics(spark, d):
-    """O4 default provider: per-domain subtopics from each domain's top 30 files."""
-    a = st.domain_assignment(spark, d)
-    top = on.domain_top_files(a).join(a.select("file_id", "domain_id", "vector"), ["file_id", "domain_id"])
-    return dv.discover_subtopics(top).select("domain_id", "pos", "title", "description")
+    """O4 default provider: per-domain subtopics over all files of each domain."""
+    subs, _ = dv.discover_subtopics(st.domain_assignment(spark, d))
+    return subs.select("domain_id", "pos", "title", "description")
 
 
 def _build(spark, d):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from canopy.functions import vector as vx
@@ -13,12 +15,12 @@ from canopy.plans import oracle_sql as o
 from canopy.plans.catalog import r6, register
 from canopy.plans.q_ontology import _topics
 from canopy.sources import standins as st
+from canopy.sources.store import TableStore
 from canopy.sources.tables import table
 from canopy.session import materialize, small_table
 
 K = 20           # context search k (pool = 2k)
-MAX_QUERY_BATCH = 100_000   # query vectors kept as a local relation (64 floats each)
-MAX_TOPICS = 100_000        # 1 root + domains + subtopics
+SMALL_ROWS = 10_000   # a query batch or topic table up to here is kept as a local relation, else written
 TOPK = 10
 FUSION_DEPTH = 100  # ranks of each ranker that hybrid search fuses
 NPROBE = 2
@@ -105,10 +107,10 @@ def _ctx_inputs(spark, d):
     s = materialize(st.summaries(spark, d), "summaries")
     nodes = materialize(vo.embed_texts(vo.embedding_texts(s)).select("id", "vector"), "nodes")
     q = small_table(vo.embed_texts(table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text"))
-                    .select("query_id", "vector"), MAX_QUERY_BATCH)
-    topics = small_table(_topics(spark, d), MAX_TOPICS)
+                    .select("query_id", "vector"), SMALL_ROWS)
+    topics = small_table(_topics(spark, d), SMALL_ROWS)
     tv = vo.embed_texts(topics.select("id", embed_text("title", "description").alias("text"))).select("id", "vector")
-    return s, nodes, q, topics, small_table(tv, MAX_TOPICS)
+    return s, nodes, q, topics, small_table(tv, SMALL_ROWS)
 
 
 _CTX_COLS = ["query_id", "category", "rank", "id", "score", "title", "description"]
@@ -249,6 +251,10 @@ def _ivf_inputs(spark, d):
     return piv, q
 
 
+def _index_store(spark):
+    return TableStore(spark, f"{TableStore.for_session(spark).root}/index-{uuid.uuid4().hex[:8]}")
+
+
 @register("ann_ivf_topk", o.with_ctes(f"""SELECT query_id, id, {o.r6('score')} AS score, CAST(rank AS INTEGER) AS rank FROM (
       SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM (
         SELECT p.query_id, i.id, {o.dot('i.vector', 'p.qv')} AS score
@@ -256,8 +262,9 @@ def _ivf_inputs(spark, d):
     "ivf_indexed", "ivf_probes"))
 def q_ann_ivf_topk(spark, d):
     piv, q = _ivf_inputs(spark, d)
-    idx = ann.assign_lists(st.node_embeddings(spark, d).select("id", "vector"), piv)
-    t = ann.ivf_topk(idx, q, piv, TOPK, NPROBE)
+    store = _index_store(spark)
+    ann.write_index(store, "vectors", st.node_embeddings(spark, d).select("id", "vector"), piv)
+    t = ann.search_index(store, "vectors", q, TOPK, NPROBE)
     return t.select("query_id", "id", r6("score").alias("score"), "rank")
 
 
@@ -267,8 +274,9 @@ def q_ann_recall(spark, d):
     e = st.node_embeddings(spark, d).select("id", "vector")
     _, q = _ivf_inputs(spark, d)
     piv = ann.kmeans_pivots(e, n_lists=16)
-    idx = ann.assign_lists(e, piv)
-    approx = ann.ivf_topk(idx, q, piv, TOPK, nprobe=4)
+    store = _index_store(spark)
+    ann.write_index(store, "vectors", e, piv)
+    approx = ann.search_index(store, "vectors", q, TOPK, nprobe=4)
     exact = vo.topk_similar_batch(e, q, TOPK)
     return ann.recall_at_k(approx, exact)
 

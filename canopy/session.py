@@ -74,12 +74,12 @@ def materialize(df: DataFrame, name: str = "tmp") -> DataFrame:
 
 
 def small_table(df: DataFrame, max_rows: int) -> DataFrame:
-    """Freeze a provably small DataFrame as a local relation (row bound checked).
+    """Freeze a DataFrame that several actions reuse.
 
-    For tiny, reused inputs (a query batch, the topic table) this replaces a
-    write + re-read with one bounded collect; anything larger raises.
+    Up to ``max_rows`` rows (a query batch, the topic table) it becomes a local
+    relation by one bounded collect; a larger one is written and read back.
     """
     rows = df.limit(max_rows + 1).collect()
     if len(rows) > max_rows:
-        raise ValueError(f"expected at most {max_rows} rows")
+        return materialize(df, "reused")
     return df.sparkSession.createDataFrame(rows, df.schema)

@@ -137,9 +137,9 @@ class TableStore:
             merged = upsert_embeddings(new.limit(0), new, keys, order)
         return self.replace(name, merged, list(partition_by) if partition_by else None)
 
-    def replace_many(self, tables: dict[str, DataFrame]) -> dict[str, str]:
+    def replace_many(self, tables: dict[str, DataFrame], partition_by: dict[str, list[str]] | None = None) -> dict[str, str]:
         """Several tables staged first, then one commit for all of them."""
-        staged = {name: self._stage(name, df) for name, df in tables.items()}
+        staged = {name: self._stage(name, df, (partition_by or {}).get(name)) for name, df in tables.items()}
         self._commit(lambda old: {**old, **{name: [v] for name, v in staged.items()}})
         return staged
 

@@ -90,3 +90,35 @@ def test_no_domains_gives_empty_assignment(spark):
     assert on.assign_domains(files, doms).count() == 0
     assert on.best_domain(files, doms).count() == 0
     assert on.unassigned_files(files, doms).count() == 1
+
+
+def test_many_domains_score_like_few(spark):
+    """Above the literal limit scores come from a matrix product, with the same assignments; odd vectors included."""
+    import numpy as np
+    rng = np.random.default_rng(11)
+    doms = [(i, [float(x) for x in rng.normal(size=5)]) for i in range(on.LITERAL_DOMAINS + 3)] + [(900, [0.0] * 5)]
+    rows = [(f"f{i}", [float(x) for x in rng.normal(size=5)]) for i in range(40)]
+    rows += [("zero", [0.0] * 5), ("nan", [float("nan")] * 5), ("null", None)]
+    files = spark.createDataFrame(rows, "file_id string, vector array<double>").repartition(3)
+    domains = spark.createDataFrame(doms, "domain_id int, vector array<double>")
+    few = [on.domain_scores(files, domains.where(f"domain_id {c} 40")).collect() for c in ("<", ">=")]
+    want = {(r["file_id"], r["domain_id"]): r["score"] for part in few for r in part}
+    got = {(r["file_id"], r["domain_id"]): r["score"] for r in on.domain_scores(files, domains).collect()}
+    assert set(got) == set(want) and len(got) == 43 * len(doms)
+    assert all(got[k] == want[k] or abs(got[k] - want[k]) < 1e-9 for k in want)
+    best = {r["file_id"]: r["domain_id"] for r in on.best_domain(files, domains).collect()}
+    assert best["zero"] == best["nan"] == 0 and best["null"] is None
+    assigned = {(r["file_id"], r["domain_id"]) for r in on.assign_domains(files, domains, 0.6).collect() if not r["via_fallback"]}
+    assert assigned == {k for k, v in want.items() if v is not None and v >= 0.6}
+
+
+def test_subtopics_of_odd_vectors(spark):
+    subs = spark.createDataFrame([(0, 0, "a", [1.0, 0.0]), (0, 1, "b", [0.0, 1.0]), (0, 2, "c", [1.0, 1.0])],
+                                 "domain_id int, pos int, title string, vector array<double>")
+    rows = [("both", 0, [1.0, 0.9]), ("none", 0, [-1.0, -1.0]), ("nan", 0, [float("nan"), 1.0]), ("null", 0, None),
+            ("zero", 0, [0.0, 0.0]), ("other", 7, [1.0, 0.0])]
+    assign = spark.createDataFrame(rows, "file_id string, domain_id int, vector array<double>")
+    got = sorted((r["file_id"], r["title"], r["via_fallback"]) for r in on.assign_subtopics(assign, subs, 0.3).collect())
+    assert got == [("both", "a", False), ("both", "b", False), ("both", "c", False), ("nan", "a", True), ("none", "a", True),
+                   ("zero", "a", True)]
+    assert on.assign_subtopics(assign, subs.limit(0)).count() == 0
