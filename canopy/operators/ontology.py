@@ -50,7 +50,7 @@ def _score_array(doms: list, vec: str = "vector", na: str = "_na") -> Column:
     vector reaches no threshold and falls back to the lowest domain id.
     """
     return F.transform(cosine_array(vec, na, [v for _, v in doms]),
-                       lambda x: F.when(F.isnan(x), F.lit(float("-inf"))).otherwise(x))
+                       lambda x: F.when(F.col(vec).isNotNull(), F.when(F.isnan(x), F.lit(float("-inf"))).otherwise(x)))
 
 
 def _known(score: Column) -> Column:
