@@ -14,11 +14,12 @@ One plan answers many queries:
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from canopy.functions.text import default_text, parse_chunk_id, node_kind
 from canopy.operators.vectors import score_batch
+from canopy.schemas import CONTEXT
 
 ROOT_SCORE = 1.0
 TOP_TOPICS = 3
@@ -26,6 +27,14 @@ PER_CATEGORY = 4
 POOL_FACTOR = 2
 
 
+def _with_metadata(df: DataFrame, **known: Column) -> DataFrame:
+    """The columns of ``schemas.CONTEXT`` without the rank; those that the category does not have are null."""
+    def column(f):
+        c = known[f.name] if f.name in known else F.col(f.name) if f.name in df.columns else F.lit(None)
+        return c.cast(f.dataType).alias(f.name)
+    return df.select(*[column(f) for f in CONTEXT if f.name != "rank"])
+
+
 def _rank(df: DataFrame, part: list[str], k: int | None) -> DataFrame:
     w = Window.partitionBy(*part).orderBy(F.col("score").desc(), F.col("id"))
     r = df.withColumn("rank", F.row_number().over(w))
@@ -38,16 +47,16 @@ def context_topics(queries: DataFrame, topics: DataFrame, topic_vectors: DataFra
     roots = topics.where(F.col("is_root")).select("id", "title", "description").limit(2).collect()
     non_root = topic_vectors.join(topics.where(~F.col("is_root")).select("id"), "id", "left_semi")
     best = _rank(score_batch(non_root, queries, top), ["query_id"], top)
-    t = topics.select("id", "title", "description", "depth")
+    t = topics.select("id", "title", "description", "depth", F.col("parent_id").alias("parent"))
     best = best.join(t, "id").withColumn(
         "category", F.when(F.col("depth") == 1, F.lit("domain")).otherwise(F.lit("topic")))
-    out = best.select("query_id", "category", "id", "score", "title", "description")
+    out = _with_metadata(best)
     if roots:
         rid, rtitle, rdesc = roots[0]
         out = out.where(~((F.col("category") == "domain") & (F.col("title") == F.lit(rtitle))))
-        root_df = queries.select("query_id").distinct().select(
-            "query_id", F.lit("domain").alias("category"), F.lit(rid).alias("id"),
-            F.lit(ROOT_SCORE).alias("score"), F.lit(rtitle).alias("title"), F.lit(rdesc).alias("description"))
+        root_df = _with_metadata(
+            queries.select("query_id").distinct(), category=F.lit("domain"), id=F.lit(rid), score=F.lit(ROOT_SCORE),
+            title=F.lit(rtitle), description=F.lit(rdesc), depth=F.lit(0))
         out = root_df.unionByName(out)
     w = Window.partitionBy("query_id", "category").orderBy(F.col("score").desc(), F.col("id"))
     return out.withColumn("rank", F.row_number().over(w))
@@ -63,19 +72,19 @@ def context_hits(queries: DataFrame, nodes: DataFrame, summaries: DataFrame, k:
     pool = pool.select("query_id", "id", "score", node_kind("id").alias("kind"),
                        F.when(node_kind("id") == "chunk", p["file"]).otherwise(F.col("id")).alias("hash"),
                        p["kind"].alias("ckind"), p["idx"].alias("idx"), p["name"].alias("cname"))
-    s = summaries.select("hash", F.col("summary.title").alias("s_title"), F.col("summary.summary").alias("s_summary"),
-                         F.col("summary.functions").alias("fn"), F.col("summary.classes").alias("cl"))
-    j = s.join(pool, "hash")
-    item = F.when(F.col("ckind") == "func", F.get(F.col("fn"), F.col("idx"))).otherwise(F.get(F.col("cl"), F.col("idx")))
-    j = j.withColumn("_item", item)
-    file_rows = j.where(F.col("kind") == "file").select(
-        "query_id", F.lit("file").alias("category"), "id", "score",
-        default_text("s_title", "Unknown file").alias("title"),
-        default_text("s_summary", "No summary available").alias("description"))
-    chunk_rows = j.where((F.col("kind") == "chunk") & F.col("_item").isNotNull()).select(
-        "query_id", F.lit("chunk").alias("category"), "id", "score",
-        F.concat(F.col("cname"), F.lit("()")).alias("title"),
-        default_text(F.col("_item.summary"), "No description available").alias("description"))
+    s = summaries.select("hash", "path", "summary")
+    j = s.join(pool, "hash").withColumn("_item", F.when(F.col("ckind") == "func", F.get(F.col("summary.functions"), F.col("idx")))
+                                        .otherwise(F.get(F.col("summary.classes"), F.col("idx"))))
+    count = lambda c: F.coalesce(F.size(c), F.lit(0))
+    file_rows = _with_metadata(
+        j.where(F.col("kind") == "file"), category=F.lit("file"), title=default_text("summary.title", "Unknown file"),
+        description=default_text("summary.summary", "No summary available"), loc=F.col("summary.loc"),
+        n_functions=count("summary.functions"), n_classes=count("summary.classes"))
+    chunk_rows = _with_metadata(
+        j.where((F.col("kind") == "chunk") & F.col("_item").isNotNull()), category=F.lit("chunk"),
+        title=F.concat(F.col("cname"), F.lit("()")),
+        description=default_text(F.col("_item.summary"), "No description available"), loc=F.col("_item.loc"),
+        parent=F.col("summary.title"), chunk_kind=F.col("ckind"))
     return _rank(file_rows.unionByName(chunk_rows), ["query_id", "category"], per_category)
 
 
@@ -86,12 +95,10 @@ def context_search(queries: DataFrame, topics: DataFrame, topic_vectors: DataFra
         return context_empty(queries.sparkSession)
     a = context_topics(queries, topics, topic_vectors)
     b = context_hits(queries, nodes, summaries, k)
-    cols = ["query_id", "category", "rank", "id", "score", "title", "description"]
-    return a.select(*cols).unionByName(b.select(*cols))
+    return a.select(*CONTEXT.names).unionByName(b.select(*CONTEXT.names))
 
 
 def context_empty(spark) -> DataFrame:
-    from canopy.schemas import CONTEXT
     return spark.createDataFrame([], CONTEXT)
 
 

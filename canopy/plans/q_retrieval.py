@@ -17,6 +17,7 @@ from canopy.plans.q_ontology import _topics
 from canopy.sources import standins as st
 from canopy.sources.store import TableStore
 from canopy.sources.tables import table
+from canopy.schemas import CONTEXT
 from canopy.session import materialize, small_table
 
 K = 20           # context search k (pool = 2k)
@@ -42,30 +43,35 @@ def embed_sql(src: str, keys: str, text: str = "text", dim: int = DIM) -> str:
 
 o.add_cte("node_vecs", embed_sql("SELECT id, kind, text FROM node_texts", "id, kind"), ["node_texts"], True)
 o.add_cte("q_vecs", embed_sql("SELECT item_id AS query_id, text FROM benchmark", "query_id"), [], True)
-o.add_cte("topic_vecs", embed_sql("SELECT id, title, description, depth, is_root, title || ': ' || description AS text "
-                                  "FROM topics", "id, title, description, depth, is_root"), ["topics"], True)
+o.add_cte("topic_vecs", embed_sql("SELECT id, title, description, parent_id, depth, is_root, title || ': ' || description AS text "
+                                  "FROM topics", "id, title, description, parent_id, depth, is_root"), ["topics"], True)
 o.add_cte("ctx_topics", f"""
     SELECT query_id, category, CAST(row_number() OVER (PARTITION BY query_id, category ORDER BY score DESC, id) AS INTEGER) AS rank,
-           id, score, title, description FROM (
-      SELECT query_id, 'domain' AS category, id, 1.0 AS score, title, description
+           id, score, title, description, NULL::VARCHAR AS path, NULL::INTEGER AS loc, parent, depth,
+           NULL::VARCHAR AS chunk_kind, NULL::INTEGER AS n_functions, NULL::INTEGER AS n_classes FROM (
+      SELECT query_id, 'domain' AS category, id, 1.0 AS score, title, description, NULL::VARCHAR AS parent, 0 AS depth
       FROM q_vecs, (SELECT id, title, description FROM topics WHERE is_root)
       UNION ALL
-      SELECT query_id, CASE WHEN depth = 1 THEN 'domain' ELSE 'topic' END, id, score, title, description FROM (
-        SELECT q.query_id, t.id, t.title, t.description, t.depth, {o.dot('t.vector', 'q.vector')} AS score
+      SELECT query_id, CASE WHEN depth = 1 THEN 'domain' ELSE 'topic' END, id, score, title, description, parent, depth FROM (
+        SELECT q.query_id, t.id, t.title, t.description, t.depth, t.parent_id AS parent, {o.dot('t.vector', 'q.vector')} AS score
         FROM topic_vecs t, q_vecs q WHERE NOT t.is_root
         QUALIFY row_number() OVER (PARTITION BY q.query_id ORDER BY score DESC, t.id) <= 3)
       WHERE NOT (depth = 1 AND title IN (SELECT title FROM topics WHERE is_root)))""",
           ["q_vecs", "topic_vecs", "topics"])
 o.add_cte("ctx_hits", f"""
-    SELECT query_id, category, CAST(rank AS INTEGER) AS rank, id, score, title, description FROM (
+    SELECT query_id, category, CAST(rank AS INTEGER) AS rank, id, score, title, description, path, loc, parent,
+           depth, chunk_kind, n_functions, n_classes FROM (
       SELECT *, row_number() OVER (PARTITION BY query_id, category ORDER BY score DESC, id) AS rank FROM (
         SELECT p.query_id, 'file' AS category, p.id, p.score,
                coalesce(nullif(s.title, ''), 'Unknown file') AS title,
-               coalesce(nullif(s.summary, ''), 'No summary available') AS description
+               coalesce(nullif(s.summary, ''), 'No summary available') AS description, s.path,
+               CAST(s.loc AS INTEGER) AS loc, NULL::VARCHAR AS parent, NULL::INTEGER AS depth, NULL::VARCHAR AS chunk_kind,
+               CAST(coalesce(len(s.functions), 0) AS INTEGER) AS n_functions, CAST(coalesce(len(s.classes), 0) AS INTEGER) AS n_classes
         FROM pool p JOIN summaries s ON s.hash = p.id WHERE p.kind = 'file'
         UNION ALL
-        SELECT query_id, 'chunk', id, score, cname || '()', coalesce(nullif(it.summary, ''), 'No description available')
-        FROM (SELECT p.*, array_to_string(string_split(p.id, ':')[4:], ':') AS cname,
+        SELECT query_id, 'chunk', id, score, cname || '()', coalesce(nullif(it.summary, ''), 'No description available'),
+               path, CAST(it.loc AS INTEGER), file_title, NULL, split_part(id, ':', 2), NULL, NULL
+        FROM (SELECT p.*, s.path, s.title AS file_title, array_to_string(string_split(p.id, ':')[4:], ':') AS cname,
                      CASE WHEN split_part(p.id, ':', 2) = 'func'
                           THEN s.functions[CAST(split_part(p.id, ':', 3) AS INTEGER) + 1]
                           ELSE s.classes[CAST(split_part(p.id, ':', 3) AS INTEGER) + 1] END AS it
@@ -113,29 +119,29 @@ def _ctx_inputs(spark, d):
     return s, nodes, q, topics, small_table(tv, SMALL_ROWS)
 
 
-_CTX_COLS = ["query_id", "category", "rank", "id", "score", "title", "description"]
+_CTX_TAIL = ", ".join(CONTEXT.names[5:])
 
 
 def _out(df):
-    return df.select("query_id", "category", "rank", "id", r6("score").alias("score"), "title", "description")
+    return df.select(*CONTEXT.names).withColumn("score", r6("score"))
 
 
 @register("context_topics", o.with_ctes(
-    f"SELECT query_id, category, rank, id, {o.r6('score')} AS score, title, description FROM ctx_topics", "ctx_topics"))
+    f"SELECT query_id, category, rank, id, {o.r6('score')} AS score, {_CTX_TAIL} FROM ctx_topics", "ctx_topics"))
 def q_context_topics(spark, d):
     s, nodes, q, topics, tv = _ctx_inputs(spark, d)
     return _out(rt.context_topics(q, topics, tv))
 
 
 @register("context_hits", o.with_ctes(
-    f"SELECT query_id, category, rank, id, {o.r6('score')} AS score, title, description FROM ctx_hits", "ctx_hits"))
+    f"SELECT query_id, category, rank, id, {o.r6('score')} AS score, {_CTX_TAIL} FROM ctx_hits", "ctx_hits"))
 def q_context_hits(spark, d):
     s, nodes, q, topics, tv = _ctx_inputs(spark, d)
     return _out(rt.context_hits(q, nodes, s, K))
 
 
 @register("context_search", o.with_ctes(
-    f"SELECT query_id, category, rank, id, {o.r6('score')} AS score, title, description FROM "
+    f"SELECT query_id, category, rank, id, {o.r6('score')} AS score, {_CTX_TAIL} FROM "
     "(SELECT * FROM ctx_topics UNION ALL SELECT * FROM ctx_hits)", "ctx_topics", "ctx_hits"))
 def q_context_search(spark, d):
     s, nodes, q, topics, tv = _ctx_inputs(spark, d)

@@ -79,4 +79,11 @@ CONTEXT = T.StructType([
     T.StructField("score", T.DoubleType()),
     T.StructField("title", T.StringType()),
     T.StructField("description", T.StringType()),
+    T.StructField("path", T.StringType()),         # files and chunks
+    T.StructField("loc", T.IntegerType()),         # of the file, or of the chunk alone
+    T.StructField("parent", T.StringType()),       # a topic's parent id, a chunk's file title
+    T.StructField("depth", T.IntegerType()),       # topics
+    T.StructField("chunk_kind", T.StringType()),   # chunks: func or class
+    T.StructField("n_functions", T.IntegerType()),  # files
+    T.StructField("n_classes", T.IntegerType()),
 ])
