@@ -47,6 +47,13 @@ def test_ivf_recall_all_lists(spark):
     assert all(r["recall"] == 1.0 for r in ann.recall_at_k(approx, exact).collect())
 
 
+def test_recall_at_the_probes_of_the_query(spark):
+    from canopy.plans import q_retrieval as q
+    assert q.RECALL_NPROBE < q.RECALL_LISTS
+    got = [r["recall"] for r in q.q_ann_recall(spark, "/root/testdata/sf0.01").collect()]
+    assert len(got) == 30 and np.mean(got) >= 0.9
+
+
 def test_discovery_shapes(spark):
     df, m, q = _pool(spark, n=30)
     files = df.select("id", "vector").withColumnRenamed("id", "file_id")
