@@ -3,13 +3,15 @@
 Patterns give the base spans (kinds assign, access, hex).  Beside them, every
 long run of token characters is a candidate.  It belongs to the narrowest
 character class that has all its characters; the class fixes the window and
-the entropy in bits a character from which a window counts as random.  The
+the entropy in bits a character from which a window counts as random, set from
+the size of its alphabet so that nearly all random windows reach it.  The
 window slides over the candidate one character at a time: one count goes down,
 one goes up, and the sum of c * log2(c) over the counts (fixed-point integers
 from a table, so there is no rounding drift) follows by two differences.
 Overlapping random windows join to one span of kind entropy.  Candidates that
-the allow-list names (placeholders, sequences, UUIDs, paths of words) are
-suppressed, and so are entropy spans inside a base span.
+the allow-list names are suppressed: UUIDs, paths of words, and placeholders or
+sequences that leave no room for a whole window beside or between them.  So are
+entropy spans inside a base span.
 
 Positions count code points, ends are exclusive.  Everything is per row: no
 shuffle, no Python.  Intermediate arrays pass through ``inline``, which keeps
@@ -32,18 +34,45 @@ MIN_VALUE = 12
 KINDS = ("assign", "access", "hex", "entropy")
 
 CANDIDATE = "[A-Za-z0-9+/_=-]{20,}"
+WINDOW = 20
+DEVIATIONS = 3          # of a random window's entropy, how far below the mean still counts as random
+
+
+def _bits(size: int, window: int = WINDOW) -> float:
+    """Bits a character that nearly every random window over ``size`` letters reaches.
+
+    The window's sum of c * log2(c) over the counts c of its letters has an exact mean
+    and deviation: one count is binomial, two together are trinomial.
+    """
+    f = [c * math.log2(c) if c else 0.0 for c in range(window + 1)]
+    p = 1 / size
+    one = [math.comb(window, c) * p ** c * (1 - p) ** (window - c) for c in range(window + 1)]
+    mean, square = (sum(w * x ** n for w, x in zip(one, f)) for n in (1, 2))
+    both = sum(math.comb(window, a) * math.comb(window - a, b) * p ** (a + b) * (1 - 2 * p) ** (window - a - b) * f[a] * f[b]
+               for a in range(window + 1) for b in range(window + 1 - a))
+    deviation = math.sqrt(size * (square - mean ** 2) + size * (size - 1) * (both - mean ** 2))
+    return round(math.log2(window) - (size * mean + DEVIATIONS * deviation) / window, 3)
+
+
+_DIGITS, _UPPER, _LOWER, _SIGNS = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "+/_=-"
 # Class: characters, window, bits a character from which a window is random.  Narrowest first.
+# Words in one case that signs join (slugs, paths) come near random windows of so many letters: higher limit.
 CLASSES = (
-    ("0123456789ABCDEFabcdef", 20, 3.0),
-    ("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz+/_=-", 20, 3.9),
+    ("0123456789ABCDEFabcdef", WINDOW, 3.0),
+    (_DIGITS + _LOWER, WINDOW, _bits(36)),
+    (_DIGITS + _UPPER, WINDOW, _bits(32)),      # base32 is the least alphabet of these
+    (_DIGITS + _UPPER + _LOWER, WINDOW, _bits(62)),
+    (_DIGITS + _LOWER + _SIGNS, WINDOW, 3.9),
+    (_DIGITS + _UPPER + _SIGNS, WINDOW, 3.9),
+    (_DIGITS + _UPPER + _LOWER + _SIGNS, WINDOW, _bits(64)),
 )
 # A candidate must mix letters and digits: words of natural text are never random.
 MIXED = ("[0-9]", "[A-Za-z]")
 # Quantifiers are possessive, so that a match takes linear time and no stack however long the candidate is.
 ALLOWED = (
-    "(?i)example|placeholder|dummy|changeme|your[_-]|xxxx|0123456789|abcdefgh|"
+    f"(?i)^(?:.{{0,{WINDOW - 1}}}?(?:example|placeholder|dummy|changeme|your[_-]|xxxx|0123456789|abcdefgh))++.{{0,{WINDOW - 1}}}$|"
     "^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$|"
-    "^/?([a-z]++[_-]?+[a-z]*+/)++[a-z0-9_-]*+$|^[a-z]++([_-][a-z]++)*+[_-]?[0-9]{0,4}$"
+    "^/?([a-z]++([_-][a-z]++)*+[_-]?+/)++([a-z]*+[0-9]{0,8}+([_-]|$))*+$|^[a-z]++([_-][a-z]++)*+[_-]?[0-9]{0,4}$"
 )
 POINT = 1 << 16
 
@@ -113,16 +142,10 @@ def _random_runs(codes: Column, letters: str, window: int, bits: float) -> Colum
     return F.aggregate(codes, start, step, lambda acc: acc["runs"])
 
 
-def _class_spans(found: Column, n: int) -> Column:
-    """Entropy spans of the candidates whose narrowest class is the n-th."""
+def _class_spans(able: Column, n: int) -> Column:
+    """Entropy spans of the candidates ``able`` whose narrowest class is the n-th."""
     letters, window, bits = CLASSES[n]
 
-    def own(x: Column) -> Column:
-        inside = x["hit"].rlike(f"^[{letters}]*$")
-        for narrower, _, _ in CLASSES[:n]:
-            inside = inside & ~x["hit"].rlike(f"^[{narrower}]*$")
-        return inside
-
     def coded(x: Column) -> Column:
         codes = F.transform(F.regexp_extract_all(x["hit"], F.lit("."), F.lit(0)),
                             lambda ch: F.instr(F.lit(letters), ch))
@@ -133,14 +156,24 @@ def _class_spans(found: Column, n: int) -> Column:
             (x["start"] + r["start"]).alias("start"), F.lit(KINDS.index("entropy") + 1).alias("kind"),
             (x["start"] + r["end"]).alias("end")))
 
-    return F.flatten(F.transform(F.transform(F.filter(found, own), coded), spans))
+    return F.flatten(F.transform(F.transform(F.filter(able, lambda x: x["class"] == n), coded), spans))
+
+
+def _able(found: Column) -> Column:
+    """array<struct<start,hit,class>> of the candidates ``found`` that may be random, with the number of their narrowest class."""
+    def narrowest(hit: Column) -> Column:
+        number = F.lit(len(CLASSES) - 1)
+        for n in range(len(CLASSES) - 2, -1, -1):
+            number = F.when(hit.rlike(f"^[{CLASSES[n][0]}]*$"), F.lit(n)).otherwise(number)
+        return number
+
+    mixed = F.filter(found, lambda x: x["hit"].rlike(MIXED[0]) & x["hit"].rlike(MIXED[1]) & ~x["hit"].rlike(ALLOWED))
+    return F.transform(mixed, lambda x: F.struct(x["start"], x["hit"], narrowest(x["hit"]).alias("class")))
 
 
-def _entropy(found: Column) -> Column:
-    """Entropy spans of the candidates ``found``."""
-    able = F.filter(found, lambda x: x["hit"].rlike(MIXED[0]) & x["hit"].rlike(MIXED[1]) & ~x["hit"].rlike(ALLOWED))
-    spans = [_class_spans(able, n) for n in range(len(CLASSES))]
-    return F.concat(*spans)
+def _entropy(able: Column) -> Column:
+    """Entropy spans of the candidates ``able``."""
+    return F.concat(*(_class_spans(able, n) for n in range(len(CLASSES))))
 
 
 def joined(spans: Column) -> Column:
@@ -161,7 +194,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     hits = F.filter(_found(text, ASSIGN),
                     lambda x: F.length(F.regexp_extract(x["hit"], ASSIGN, 2)) >= MIN_VALUE)
     scans = F.struct(_spans(hits, "assign").alias("assign"), _spans(_found(text, ACCESS), "access").alias("access"),
-                     _spans(_found(text, HEX), "hex").alias("hex"), _found(text, CANDIDATE).alias("candidates"))
+                     _spans(_found(text, HEX), "hex").alias("hex"), _able(_found(text, CANDIDATE)).alias("candidates"))
     kept = [F.col(c) for c in keep]
     scanned = docs.select(F.col(id_col).alias("doc_id"), *kept, F.inline(F.array(scans)))
     spans = F.struct(F.array_sort(F.concat("assign", "access", "hex")).alias("base"), _entropy(F.col("candidates")).alias("found"))

@@ -163,6 +163,25 @@ def test_secret_scan_of_very_long_candidates(spark):
         assert ([tuple(x) for x in r.base], [tuple(x) for x in r.entropy]) == ([], []), r.doc_id
 
 
+def test_random_keys_of_every_alphabet_are_found(spark):
+    rnd = random.Random(21)
+    lower, upper, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    made = [(name, n, "".join(rnd.choice(al) for _ in range(n))) for name, al in (
+        ("lower", lower + digits), ("base32", upper + "234567"), ("base62", lower + upper + digits), ("base64", lower + upper + digits + "+/"))
+        for n in (20, 24, 32, 40) for _ in range(150)]
+    key = "k3j9d8s7a6f5g4h3j2k1q8w7"
+    long = ["dummy-xxxx-" + key + "ZqW7", "abc/def/" + key, key + "/example/" + key]
+    quiet = ["path/to/some/file_name_2", "EXAMPLEKEY0123456789abc", "0123456789abcdefghijklmnopqrstuvwxyz", "your-api-key-goes-here-1234"]
+    texts = [f"see {k} there" for *_, k in made] + [*long, *quiet]
+    got = {r.doc_id: r.entropy for r in secrets.find_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    caught = {}
+    for i, (name, n, _) in enumerate(made):
+        caught.setdefault((name, n), []).append(bool(got[i]))
+    assert all(sum(v) >= (0.92 if n == 20 else 0.95) * len(v) for (_, n), v in caught.items()), {k: sum(v) for k, v in caught.items()}
+    assert all(got[len(made) + i] for i in range(len(long)))
+    assert [got[len(made) + len(long) + i] for i in range(len(quiet))] == [[]] * len(quiet)
+
+
 def test_secret_scan_runs_no_python(spark, docs):
     plan = secrets.span_digest(secrets.find_secrets(docs))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Exchange.*text", plan.split("Scan ExistingRDD")[0].replace("RoundRobin", ""))
