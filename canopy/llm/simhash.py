@@ -27,7 +27,7 @@ import itertools
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from canopy.llm.shared import cut, slices
@@ -60,18 +60,21 @@ def fingerprint(text: str | None, shingle: int = 4) -> int:
     return int(np.packbits(2 * set_bits > len(starts), bitorder="little").view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, fp`` of every row; null text, or a text without words: 0."""
+def fingerprints(docs: DataFrame, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text",
+                 keep: dict[str, Column] | None = None) -> DataFrame:
+    """``doc_id, fp`` of every row, then the long columns ``keep``; null text, or a text without words: 0."""
+    names = ["doc_id", "fp", *(keep or {})]
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, TEXTS_AT_ONCE):
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([fingerprint(t, shingle) for t in part.column(1).to_pylist()], pa.int64())],
-                    names=["doc_id", "fp"])
+                    [part.column(0), pa.array([fingerprint(t, shingle) for t in part.column(1).to_pylist()], pa.int64()),
+                     *part.columns[2:]], names=names)
 
-    return (docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-            .mapInArrow(run, "doc_id long, fp long"))
+    return (docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"),
+                        *(c.alias(n) for n, c in (keep or {}).items()))
+            .mapInArrow(run, ", ".join(f"{n} long" for n in names)))
 
 
 # -- links ---------------------------------------------------------------------
@@ -219,6 +222,14 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select("a", F.col("b").alias("root"))
 
 
+def _rooted(own: DataFrame, distance: int, blocks: int, bucket_rows: int) -> DataFrame:
+    """``fp, first, root`` of the distinct fingerprints of ``own``: the least doc_id, and the least fingerprint of the component."""
+    fps = cut(own.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
+    roots = components(links(fps.select("fp"), distance, blocks, bucket_rows))
+    return fps.join(roots.withColumnRenamed("a", "fp"), "fp", "left").select(
+        "fp", "first", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, distance: int = 4, shingle: int = 4, blocks: int = 7, bucket_rows: int = 20_000,
                     id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, fingerprint`` (16 hexadecimal digits) ``, component_id`` of every row.
@@ -229,11 +240,29 @@ def near_duplicates(docs: DataFrame, distance: int = 4, shingle: int = 4, blocks
     has no other.  Empty table: no rows.  Only the two columns are read.
     """
     own = cut(fingerprints(docs, shingle, id_col, text_col), "fingerprints")
-    fps = cut(own.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
-    roots = components(links(fps.select("fp"), distance, blocks, bucket_rows))
-    rooted = fps.join(roots.withColumnRenamed("a", "fp"), "fp", "left").select(
-        "fp", "first", F.coalesce("root", "fp").alias("root"))
+    rooted = _rooted(own, distance, blocks, bucket_rows)
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     named = rooted.join(least, "root").select("fp", "component_id")
     return own.join(named, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def representatives(docs: DataFrame, columns: list[str], distance: int = 4, shingle: int = 4, blocks: int = 7,
+                    bucket_rows: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``columns`` of one row of each component: of those with its least doc_id (null if it has no other),
+    one of the least fingerprint, and of these the one with the least row hash.
+
+    A row is named by 128 bits of hash over ``columns`` and their nulls, so rows that share a doc_id or have none
+    stay apart if they differ; rows equal in all ``columns`` are one.
+    """
+    parts = [x for c in columns for x in (F.col(c).isNull(), F.col(c))]
+    key = {"h1": F.xxhash64(*parts), "h2": F.xxhash64(F.lit("second"), *parts)}
+    own = cut(fingerprints(docs, shingle, id_col, text_col, key), "fingerprints")
+    rooted = _rooted(own, distance, blocks, bucket_rows)
+    least = rooted.groupBy("root").agg(F.min("first").alias("least"))
+    at = rooted.join(least, "root").where(F.col("first").eqNullSafe(F.col("least"))).groupBy("root").agg(
+        F.min("fp").alias("at"), F.min("least").alias("least"))
+    rows = own.join(at, (own["fp"] == at["at"]) & own["doc_id"].eqNullSafe(at["least"]))
+    stay = rows.groupBy("root").agg(F.min(F.struct("h1", "h2")).alias("h")).select("h.h1", "h.h2")
+    kept = docs.select(*columns, *(c.alias(n) for n, c in key.items())).join(stay, ["h1", "h2"], "left_semi")
+    return kept.dropDuplicates(["h1", "h2"]).select(*columns)

@@ -5,15 +5,14 @@ text, lang, source, n_chars``), and its decisions take effect:
 
 * ``quality``: failing lines go, documents that the rules reject go;
 * ``language``: ``lang`` becomes the predicted one; documents without a letter go;
-* ``near_duplicates``: of each component of near-duplicates the document with
-  the least id stays;
+* ``near_duplicates``: of each component of near-duplicates one row stays, of
+  the least id (without id if the component has only such rows);
 * ``secrets``: every span found is replaced by a mark;
 * ``packing``: pieces of token sequences.
 
 ``n_chars`` follows the text.  Null texts are rejected by the first stage;
-rows that repeat a doc_id are one document from ``near_duplicates`` on, and
-rows without doc_id, which no representative can name, go there unless their
-component has only such rows, of which one stays.  An empty table passes through.
+rows that share a doc_id, or have none, are documents of their own unless their
+texts are near-duplicates.  An empty table passes through.
 """
 
 from __future__ import annotations
@@ -48,10 +47,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    classes = simhash.near_duplicates(docs)
-    stay = classes.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    kept = docs.join(stay, docs["doc_id"].eqNullSafe(stay["doc_id"]), "left_semi")
-    return kept.dropDuplicates(["doc_id"]).select(*COLUMNS)
+    return simhash.representatives(docs, COLUMNS)
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -47,6 +47,16 @@ def test_stages_take_effect(spark):
         docs = spark.createDataFrame(after, docs.schema)
 
 
+def test_rows_that_share_an_id_or_have_none_stay_apart(spark):
+    rnd = random.Random(31)
+    a, b, c, d, e = (" ".join(f"w{rnd.randrange(10 ** 6)}" for _ in range(50)) for _ in range(5))
+    rows = [(None, a, "en", "s", 1), (None, b, "en", "s", 1), (None, b, None, "s", 1), (1, c, "en", "s", 1), (1, d, "en", "s", 1),
+            (1, d, "en", "s", 1), (2, d, "en", "s", 1), (None, c, "en", "s", 1), (3, e, "en", "s", 1), (3, e.upper(), "en", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = P.near_duplicate_stage(spark, docs, SMALL).collect()
+    assert sorted((r.doc_id or 0, r.text.lower()) for r in got) == sorted([(0, a), (0, b), (1, c), (1, d), (3, e)])
+
+
 def test_an_empty_table_passes_through(spark):
     docs = _docs(spark).where("false")
     for _, stage in P.STAGES:
