@@ -150,6 +150,10 @@ def windows(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return out.reshape(-1, STEPS), np.repeat(np.arange(len(raws)), counts)
 
 
+def with_letter(texts: list[str | None]) -> np.ndarray:
+    return np.fromiter((any(map(str.isalpha, t or "")) for t in texts), bool, len(texts))
+
+
 def predict(p: dict, texts: list[str | None], sharpness: float) -> tuple[np.ndarray, np.ndarray]:
     """(index of the likeliest language or -1, its probability) of each text; -1: no letter."""
     raws = [(t or "").encode() for t in texts]
@@ -168,7 +172,7 @@ def predict(p: dict, texts: list[str | None], sharpness: float) -> tuple[np.ndar
     prob = np.exp(mean)
     prob /= prob.sum(axis=1, keepdims=True)
     best = prob.argmax(axis=1)
-    letters = np.fromiter((any(map(str.isalpha, t or "")) for t in texts), bool, len(texts))
+    letters = with_letter(texts)
     return np.where(letters, best, -1), np.where(letters, prob.max(axis=1), 0.0)
 
 
@@ -203,7 +207,7 @@ def sample(docs: DataFrame, docs_per_language: int, id_col: str, text_col: str,
 
 def fit(docs: DataFrame, docs_per_language: int = 250, windows_per_doc: int = 12, hidden: int = 8, epochs: int = 6,
         id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], dict | None]:
-    """(languages, weights).  No labelled rows: no languages, and every text is ``und``."""
+    """(languages, weights).  Nothing to learn from, as no labelled row has a text: no languages, and no weights."""
     rows = sample(docs, docs_per_language, id_col, text_col, lang_col)
     languages = sorted({lang for lang, _ in rows})
     if not languages:
@@ -216,30 +220,31 @@ def fit(docs: DataFrame, docs_per_language: int = 250, windows_per_doc: int = 12
         labels += [languages.index(lang)] * len(own)
     data, labels = np.concatenate(data), np.asarray(labels, np.int64)
     if not len(data):
-        return languages, initial(hidden, len(languages), 7)
+        return [], None
     counts = np.bincount(labels, minlength=len(languages))
     even = np.concatenate([np.resize(np.flatnonzero(labels == k), counts.max()) for k in range(len(languages)) if counts[k]])
     return languages, train(data[even], labels[even], len(languages), hidden, epochs)
 
 
 def identify(docs: DataFrame, sharpness: float = 8.0, id_col: str = "doc_id", text_col: str = "text",
-             lang_col: str = "lang", keep: list[str] | None = None, **fitting) -> DataFrame:
+             lang_col: str = "lang", keep: list[str] | None = None, unlearned: str | None = "und", **fitting) -> DataFrame:
     """``doc_id, held_out, lang_pred, score`` of every row; trains first, at once.
     With ``keep`` the text and the columns named there follow.
 
-    Null text, or text without a letter: ``und`` with score 0.  One output row
+    Null text, or text without a letter: ``und`` with score 0.  Nothing learned
+    (see ``fit``): texts with a letter get ``unlearned``, with score 0.  One output row
     per input row, repeated rows and null ids included.  Only the named
     columns are read, ``lang`` for training alone.  Empty table: no rows.
     """
     languages, weights = fit(docs, id_col=id_col, text_col=text_col, lang_col=lang_col, **fitting)
-    names = pa.array([*languages, "und"])
+    names = pa.array([*languages, "und", unlearned], pa.string())
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, TEXTS_AT_ONCE):
                 texts = part.column(2).to_pylist()
                 if weights is None:
-                    best, score = np.full(len(texts), -1), np.zeros(len(texts))
+                    best, score = np.where(with_letter(texts), 1, -1), np.zeros(len(texts))
                 else:
                     best, score = predict(weights, texts, sharpness)
                 yield pa.RecordBatch.from_arrays(

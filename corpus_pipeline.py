@@ -4,7 +4,9 @@ Every stage takes the documents that its predecessor left (columns ``doc_id,
 text, lang, source, n_chars``), and its decisions take effect:
 
 * ``quality``: failing lines go, documents that the rules reject go;
-* ``language``: ``lang`` becomes the predicted one; documents without a letter go;
+* ``language``: ``lang`` becomes the predicted one; documents without a letter go.
+  Where nothing was learned (no labelled text outside the held-out fold) the
+  others stay with their ``lang`` unchanged;
 * ``near_duplicates``: of each component of near-duplicates one row stays, of
   the least id (without id if the component has only such rows);
 * ``secrets``: every span found is replaced by a mark;
@@ -42,8 +44,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    named = langid.identify(docs, keep=["source", "n_chars"])
-    return _documents(named.where("lang_pred <> 'und'"), lang=F.col("lang_pred"))
+    named = langid.identify(docs, keep=["lang", "source", "n_chars"], unlearned=None)
+    return _documents(named.where("lang_pred is null or lang_pred <> 'und'"), lang=F.coalesce("lang_pred", "lang"))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

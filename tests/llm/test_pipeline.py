@@ -4,7 +4,7 @@ import random
 
 
 import corpus_pipeline as P
-from canopy.llm import quality
+from canopy.llm import langid, quality
 from tests.llm.test_operators import SMALL, brute_components, brute_fingerprint, brute_secrets
 
 
@@ -47,6 +47,18 @@ def test_stages_take_effect(spark):
         docs = spark.createDataFrame(after, docs.schema)
 
 
+def test_documents_stay_where_no_language_was_learned(spark):
+    rows = [(i, t, None, "s", len(t or "")) for i, t in enumerate(["A clean text.", "Ein Text.", None, "", "12 ?!", "é"])]
+    rows += [(None, "No id, so held out.", "en", "s", 19)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for own in (docs, docs.where("lang is null")):
+        got = P.language_stage(spark, own, SMALL)
+        assert got.schema == docs.schema
+        want = [r for r in own.collect() if any(map(str.isalpha, r.text or ""))]
+        assert sorted(map(str, got.collect())) == sorted(map(str, want))
+    assert {r.lang_pred for r in langid.identify(docs).collect()} == {"und"}
+
+
 def test_rows_that_share_an_id_or_have_none_stay_apart(spark):
     rnd = random.Random(31)
     a, b, c, d, e = (" ".join(f"w{rnd.randrange(10 ** 6)}" for _ in range(50)) for _ in range(5))
