@@ -4,11 +4,14 @@ document that loses too much of its text with them is rejected.
 Lines are the parts of a text between newlines; lines without a word pass and
 count for nothing.  A line fails by the first rule that holds:
 
-* ``boilerplate``: it has a phrase of legal, consent or licence text;
-* ``navigation``: three or more menu separators, or few words that begin with
-  a menu word;
+* ``boilerplate``: it has a phrase of legal, consent or licence text for every
+  ``PHRASE_SPAN`` words or fewer;
+* ``navigation``: three or more menu separators, one for every
+  ``SEPARATOR_SPAN`` words or fewer, or few words that begin with a menu word;
 * ``punctuation``: more than ``max_symbols`` symbol characters a word, or
-  ``min_line_words`` words or more without a sentence sign at the end.
+  ``min_line_words`` words or more without a sentence sign at the end, unless
+  the line is long (over ``LONG_LINE`` words) and has ends of sentences inside:
+  a different word that ends one for every ``SENTENCE_SPAN`` words or fewer.
 
 A document is kept if the base measures pass, at least ``min_kept`` of its
 words stand in lines that pass, and these lines have ``min_words`` words.
@@ -32,6 +35,10 @@ SYMBOLS = b"#*$%&|<>"           # fixed value
 WHITE = b" \t\n\v\f\r"          # fixed value: characters between words
 WINDOW = 8                      # words
 TEXTS_AT_ONCE = 256
+PHRASE_SPAN = 24                # words
+SEPARATOR_SPAN = 8              # words
+SENTENCE_SPAN = 30              # words
+LONG_LINE = 12                  # words
 
 SEPARATORS = re.compile(rb"[|>]|\xc2\xbb|\xe2\x80\xba|\xc2\xb7|\xe2\x80\xa2")
 MENU = re.compile(rb"(?:home|menu|log ?in|log ?out|sign ?(?:in|up)|register|next|previous|back to top|skip to|share|"
@@ -41,6 +48,12 @@ PHRASES = re.compile(rb"cookie(?:s| policy)|privacy policy|terms of (?:use|servi
                      rb"lorem ipsum|click here")
 SENTENCE_SIGNS = (b".", b"!", b"?", b":", b";", b'"', b"'", b")", b"]", "…".encode(), "”".encode(), "’".encode(),
                   "»".encode(), "。".encode(), "！".encode(), "？".encode())
+SENTENCE_END = re.compile("(?:[.!?…][\"')\\]”’»]*$)|[。！？]")
+
+
+def ends_of_sentences(line: bytes) -> int:
+    """Different words of a line with which a sentence ends."""
+    return sum(SENTENCE_END.search(w.decode()) is not None for w in set(line.split()))
 
 
 def repeat_words(words: list[bytes]) -> int:
@@ -69,13 +82,15 @@ def repeat_words(words: list[bytes]) -> int:
 
 def line_fault(line: bytes, words: int, max_symbols: float, min_line_words: int) -> str | None:
     low = line.lower()
-    if PHRASES.search(low):
+    if PHRASES.search(low) and PHRASE_SPAN * len(PHRASES.findall(low)) >= words:
         return "boilerplate"
-    if len(SEPARATORS.findall(low)) >= 3 or words <= 6 and MENU.match(low.lstrip()):
+    separators = len(SEPARATORS.findall(low))
+    if separators >= 3 and SEPARATOR_SPAN * separators >= words or words <= 6 and MENU.match(low.lstrip()):
         return "navigation"
     if len(line) - len(line.translate(None, SYMBOLS)) > max_symbols * words:
         return "punctuation"
-    if words >= min_line_words and not line.rstrip().endswith(SENTENCE_SIGNS):
+    if words >= min_line_words and not line.rstrip().endswith(SENTENCE_SIGNS) \
+            and (words <= LONG_LINE or SENTENCE_SPAN * ends_of_sentences(line) < words):
         return "punctuation"
     return None
 

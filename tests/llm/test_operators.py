@@ -228,6 +228,21 @@ def test_line_rules_remove_lines_and_reject_documents(spark):
     assert not got[2].kept and not quality.judge(rows[1][1], 1, 100, 0.1, 0.2, 4)[5]
 
 
+def test_long_lines_of_prose_are_not_removed_for_one_sign():
+    def fault(line):
+        return quality.line_fault(line.encode(), len(line.split()), 0.2, 4)
+
+    rnd = random.Random(22)
+    prose = " ".join(" ".join(f"w{rnd.randrange(1000)}" for _ in range(14)) + f" end{i}." for i in range(5))
+    for long in (prose, prose + " and then no more", prose + " copyright", prose + " a | b | c.", prose.replace(".", "。")):
+        assert fault(long) is None, long
+    assert quality.judge(prose + " and then no more", 20, 30, 0.5, 0.2, 4)[6]
+    assert fault("cut off before its end") == "punctuation" and fault("no sign " * 30) == "punctuation"
+    assert fault("word " * 40 + "anen. " * 5 + "In In") == "punctuation"
+    assert fault("copyright by the firm that made it.") == "boilerplate" and fault("a copyright notice. " * 40) == "boilerplate"
+    assert fault("a | b | c | d.") == "navigation" and fault("one | two | " * 30 + "end.") == "navigation"
+
+
 # -- pieces --------------------------------------------------------------------
 
 def test_pieces_equal_the_library(spark, docs):
