@@ -184,38 +184,55 @@ def held_out(id_col: str = "doc_id"):
     return F.coalesce(crc % 4 == 2, F.lit(True))
 
 
-def sample(docs: DataFrame, docs_per_language: int, id_col: str, text_col: str, lang_col: str) -> list:
-    """At most ``docs_per_language`` (lang, text) rows of each language: those of the least id hash.
+def spread_windows(text: str | None, n: int) -> np.ndarray:
+    """At most ``n`` windows of a text, evenly spaced."""
+    own, _ = windows([(text or "").encode()])
+    return own[np.linspace(0, len(own) - 1, min(len(own), n)).astype(int)]
 
-    The choice reads ids and languages only: limited windows over the salted
+
+def sample(docs: DataFrame, docs_per_language: int, windows_per_doc: int, id_col: str, text_col: str, lang_col: str) -> list:
+    """(lang, bytes of at most ``windows_per_doc`` windows) of at most ``docs_per_language`` ids of each
+    language: those of the least id hash.  Of rows with equal id and lang, the one with the least bytes counts.
+
+    The choice reads distinct ids and languages only: limited windows over the salted
     languages first, so that the last sees a bounded number of rows of each
-    language however many there are.  Then the texts of the chosen ids are fetched.
+    language however many there are.  Then the executors cut the windows out of the chosen rows.
     """
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).cast("string").alias("lang"))
-    own = own.where(F.col("lang").isNotNull() & ~held_out("doc_id"))
+    named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).cast("string").alias("lang"),
+                        F.col(text_col).cast("string").alias("text"))
+    own = named.select("doc_id", "lang").where(F.col("lang").isNotNull() & ~held_out("doc_id")).distinct()
     chosen = own.withColumn("salt", F.pmod(F.xxhash64(F.lit("salt"), "doc_id"), F.lit(64)))
     for keys in (["lang", "salt"], ["lang"]):
         order = Window.partitionBy(*keys).orderBy(F.xxhash64("doc_id"), "doc_id")
         chosen = chosen.withColumn("n", F.row_number().over(order)).where(F.col("n") <= docs_per_language)
-    chosen = chosen.select("doc_id")
-    ids = [r[0] for r in chosen.distinct().collect()]
-    rows = (docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"),
-                        F.col(lang_col).cast("string").alias("lang"))
-            .where(F.col("doc_id").isin(ids) & F.col("lang").isNotNull()).collect()) if ids else []
-    return sorted((r["lang"], r["text"] or "") for r in rows)
+    pairs = [tuple(r) for r in chosen.select("doc_id", "lang").collect()]
+    if not pairs:
+        return []
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, TEXTS_AT_ONCE):
+                cuts = [spread_windows(t, windows_per_doc).tobytes() for t in part.column(2).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(cuts, pa.binary())],
+                                                 names=["doc_id", "lang", "windows"])
+
+    picked = F.broadcast(docs.sparkSession.createDataFrame(pairs, "doc_id long, lang string"))
+    rows = (named.where(F.col("doc_id").isin([i for i, _ in pairs])).join(picked, ["doc_id", "lang"], "left_semi")
+            .mapInArrow(run, "doc_id long, lang string, windows binary")
+            .groupBy("doc_id", "lang").agg(F.min("windows").alias("windows")).collect())
+    return sorted((r["lang"], bytes(r["windows"])) for r in rows)
 
 
 def fit(docs: DataFrame, docs_per_language: int = 250, windows_per_doc: int = 12, hidden: int = 8, epochs: int = 6,
         id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], dict | None]:
     """(languages, weights).  Nothing to learn from, as no labelled row has a text: no languages, and no weights."""
-    rows = sample(docs, docs_per_language, id_col, text_col, lang_col)
+    rows = sample(docs, docs_per_language, windows_per_doc, id_col, text_col, lang_col)
     languages = sorted({lang for lang, _ in rows})
     if not languages:
         return [], None
     data, labels = [], []
-    for lang, text in rows:
-        own, _ = windows([text.encode()])
-        own = own[np.linspace(0, len(own) - 1, min(len(own), windows_per_doc)).astype(int)]
+    for lang, cuts in rows:
+        own = np.frombuffer(cuts, np.uint8).reshape(-1, STEPS)
         data.append(own)
         labels += [languages.index(lang)] * len(own)
     data, labels = np.concatenate(data), np.asarray(labels, np.int64)

@@ -435,6 +435,16 @@ def test_language_on_held_out_documents(spark):
     assert langid.identify(odd.where("false")).collect() == []
 
 
+def test_sample_is_bounded_by_ids_and_windows(spark):
+    ids = [i for i in range(1000) if zlib.crc32(str(i).encode()) % 4 != 2]
+    rows = [(i, f"text {i}", "en") for i in ids[:300]] + [(ids[0], "copy", "en")] * 400 + [(ids[0], "x" * 10 ** 6, "de"), (ids[1], None, "fr")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    got = langid.sample(frame, 250, 12, "doc_id", "text", "lang")
+    english = [w for lang, w in got if lang == "en"]
+    assert len(english) == 250 and len(set(english)) == 250
+    assert [len(w) for lang, w in got if lang == "de"] == [12 * langid.STEPS] and [w for lang, w in got if lang == "fr"] == [b""]
+
+
 def test_gradients_by_differences():
     p = {k: v.astype(np.float64) for k, v in langid.initial(3, 2, 1).items()}
     rng = np.random.default_rng(0)
