@@ -94,6 +94,15 @@ def _unit_sum(by: list[str], vectors: DataFrame) -> DataFrame:
                     .otherwise(F.transform("s", lambda x: x / F.col("l"))).alias("c"))
 
 
+def _first_files(unit: DataFrame, n: int, key: str) -> DataFrame:
+    """The ``n`` files of each domain with the least hash of their key, ``pos`` from 0.
+
+    The limit stands on the row number itself, so that each task keeps ``n`` rows of a domain before the exchange.
+    """
+    w = Window.partitionBy("domain_id").orderBy(F.xxhash64(F.col(key).cast("string")), F.col(key))
+    return unit.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= n).withColumn("pos", F.col("pos") - 1)
+
+
 def discover_subtopics(assigned: DataFrame, max_sub: int = MAX_SUBTOPICS, iters: int = 8, key: str = "file_id",
                        vec: str = "vector") -> tuple[DataFrame, DataFrame]:
     """O4 default provider: k-means by cosine inside every domain, over all its files.
@@ -112,8 +121,7 @@ def discover_subtopics(assigned: DataFrame, max_sub: int = MAX_SUBTOPICS, iters:
     unit = assigned.where((length > 0) & ~F.isnan(length) & (length < float("inf"))).select(
         "domain_id", key, F.transform(vec, lambda x: x.cast("double") / length).alias("u"))
     unit = materialize(unit, "subtopic-vectors")
-    w = Window.partitionBy("domain_id").orderBy(F.xxhash64(F.col(key).cast("string")), F.col(key))
-    start = unit.withColumn("pos", F.row_number().over(w) - 1).where(F.col("pos") < max_sub)
+    start = _first_files(unit, max_sub, key)
     parts = unit.groupBy("domain_id").agg(F.greatest(F.lit(2), F.least(
         F.lit(max_sub), F.floor(F.log2(F.count(F.lit(1)))))).alias("k"))
     centres = cut_lineage(start.join(parts, "domain_id").where(F.col("pos") < F.col("k"))

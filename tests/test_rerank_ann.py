@@ -104,6 +104,14 @@ def test_subtopics_over_all_files(spark):
     assert empty.count() == none.count() == 0
 
 
+def test_first_files_are_limited_before_the_exchange(spark):
+    unit = _two_bundles(spark).selectExpr("domain_id", "file_id", "vector as u").repartition(5)
+    first = dv._first_files(unit, 2, "file_id")
+    plan = first._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan and "Partial" in plan
+    assert sorted((r["domain_id"], r["pos"]) for r in first.collect()) == [(0, 0), (0, 1), (1, 0), (2, 0), (2, 1)]
+
+
 def test_titles_from_content(spark):
     members = spark.createDataFrame([(0, "a"), (0, "b"), (1, "c"), (2, "d")], "domain_id int, file_id string")
     texts = spark.createDataFrame([("a", "Login token, the login"), ("b", "login the page"), ("c", "the of chart axis"), ("d", None)],
