@@ -3,10 +3,12 @@
 Texts are normalised to words: A-Z become a-z, and runs of ASCII letters,
 digits and characters beyond ASCII are words.  A test item (question, answer)
 gives windows: every ``window`` consecutive words of it, or all its words if
-it has fewer.  All windows are patterns of one automaton whose letters are
-word numbers (a word that no item has is 0), so a text is scanned once, every
-occurrence of every window is found, and only where something was found are
-places mapped back to characters of the original.
+it has fewer.  All windows are patterns of one automaton over words, so a text
+is scanned once, every occurrence of every window is found, and only where
+something was found are places mapped back to characters of the original.  A
+word goes in as a fixed number of letters, the digits of its number, each place
+with letters of its own (so nothing matches across words); a node then has at
+most ``BASE`` children, where it would have thousands if words were letters.
 
 The items never pass through the driver: normalised, cut into segments of a
 bounded number of words (neighbours share ``window - 1`` words), they are a table in
@@ -32,7 +34,8 @@ from pyspark.sql import functions as F
 from canopy.llm.shared import cut, filesystem, scratch, slices
 
 SEGMENT = 2000          # words of an item in a row
-WINDOWS_A_BLOCK = 200_000   # of one automaton: about 2 million nodes
+WINDOWS_A_BLOCK = 200_000   # of one automaton: 6 to 8 million nodes of 40 bytes
+BASE = 32               # digits of a word's number
 PIECE = 1 << 20         # bytes of a text that are scanned at once
 TEXTS_AT_ONCE = 512
 # A-Z to a-z, other ASCII characters that are no word's to blanks
@@ -83,24 +86,30 @@ class Automaton:
 
     def __init__(self, items: Items, block: int):
         import ahocorasick
-        self.window, self.numbers, self.owners, self.digests = items.window, {}, [], {}
-        number, windows = self.numbers, {}
+        self.window, self.owners = items.window, []
+        number: dict[bytes, int] = {}
+        windows: dict[tuple, dict] = {}
         for item, segment in _block_rows(items, block):
-            ids = [number.setdefault(w, len(number) + 1) for w in segment.encode().split()]
+            ids = [number.setdefault(w, len(number)) for w in segment.encode().split()]
             for at in range(max(1, len(ids) - self.window + 1)):
                 windows.setdefault(tuple(ids[at:at + self.window]), {})[item] = None
-        self.machine = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+        self.width = 1
+        while BASE ** self.width < len(number):
+            self.width += 1
+        codes = ["".join(chr(33 + place * BASE + n // BASE ** place % BASE) for place in range(self.width)) for n in range(len(number))]
+        self.codes = dict(zip(number, codes))
+        self.unknown = " " * self.width
+        self.machine = ahocorasick.Automaton(ahocorasick.STORE_INTS)
         shared: dict[tuple, int] = {}   # windows of the same items share a list
-        self.window_owner = []
-        self.lengths = np.fromiter(map(len, windows), np.int64, len(windows))
+        window_owner = []
         for n, (key, owners) in enumerate(windows.items()):
-            self.machine.add_word(key, n)
+            self.machine.add_word("".join(codes[w] for w in key), n)
             owners = tuple(owners)
-            at = shared.setdefault(owners, len(shared))
-            if at == len(self.owners):
+            window_owner.append(shared.setdefault(owners, len(shared)))
+            if len(shared) > len(self.owners):
                 self.owners.append(owners)
-            self.window_owner.append(at)
-        self.window_owner = np.array(self.window_owner, np.int64)
+        self.lengths = np.fromiter(map(len, windows), np.int64, len(windows))
+        self.window_owner = np.array(window_owner, np.int64)
         if windows:
             self.machine.make_automaton()
 
@@ -110,20 +119,21 @@ class Automaton:
             return 0, _NONE, _NONE
         data = text.encode().translate(NORMAL)
         total, carry, ends, found = 0, [], [], []
-        get, at = self.numbers.get, 0
+        get, at, width, unknown = self.codes.get, 0, self.width, self.unknown
         while at < len(data):
             stop = len(data)
             if stop - at > PIECE:
                 stop = data.rfind(b" ", at, at + PIECE) + 1 or data.find(b" ", at) + 1 or len(data)
-            numbers = [get(w, 0) for w in data[at:stop].split()]
-            if self.numbers and any(numbers):
+            codes = [get(w, unknown) for w in data[at:stop].split()]
+            if self.codes:
                 start = total - len(carry)
-                for end, n in self.machine.iter((*carry, *numbers)):
-                    if start + end >= total:  # those that end in the carried words were found before
-                        ends.append(start + end)
+                for end, n in self.machine.iter("".join([*carry, *codes])):
+                    last = start + end // width
+                    if last >= total:  # those that end in the carried words were found before
+                        ends.append(last)
                         found.append(n)
-            total += len(numbers)
-            carry = (carry + numbers)[-(self.window - 1):] if self.window > 1 else []
+            total += len(codes)
+            carry = (carry + codes)[-(self.window - 1):] if self.window > 1 else []
             at = stop
         return total, np.array(ends, np.int64), np.array(found, np.int64)
 
