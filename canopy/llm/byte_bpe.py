@@ -17,7 +17,7 @@ import numpy as np
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
-def _byte_of_char() -> dict[str, int]:
+def byte_of_char() -> dict[str, int]:
     """Printable Latin-1 bytes stand for themselves, the rest for the code points from 256 on."""
     shown = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)]
     hidden = sorted(set(range(256)).difference(shown))
@@ -31,7 +31,7 @@ def engine(path: str):
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
     special = {t["content"] for t in spec["added_tokens"]}
-    byte = _byte_of_char()
+    byte = byte_of_char()
     ranks = {bytes(byte[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
     return tiktoken.Encoding("byte-bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 

@@ -29,14 +29,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from canopy.llm.shared import complete_file, cut, filesystem, scratch, slices
+from canopy.llm.shared import by_id, byte_slices, complete_file, cut, filesystem, scratch
 from canopy.llm.wordcache import encoder
 
 CRC_MASK_DELTA = 0xA282EAD8  # fixed value of the record format
 CRC32C_POLY = 0x82F63B78     # fixed value: Castagnoli polynomial, reflected
 BLOCK = 256                  # bytes per lane of the vectorised checksum
 READ_BYTES = 8 << 20         # bytes fetched at once by a sequential reader
-TEXTS_AT_ONCE = 256
+TEXT_BYTES = 8 << 20         # of text encoded at once
 
 
 # -- checksums -----------------------------------------------------------------
@@ -157,25 +157,25 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str, end_id: int | No
 
     Runs at once; returns one row per file: ``file_no, name, n_records, n_ids``.
     Null text: no ids but the end id.  Null document ids come first; rows with
-    equal ids stand beside each other, ordered by text.  Empty input: no file.
-    Other columns of ``docs`` are not read.
+    equal ids stand beside each other, ordered by the first 64 characters, then
+    a hash of the text; any number of them is dealt over files.  Empty input:
+    no file.  Other columns of ``docs`` are not read.
     """
-    ordered = (docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-               .repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text"))
+    ordered = by_id(docs, id_col, text_col).select("doc_id", "text")
 
     def write(batches):
         files, root = filesystem(folder)
         no = TaskContext.get().partitionId()
         name, offsets, n_ids = f"part-{no:06d}", [0], 0
         words = encoder(tokenizer)
-        batches = (b for batch in batches for b in slices(batch, TEXTS_AT_ONCE))
+        batches = (b for batch in batches for b in byte_slices(batch, 1, TEXT_BYTES))
         first = next(batches, None)
         if first is None:
             return
-        tail = b"" if end_id is None else struct.pack("<I", end_id)
+        tail = np.array([] if end_id is None else [end_id], "<u4")
         with complete_file(files, f"{root}/{name}.rec") as out:
             while first is not None:
-                ids = [np.frombuffer(b + tail, "<u4") for b in words.encode(first.column(1).to_pylist())]
+                ids = [np.concatenate([x, tail]) for x in words.encode(first.column(1))]
                 made = frames([serialize(d, x) for d, x in zip(first.column(0).to_pylist(), ids)])
                 out.write(b"".join(made))
                 offsets += (offsets[-1] + np.cumsum([len(f) for f in made])).tolist()

@@ -15,6 +15,7 @@ import uuid
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from canopy.session import checkpoint_dir
 
@@ -32,6 +33,19 @@ def cut(df: DataFrame, name: str, *folders: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def by_id(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``doc_id, text`` and more, range-partitioned and sorted by id, null ids first.
+
+    Rows of one id, however many, spread over partitions: they are ordered by
+    their first 64 characters, a hash of the text and their row number.
+    """
+    keys = ["doc_id", "head", "hash", "row_no"]
+    text = F.col("text")
+    return (docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+            .withColumns({"head": F.left(text, F.lit(64)), "hash": F.xxhash64(text), "row_no": F.monotonically_increasing_id()})
+            .repartitionByRange(*keys).sortWithinPartitions(*keys))
+
+
 def filesystem(uri: str):
     """(file system, path) of a folder or file named by URI or absolute path."""
     from pyarrow import fs
@@ -63,3 +77,16 @@ def slices(batch, size: int):
     """Row slices of an Arrow batch, so that few texts are held as Python objects."""
     for at in range(0, batch.num_rows, size):
         yield batch.slice(at, size)
+
+
+def byte_slices(batch, column: int, size: int):
+    """Row slices of an Arrow batch whose texts in ``column`` have ``size`` bytes at most, or one row."""
+    import numpy as np
+    import pyarrow.compute as pc
+    ends = np.cumsum(pc.binary_length(batch.column(column)).fill_null(0).to_numpy())
+    at = 0
+    while at < batch.num_rows:
+        before = int(ends[at - 1]) if at else 0
+        stop = max(at + 1, int(np.searchsorted(ends, before + size, side="right")))
+        yield batch.slice(at, stop - at)
+        at = stop
