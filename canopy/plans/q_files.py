@@ -11,12 +11,13 @@ from canopy.operators import summarise as sm
 from canopy.sources import scan, standins as st
 
 RULES = scan.parse_ignore_rules(st.IGNORE_FILE_LINES)
+RULES_COMPAT = scan.parse_ignore_rules(st.IGNORE_FILE_LINES_COMPAT)
 SIZE_LIMIT = 8192  # stand-in scan size limit (both sides of the limit occur)
 
 
 # What RULES ignore, said by path segments, without patterns.
 _SEG = o.segs("path")
-_IGNORED = (f"({_SEG}[1] = 'src3' OR (starts_with({_SEG}[1], 'src1') AND {_SEG}[2] = 'de') OR list_contains({_SEG}, 'doc7.ts') "
+_IGNORED = (f"({_SEG}[1] = 'src3' OR (starts_with({_SEG}[1], 'src1') AND {_SEG}[2] = 'de' AND NOT starts_with({_SEG}[3], 'doc41')) OR list_contains({_SEG}, 'doc7.ts') "
             f"OR ({_SEG}[1] = 'src5' AND {_SEG}[2] <> 'en') OR (starts_with({_SEG}[3], 'doc4') AND NOT starts_with({_SEG}[3], 'doc41')))")
 
 
@@ -71,6 +72,13 @@ def q_filter_ignore_rules(spark, d):
     return scan.filter_ignore_rules(st.files(spark, d), RULES).select("file_id", "path")
 
 
+@register("filter_ignore_rules_compat", o.with_ctes(
+    f"SELECT file_id, path FROM files WHERE {_SEG}[1] = 'src5' AND NOT ({_SEG}[2] LIKE 'd_%') AND NOT list_contains({_SEG}, 'doc7.ts')",
+    "files"))
+def q_filter_ignore_rules_compat(spark, d):
+    return scan.filter_ignore_rules(st.files(spark, d), RULES_COMPAT, compat=True).select("file_id", "path")
+
+
 @register("file_records", o.with_ctes(
     f"SELECT file_id, path, {o.basename('path')} AS name, {o.loc('text')} AS loc, size "
     f"FROM files WHERE {_SCAN_WHERE}", "files"))

@@ -194,13 +194,37 @@ def glob_to_regex(pattern: str) -> str:
     return ("^" if anchored else "^(?:.*/)?") + "".join(out) + "$"
 
 
-def ignore_predicate(rules: list[str], path: str = "path") -> Column:
+def _compat_hit(prefix: Column, rule: str) -> Column:
+    """Does a rule hit a path as the original reads rules?
+
+    A rule with a star is a pattern of the whole path in which only dots are
+    escaped and '**' ends up as one character and a star; any other rule is
+    the path itself, a folder above it, or one of its segments.  '!' turns the
+    answer round.
+    """
+    if rule.startswith("!"):
+        return ~_compat_hit(prefix, rule[1:])
+    if "*" in rule:
+        body = rule.replace(".", r"\.").replace("**", ".*").replace("*", "[^/]*")
+        return prefix.rlike(f"^{body}$")
+    return (prefix == F.lit(rule)) | prefix.startswith(f"{rule}/") | F.array_contains(F.split(prefix, "/"), F.lit(rule))
+
+
+def ignore_predicate(rules: list[str], path: str = "path", compat: bool = False) -> Column:
     """Boolean column: do the rules ignore the file?
 
     For the file and each folder above it the last rule that matches decides;
     '!' re-includes.  A file below an ignored folder is ignored whatever later
     rules say of it.  A rule with a trailing '/' matches folders only.
+
+    ``compat``: the original's reading.  The order of rules and a trailing '/'
+    mean nothing, a rule that hits the file or a folder above it ignores it, and '!p'
+    ignores all that p does not hit.
     """
+    if compat:
+        bare = [r.removesuffix("/") for r in rules]
+        return F.exists(prefixes(path), lambda x: reduce(lambda a, b: a | b, [_compat_hit(x, r) for r in bare], F.lit(False)))
+
     def verdict(prefix: Column) -> Column:
         out = None
         for rule in reversed(rules):
@@ -214,9 +238,9 @@ def ignore_predicate(rules: list[str], path: str = "path") -> Column:
     return F.exists(prefixes(path), verdict)
 
 
-def filter_ignore_rules(df: DataFrame, rules: list[str], path: str = "path") -> DataFrame:
+def filter_ignore_rules(df: DataFrame, rules: list[str], path: str = "path", compat: bool = False) -> DataFrame:
     """Drop files hit by the ignore rules (a narrow filter, no join)."""
-    return df.where(~ignore_predicate(rules, path))
+    return df.where(~ignore_predicate(rules, path, compat))
 
 
 def file_records(df: DataFrame, id_col: str = "file_id") -> DataFrame:

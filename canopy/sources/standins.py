@@ -18,6 +18,8 @@ from canopy.sources.tables import table
 
 # Fixed stand-in parameters.
 IGNORE_FILE_LINES = ["src3/", "src1*/de/*", "doc7.ts", "# c", "", "/src5/*", "!src5/en", "**/doc4*", "!doc41*"]
+# A rule file for the original's reading of rules: only 'src5' survives the last one.
+IGNORE_FILE_LINES_COMPAT = ["src3/", "src5/d**", "doc7.ts", "# c", "", "*.bin", "!src5"]
 # invented price per 1M tokens (input, output); "model_x" is deliberately missing.
 PRICES = [("model_a", 1.5, 7.0), ("model_b", 4.25, 11.5), ("model_c", 0.35, 0.9)]
 

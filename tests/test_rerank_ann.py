@@ -63,6 +63,8 @@ def test_discovery_shapes(spark):
 
 def test_stored_index_reads_probed_lists_only(spark, tmp_path):
     from canopy.sources.store import TableStore
+    spark.conf.set("spark.sql.maxMetadataStringLength", "10000")  # a long folder name would be shortened in the plan
+    tmp_path = tmp_path / ("n" * 150)
     df, m, q = _pool(spark, n=60)
     bad = spark.createDataFrame([("null", None), ("nan", [float("nan")] * 6), ("short", [1.0])], "id string, vector array<float>")
     corpus = df.select("id", "vector").unionByName(bad)

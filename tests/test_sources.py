@@ -109,3 +109,26 @@ def test_incremental_stream_restart_adds_nothing(spark, tmp_path):
     start_incremental(spark, document_stream(spark, SF_SMALL), store, r2).awaitTermination()   # fresh checkpoint, same data
     s = store.read("summaries")
     assert s.count() == n1 == s.select("hash").distinct().count() > 0
+
+
+def test_a_later_rule_takes_a_file_back(spark):
+    from canopy.sources import standins as st
+    rules = scan.parse_ignore_rules(st.IGNORE_FILE_LINES)
+    paths = ["src13/de/doc413.md", "src13/de/doc5.md", "src13/en/doc4.ts", "src5/en/doc41.ts", "src5/fr/doc41.py", "src3/en/doc41.ts"]
+    df = spark.createDataFrame([(p,) for p in paths], "path string")
+    assert {r["path"] for r in scan.filter_ignore_rules(df, rules).collect()} == {"src13/de/doc413.md", "src5/en/doc41.ts"}
+
+
+def test_rules_as_the_original_reads_them(spark):
+    paths = ["top.log", "a/run.log", "src/x.ts", "src/d/y.ts", "src/de/z.ts", "lib/src/w.ts", "build/o.js", "a/build/p.js", "rebuild/q.js"]
+    df = spark.createDataFrame([(p,) for p in paths], "path string")
+
+    def kept(*lines):
+        return {r["path"] for r in scan.filter_ignore_rules(df, scan.parse_ignore_rules(lines), compat=True).collect()}
+
+    assert kept("*.log") == set(paths) - {"top.log"}                         # the whole path, so the top level only
+    assert kept("build/") == set(paths) - {"build/o.js", "a/build/p.js"}     # the final '/' means nothing
+    assert kept("src/d**") == set(paths) - {"src/de/z.ts", "src/d/y.ts"}     # '**': any one character, then any but '/'
+    assert kept("!src") == {"src/x.ts", "src/d/y.ts", "src/de/z.ts"}         # drops what it does not hit, folders above included
+    assert kept("*.log", "!top.log") == set()                               # hit by the first or missed by the second
+    assert kept() == set(paths)
