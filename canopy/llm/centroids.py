@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from canopy.llm.shared import cut
+from canopy.llm.shared import cut, integer_vectors
 
 LIMB = 2 ** 40          # sums go through Spark in digits of this base, so that no size of component overflows
 LONGEST = 2 ** 63 - 1
@@ -208,32 +208,6 @@ def _matrix(batch: pa.RecordBatch, terms: int) -> tuple[np.ndarray, int]:
     return rows, max(abs(c) for r in rows for c in r)
 
 
-def integer_vectors(vectors: DataFrame, terms: int, scale: int, id_col: str, vector_col: str) -> DataFrame:
-    """``vec_id, w, wide``: floor(scale * x) of the vectors with ``terms`` finite components.
-
-    ``w`` holds them as longs; a vector with a component of 2**62 or more has
-    them in ``wide`` instead, as decimal text (Python computes it exactly).
-    """
-    x = F.col("vector")
-    sound = (F.size(x) == terms) & ~F.exists(x, lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
-    big = F.exists(x, lambda c: F.abs(c) >= float(2 ** 62 / scale))
-    rows = (vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vector"))
-            .where(x.isNotNull()).where(sound)
-            .select("vec_id", F.when(~big, F.transform(x, lambda c: F.floor(c * F.lit(float(scale))).cast("long"))).alias("w"),
-                    F.when(big, x).alias("wide")))
-
-    def exact(batches):
-        from fractions import Fraction
-        for batch in batches:
-            wide = batch.column("wide")
-            texts = [None if v is None else [str(math.floor(Fraction(c) * scale)) for c in v] for v in wide.to_pylist()] \
-                if wide.null_count < len(wide) else [None] * len(wide)
-            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("w"), pa.array(texts, pa.list_(pa.string()))],
-                                             names=["vec_id", "w", "wide"])
-
-    return rows.mapInArrow(exact, "vec_id long, w array<long>, wide array<string>")
-
-
 def starting_rows(vectors: DataFrame, k: int, seed: int) -> list[list[int]]:
     """The k vectors whose ``seed:vec_id`` has the smallest hashes (null id: no text after the colon)."""
     key = F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("vec_id").cast("string"), F.lit(""))), 256)
@@ -306,7 +280,7 @@ def cluster(vectors: DataFrame, k: int = 16, rounds: int = 3, terms: int = 64, s
     ``report`` receives (vectors, vectors scanned against all centroids) of each pass.
     """
     spark = vectors.sparkSession
-    whole = cut(integer_vectors(vectors, terms, scale, id_col, vector_col), "cluster-vectors")
+    whole = cut(integer_vectors(vectors, scale, id_col, vector_col, terms), "cluster-vectors")
     start = starting_rows(whole, k, seed)
     if not start:
         return spark.createDataFrame([], "vec_id long, cluster int, distance long, cluster_inertia long, inertia long, centroid_sha256 string")

@@ -90,3 +90,34 @@ def byte_slices(batch, column: int, size: int):
         stop = max(at + 1, int(np.searchsorted(ends, before + size, side="right")))
         yield batch.slice(at, stop - at)
         at = stop
+
+
+def integer_vectors(vectors: DataFrame, scale: int, id_col: str, vector_col: str, terms: int | None = None) -> DataFrame:
+    """``vec_id, w, wide``: floor(scale * x) of the vectors whose components are all
+    finite (and ``terms`` in number, where that is given).
+
+    ``w`` holds them as longs; a vector with a component of 2**62 or more has
+    them in ``wide`` instead, as decimal text (Python computes it exactly).
+    """
+    x = F.col("vector")
+    sound = ~F.exists(x, lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
+    if terms is not None:
+        sound = (F.size(x) == terms) & sound
+    big = F.exists(x, lambda c: F.abs(c) >= float(2 ** 62 / scale))
+    rows = (vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vector"))
+            .where(x.isNotNull()).where(sound)
+            .select("vec_id", F.when(~big, F.transform(x, lambda c: F.floor(c * F.lit(float(scale))).cast("long"))).alias("w"),
+                    F.when(big, x).alias("wide")))
+
+    def exact(batches):
+        import math
+        from fractions import Fraction
+
+        import pyarrow as pa
+        for batch in batches:
+            texts = [None if v is None else [str(math.floor(Fraction(c) * scale)) for c in v] for v in batch.column("wide").to_pylist()] \
+                if batch.column("wide").null_count < batch.num_rows else [None] * batch.num_rows
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("w"), pa.array(texts, pa.list_(pa.string()))],
+                                             names=["vec_id", "w", "wide"])
+
+    return rows.mapInArrow(exact, "vec_id long, w array<long>, wide array<string>")

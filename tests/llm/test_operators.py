@@ -397,25 +397,33 @@ def test_byte_ids_equal_the_library():
 # -- top-k ---------------------------------------------------------------------
 
 def test_topk_matches_brute_force(spark):
+    from fractions import Fraction
     rnd = random.Random(10)
     rows = [(i, [rnd.choice([0.0, 0.0, round(rnd.uniform(-1, 1), 2)]) for _ in range(rnd.choice([6, 8]))], 0) for i in range(160)]
     rows += [(200, None, 0), (201, [1.0, None], 0), (202, [float("nan")], 0), (203, [float("inf")], 0), (None, [1.0], 0),
-             (220, [], 0), (240, [1e30, -1e30], 0), rows[3]]
+             (220, [], 0), (240, [1e30, -1e30], 0), (241, [1e30, 1e30], 0), (242, [0.0, 1e15], 0), (243, [-1e300, 0.0, 1.0], 0),
+             (260, [0.0, 0.0, 2e6, 1.5], 0), rows[3], rows[40], rows[40], (40, [1.0] * 6, 0), (17, [3e5, -3e5], 0)]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score int").repartition(5)
-    able = {i: [max(-2**26, min(2**26, math.floor(64 * x))) for x in v] for i, v, _ in rows
-            if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)}
-    got = {}
-    for r in topk.search(frame, F.col("vec_id") % 20 == 0, k=7, query_block=3, candidate_block=40).collect():
-        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
-    want = {}
-    for q in able:
-        if q % 20 == 0:
-            best = sorted((-sum(a * b for a, b in zip(able[q], v)), i) for i, v in able.items() if i != q)[:7]
-            want[q] = [(n, i, -s) for n, (s, i) in enumerate(best, 1)]
-    assert {q: sorted(v) for q, v in got.items()} == want
+    able = [(i, [math.floor(Fraction(x) * 64) for x in v]) for i, v, _ in rows
+            if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    fits = lambda s: s if -2**63 <= s < 2**63 else None
+    for blocks in ({}, {"query_block": 3, "candidate_block": 40}):
+        got = sorted(map(tuple, topk.search(frame, F.col("vec_id") % 20 == 0, k=7, **blocks).collect()), key=repr)
+        want = []
+        for n, (q, v) in enumerate(able):
+            if q % 20 == 0:
+                best = sorted((-sum(a * b for a, b in zip(v, c)), i) for m, (i, c) in enumerate(able) if m != n)[:7]
+                want += [(q, rank, i, fits(-s)) for rank, (s, i) in enumerate(best, 1)]
+        assert got == sorted(want, key=repr)
     assert topk.search(empty(frame), F.col("vec_id") % 20 == 0).collect() == []
 
 
+def test_scores_beyond_a_long_keep_their_order():
+    scores = [-10**400, -2**70, -2**63 - 1, -2**63, 0, 2**63 - 1, 2**63, 10**19, 10**400]
+    keys = [(b, t or "", s if not b else 0) for s in scores for b, t in [topk._beyond(s)]]
+    assert keys == sorted(keys)
+
+
 # -- language ------------------------------------------------------------------
 
 def test_language_on_held_out_documents(spark):
