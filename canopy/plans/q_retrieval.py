@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from canopy.functions import vector as vx
 from canopy.functions.text import embed_text
-from canopy.operators import ann, keyword as kw, pq, retrieval as rt
+from canopy.operators import ann, inverted, keyword as kw, pq, retrieval as rt
 from canopy.operators import vectors as vo
 from canopy.operators.rerank import mmr_rerank
 from canopy.plans import oracle_sql as o
@@ -220,6 +220,17 @@ def q_bm25_topk(spark, d):
     return t.select("query_id", "doc_id", "score", "rank")
 
 
+@register("index_topk", o.with_ctes(f"SELECT query_id, doc_id, score, rank FROM bm_top WHERE rank <= {TOPK}", "bm_top"))
+def q_index_topk(spark, d):
+    """X1 from a stored index: half of the documents written, the other half appended, segments merged."""
+    docs, store = _docs(spark, d), _index_store(spark)
+    late = F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 1
+    inverted.write_index(store, "words", docs.where(~late))
+    inverted.append(store, "words", docs.where(late))
+    inverted.merge_segments(store, "words")
+    return inverted.search(store, "words", _bench_queries(spark, d), TOPK).select("query_id", "doc_id", "score", "rank")
+
+
 def _dense_rank(spark, d):
     docs = vo.embed_texts(_docs(spark, d)).select(F.col("doc_id").cast("string").alias("id"), "vector")
     q = vo.embed_texts(_bench_queries(spark, d)).select("query_id", "vector")

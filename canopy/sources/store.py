@@ -19,6 +19,7 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -99,7 +100,8 @@ class TableStore:
         v = self.version(name)
         if v is None:
             raise KeyError(f"table {name} does not exist in {self.root}")
-        return self.spark.read.parquet(*(f"{self.root}/{name}/{f}" for f in v.split(",")))
+        parts = [self.spark.read.parquet(f"{self.root}/{name}/{f}") for f in v.split(",")]  # each may have partition folders
+        return reduce(lambda a, b: a.unionByName(b), parts)
 
     def replace(self, name: str, df: DataFrame, partition_by: list[str] | None = None) -> str:
         """Write a new version, then commit it in place of the old one."""
@@ -107,9 +109,9 @@ class TableStore:
         self._commit(lambda tables: {**tables, name: [v]})
         return v
 
-    def append(self, name: str, df: DataFrame) -> None:
-        """Add rows to an unpartitioned table in a folder of their own (cache tables: S8)."""
-        v = self._stage(name, df)
+    def append(self, name: str, df: DataFrame, partition_by: list[str] | None = None) -> None:
+        """Add rows in a folder of their own (cache tables: S8; index segments)."""
+        v = self._stage(name, df, partition_by)
         self._commit(lambda tables: {**tables, name: [*tables.get(name, []), v]})
 
     def put_summaries(self, name: str, new: DataFrame) -> None:
