@@ -13,7 +13,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from canopy.functions.text import ancestors, basename, dir_id, dirname, line_count, segments
+from canopy.functions.text import ancestors, basename, content_hash, dir_id, dirname, line_count, segments
+from canopy.operators.changes import manifest_diff
+from canopy.session import materialize
+from canopy.sources.store import Merge
 
 EMPTY_DIRECTORY = "[empty directory]"
 LARGE_LOC = 1000
@@ -48,6 +51,53 @@ def directory_rollup(files: DataFrame) -> DataFrame:
     return g.select(*_dir_cols(), "loc", "file_count")
 
 
+def file_manifest(files: DataFrame) -> DataFrame:
+    """``path, hash, loc`` of files (path, text; null: empty): what an incremental roll-up remembers of them."""
+    text = F.coalesce("text", F.lit(""))
+    return files.select("path", content_hash(text).alias("hash"), line_count(text).cast("long").alias("loc"))
+
+
+def update_rollup(store, name: str, files: DataFrame) -> DataFrame:
+    """A1 kept up to date: bring the stored roll-up ``name`` in line with ``files``.
+
+    ``files`` are all files of now (path, text; a path stands once).  The stored
+    manifest ``<name>_files`` is compared with theirs; a file that was added,
+    changed or removed gives a signed change of lines and of the file count to
+    each directory above it, and these sums are merged into the stored table.
+    Directories without a file left go.  Only buckets of changed files and
+    directories are written, in one commit with the manifest; a first call
+    writes all.  Nothing changed: no commit.  Gives the changes made
+    (``path, change, loc, n``: the signed lines and files).
+    """
+    now = file_manifest(files)
+    known = store.read(f"{name}_files") if store.exists(f"{name}_files") else now.limit(0)
+    diff = manifest_diff(known, now).where("change <> 'same'")
+    old, new = (d.select("path", F.col("hash").alias(f"{w}_hash"), F.col("loc").alias(f"{w}_loc")) for d, w in ((known, "old"), (now, "new")))
+    changes = materialize(diff.join(old, "path", "left").join(new, "path", "left").select(
+        "path", "change", F.col("new_hash").alias("hash"), F.col("new_loc").alias("new_loc"),
+        (F.coalesce("new_loc", F.lit(0)) - F.coalesce("old_loc", F.lit(0))).alias("loc"),
+        F.when(F.col("change") == "added", 1).when(F.col("change") == "removed", -1).otherwise(0).cast("long").alias("n")), "file-changes")
+    if changes.isEmpty():
+        return changes.select("path", "change", "loc", "n")
+    sums = (changes.select(F.explode(ancestors("path")).alias("path"), "loc", "n").groupBy("path")
+            .agg(F.sum("loc").alias("loc"), F.sum("n").alias("file_count")).where("loc <> 0 or file_count <> 0"))
+    moved = materialize(sums.select(*_dir_cols(), "loc", "file_count"), "directory-changes")
+    remembered = changes.select("path", "hash", F.col("new_loc").alias("loc"))
+
+    def keep(old, rows):
+        return old.join(rows.select("path"), "path", "left_anti").select("path", "hash", "loc").unionByName(rows.where("hash is not null"))
+
+    store.merge_many({f"{name}_files": Merge(remembered, ("path",), keep), name: Merge(moved, ("path",), add_rollups)})
+    return changes.select("path", "change", "loc", "n")
+
+
+def add_rollups(old: DataFrame, changes: DataFrame) -> DataFrame:
+    """Roll-ups plus signed changes of them; a directory without files goes."""
+    both = old.select("path", "loc", "file_count").unionByName(changes.select("path", "loc", "file_count"))
+    total = both.groupBy("path").agg(F.sum("loc").alias("loc"), F.sum("file_count").alias("file_count")).where("file_count <> 0")
+    return total.select(*_dir_cols(), "loc", "file_count")
+
+
 def repo_totals(files: DataFrame) -> DataFrame:
     """A2: the root node's totals."""
     f = _with_loc(files)

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.sql import functions as F
+
 from canopy.operators import tree
 from canopy.plans import oracle_sql as o
 from canopy.plans.catalog import register
 from canopy.sources import standins as st
+from canopy.sources.store import TableStore
 
 o.add_cte("deep_dirs", f"""SELECT DISTINCT unnest({o.ancestors('path')}) AS path FROM files_deep""", ["files_deep"])
 o.add_cte("doc_dirs", f"""SELECT DISTINCT unnest({o.ancestors('path')}) AS path FROM files""", ["files"])
@@ -33,6 +38,24 @@ def q_directory_rollup(spark, d):
     return tree.directory_rollup(st.files(spark, d)).select("path", "id", "parent_id", "loc", "file_count")
 
 
+o.add_cte("later_files", """SELECT path, CASE WHEN file_id % 17 = 0 THEN text || chr(10) || '// edited' ELSE text END AS text
+    FROM files WHERE file_id % 13 <> 0""", ["files"])
+
+
+@register("directory_rollup_incremental", o.with_ctes(f"""
+    SELECT path, {o.dir_id('path')} AS id, {o.parent_id('path')} AS parent_id, sum(loc)::BIGINT AS loc, count(*) AS file_count FROM (
+      SELECT unnest({o.ancestors('path')}) AS path, CAST({o.loc('text')} AS BIGINT) AS loc
+      FROM later_files WHERE len({o.segs('path')}) > 1) GROUP BY path""", "later_files"))
+def q_directory_rollup_incremental(spark, d):
+    """A1 + X4: the roll-up of an earlier run, brought up to a later one by its changes alone."""
+    f = st.files(spark, d).select("path", "text", "file_id")
+    store = TableStore(spark, f"{TableStore.for_session(spark).root}/rollup-{uuid.uuid4().hex[:8]}")
+    tree.update_rollup(store, "directories", f.where("file_id % 11 <> 0"))
+    edited = F.when(F.col("file_id") % 17 == 0, F.concat("text", F.lit("\n// edited"))).otherwise(F.col("text"))
+    tree.update_rollup(store, "directories", f.where("file_id % 13 <> 0").select("path", edited.alias("text")))
+    return store.read("directories").select("path", "id", "parent_id", "loc", "file_count")
+
+
 @register("repo_totals", o.with_ctes(
     f"SELECT coalesce(sum(CAST({o.loc('text')} AS BIGINT)), 0)::BIGINT AS loc, count(*) AS file_count FROM files",
     "files"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from canopy.functions import vector as vx
@@ -9,6 +11,7 @@ from canopy.operators import vectors as vo
 from canopy.plans import oracle_sql as o
 from canopy.plans.catalog import r6, register
 from canopy.sources import standins as st
+from canopy.sources.store import TableStore
 
 K = 10
 QUERY_LABEL = 0      # the single-query searches use the domain vector of label 0
@@ -148,7 +151,10 @@ def q_embedding_upsert(spark, d):
     r = st.raw_vectors(spark, d).where(F.col("vec_id") % 4 == 0)
     new = r.select("id", F.lit("model_a").alias("model"), F.size("vector").alias("dim"), "vector",
                    F.lit(2).cast("long").alias("batch"))
-    return vo.upsert_embeddings(old, new).select("id", "model", "dim", "batch")
+    store = TableStore(spark, f"{TableStore.for_session(spark).root}/upsert-{uuid.uuid4().hex[:8]}")
+    store.merge("embeddings", old, ("id",), vo.upsert_embeddings)
+    store.merge("embeddings", new, ("id",), vo.upsert_embeddings)
+    return store.read("embeddings").select("id", "model", "dim", "batch")
 
 
 o.add_cte("domain_ids", "SELECT CAST(min(vec_id) AS VARCHAR) AS id FROM embeddings GROUP BY label", [])
