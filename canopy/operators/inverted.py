@@ -37,7 +37,7 @@ SIZES = -1              # bucket of the rows that hold a block's size
 ROUNDING = 2e-6         # scores are ranked to six places
 
 
-def _block_rows(ids, texts, block: str) -> pa.RecordBatch:
+def _block_rows(ids, texts, block: int) -> pa.RecordBatch:
     """The rows of one block of documents."""
     n = len(texts)
     toks = pc.split_pattern_regex(pc.utf8_lower(pc.fill_null(texts, "")), pattern=TOKEN_SPLIT)
@@ -60,7 +60,7 @@ def _block_rows(ids, texts, block: str) -> pa.RecordBatch:
 
     return pa.RecordBatch.from_arrays([
         pa.concat_arrays([terms.dictionary.take(pa.array(term[starts])), pa.array([None], pa.string())]),
-        pa.array([block] * (len(starts) + 1)), column(size.astype(np.int32), n, pa.int32()),
+        pa.array(np.full(len(starts) + 1, block)), column(size.astype(np.int32), n, pa.int32()),
         column(np.zeros(len(starts), np.int64), int(lengths.sum()), pa.int64()),
         column(most.astype(np.int32), 0, pa.int32()), column(least.astype(np.int32), 0, pa.int32()),
         pa.ListArray.from_arrays(offsets, ids.take(pa.array(doc))), pa.ListArray.from_arrays(offsets, pa.array(tf.astype(np.int32))),
@@ -74,18 +74,18 @@ def _bucket(term, buckets: int):
 
 def _segment(docs: DataFrame, key: str, text: str, buckets: int, block_docs: int) -> DataFrame:
     kind = docs.schema[key].dataType.simpleString()
-    segment = uuid.uuid4().hex[:12]
+    segment = uuid.uuid4().int >> 105 << 40   # blocks that share a number by chance are one, which changes no answer
 
     def run(batches):
         task, no = TaskContext.get().partitionId(), 0
         for batch in batches:
             for at in range(0, batch.num_rows, block_docs):
                 part = batch.slice(at, block_docs)
-                yield _block_rows(part.column(0), part.column(1), f"{segment}-{task}-{no}")
+                yield _block_rows(part.column(0), part.column(1), segment + (task << 20) + no)
                 no += 1
 
     rows = docs.select(key, F.col(text).cast("string").alias("text")).mapInArrow(
-        run, f"term string, block string, n int, total long, max_tf int, min_dl int, docs array<{kind}>, tfs array<int>, dls array<int>")
+        run, f"term string, block long, n int, total long, max_tf int, min_dl int, docs array<{kind}>, tfs array<int>, dls array<int>")
     return _dealt(rows, buckets)
 
 
@@ -95,7 +95,7 @@ def _dealt(rows: DataFrame, buckets: int) -> DataFrame:
 
 
 def write_index(store: TableStore, name: str, docs: DataFrame, key: str = "doc_id", text: str = "text", buckets: int = BUCKETS,
-                block_docs: int = 512) -> None:
+                block_docs: int = 4096) -> None:
     """A new index of ``docs``.  Null texts have no terms but count as documents; keys are unique."""
     store.replace_many({name: _segment(docs, key, text, buckets, block_docs),
                         f"{name}_shape": store.spark.createDataFrame([(buckets, block_docs)], "buckets int, block_docs int")},
@@ -109,19 +109,22 @@ def append(store: TableStore, name: str, docs: DataFrame, key: str = "doc_id", t
 
 
 def merge_segments(store: TableStore, name: str) -> None:
-    """Write all segments as one; blocks are joined while they hold ``block_docs`` documents at most."""
+    """Write all segments as one.  Blocks of less than half of ``block_docs``
+    documents are joined to blocks of that size; the others' rows stay as they are."""
     shape = store.read(f"{name}_shape").first()
     rows = store.read(name)
     spread = F.pmod(F.xxhash64("block"), F.lit(shape["buckets"]))  # blocks of one spread join, so no window holds all of them
-    sizes = rows.where(F.col("bucket") == SIZES).select("block", "n", spread.alias("spread"))
+    sizes = rows.where(F.col("bucket") == SIZES).groupBy("block").agg(F.sum("n").alias("n")).where(F.col("n") < shape["block_docs"] / 2)
     run = Window.partitionBy("spread").orderBy("n", "block").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    new = F.concat(F.lit(uuid.uuid4().hex[:12] + "-"), F.col("spread"), F.lit("-"), F.floor((F.sum("n").over(run) - 1) / shape["block_docs"]))
-    names = materialize(sizes.select("block", new.alias("into")), "blocks")
-    lists = {c: F.flatten(F.collect_list(c)).alias(c) for c in ("docs", "tfs", "dls")}  # two blocks' documents at most
+    number = F.floor((F.sum("n").over(run) - 1) / shape["block_docs"])
+    into = F.lit(uuid.uuid4().int >> 105 << 40) + F.shiftleft(F.col("spread"), 32) + number
+    names = materialize(sizes.withColumn("spread", spread.cast("long")).select("block", into.alias("into")), "blocks")
+    lists = [F.flatten(F.collect_list(c)).alias(c) for c in ("docs", "tfs", "dls")]  # of two blocks' documents at most
     joined = (rows.join(names, "block").groupBy("term", F.col("into").alias("block"))
               .agg(F.sum("n").cast("int").alias("n"), F.sum("total").alias("total"), F.max("max_tf").alias("max_tf"),
-                   F.min("min_dl").alias("min_dl"), *lists.values()))
-    store.replace(name, _dealt(joined, shape["buckets"]), ["bucket"])
+                   F.min("min_dl").alias("min_dl"), *lists))
+    stay = rows.join(names, "block", "left_anti").select(*joined.columns)
+    store.replace(name, _dealt(stay.unionByName(joined), shape["buckets"]), ["bucket"])
 
 
 def postings(store: TableStore, name: str, terms: DataFrame) -> DataFrame:

@@ -46,7 +46,7 @@ def test_search_equals_a_scan_after_every_change(spark, both, tmp_path):
     inverted.merge_segments(store, "ix")
     assert store.version("ix") != folders and "," in folders and "," not in store.version("ix")
     sizes = store.read("ix").where("term is null")
-    assert sizes.count() <= before and sizes.agg(F.max("n")).first()[0] <= 32 and sizes.agg(F.sum("n")).first()[0] == 426
+    assert sizes.count() <= before and sizes.agg(F.max("n")).first()[0] <= 24 and sizes.agg(F.sum("n")).first()[0] == 426
     assert _rows(inverted.search(store, "ix", _queries(spark), 5)) == want
     assert inverted.search(store, "ix", _queries(spark).limit(0)).count() == 0
 
