@@ -30,4 +30,4 @@ def r6(c) -> F.Column:
 
 
 # Importing the query modules fills the two dictionaries.
-from canopy.plans import q_files, q_tree, q_chunks, q_vectors, q_ontology, q_retrieval, q_pipeline  # noqa: E402,F401
+from canopy.plans import q_files, q_tree, q_chunks, q_vectors, q_ontology, q_retrieval, q_pipeline, q_graph  # noqa: E402,F401
