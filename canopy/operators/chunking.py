@@ -84,13 +84,15 @@ def loc_windows(chunks: DataFrame, window: int = LOC_LIMIT, key: str = "file_id"
     """
     s = chunks.select(key, "pos", "start_line", "end_line",
                       F.inline(F.array(F.struct(F.split("text", "\n", -1).alias("_ls")))))
+    # The windows' texts are made inside the row, so no row carries the whole line array beside a window.
     starts = F.sequence(F.col("start_line"), F.col("end_line"), F.lit(window))
-    ex = s.select(key, "pos", "start_line", "end_line", "_ls",
-                  F.posexplode(starts).alias("win", "w_start"))
-    w_end = F.least(F.col("w_start") + window - 1, F.col("end_line"))
-    off = F.col("w_start") - F.col("start_line")
-    return ex.select(key, "pos", "win", F.col("w_start").alias("start_line"), w_end.alias("end_line"),
-                     F.array_join(F.slice("_ls", off + 1, w_end - F.col("w_start") + 1), "\n").alias("text"))
+
+    def piece(start: Column, win: Column) -> Column:
+        end = F.least(start + window - 1, F.col("end_line"))
+        text = F.array_join(F.slice("_ls", start - F.col("start_line") + 1, end - start + 1), "\n")
+        return F.struct(win.alias("win"), start.alias("start_line"), end.alias("end_line"), text.alias("text"))
+
+    return s.select(key, "pos", F.inline(F.transform(starts, piece)))
 
 
 def chunk_files(files: DataFrame, pattern, window: int = LOC_LIMIT, key: str = "file_id",

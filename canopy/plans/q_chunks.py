@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from canopy.functions.text import content_hash, line_count
 from canopy.operators import chunking as ch
+from canopy.operators.declarations import declarations
 from canopy.operators import summarise as sm
 from canopy.operators.changes import manifest_diff
 from canopy.plans import oracle_sql as o
@@ -53,6 +56,43 @@ def q_declaration_chunks(spark, d):
     return ch.declaration_chunks(st.files(spark, d), PATTERN)
 
 
+def _source_sql() -> str:
+    """Expected declarations of the stand-in sources, by their places alone: lines a snippet has are known."""
+    def text(lines: list[str]) -> str:
+        out = []
+        for piece in re.split(r"(\{n\}|\{line\})", "\n".join(lines)):
+            out.append({"{n}": "CAST(n AS VARCHAR)", "{line}": "line"}.get(piece, o.sql_str(piece)))
+        return " || ".join(out)
+
+    kinds = []
+    for language, (function, cls) in st.SOURCE_LINES.items():
+        a, b = len(function), len(cls)
+        first, last = next(i for i, x in enumerate(cls) if "@" in x or "async" in x), {"typescript": 4, "python": 5}[language]
+        sign = "=" if language == "typescript" else "IS DISTINCT FROM"
+        of = f"FROM source_rows WHERE lang {sign} 'en' AND n % 3"
+        at = f"n // 3 * {2 * a + b} + n % 3 * {a}"
+        row = "file_id, '{}' AS kind, '{}' || n AS name, {} AS owner, {} AS start_line, {} AS end_line, string_split({}, chr(10))[{}:{}] AS ls"
+        kinds.append(f"SELECT {row.format('function', 'f', 'NULL', at, f'{at} + {a - 2}', text(function), 1, a - 1)}, n * 2 AS o {of} <> 2")
+        kinds.append(f"SELECT {row.format('class', 'C', 'NULL', at, f'{at} + {b - 2}', text(cls), 1, b - 1)}, n * 2 AS o {of} = 2")
+        owner = "'C' || n"
+        kinds.append(f"SELECT {row.format('method', 'm', owner, f'{at} + {first}', f'{at} + {last}', text(cls), first + 1, last + 1)}, "
+                     f"n * 2 + 1 AS o {of} = 2")
+    return f"""SELECT file_id, CAST(row_number() OVER (PARTITION BY file_id ORDER BY o) - 1 AS INTEGER) AS pos, kind, name, owner,
+      CAST(start_line AS INTEGER) AS start_line, CAST(end_line AS INTEGER) AS end_line, array_to_string(ls, chr(10)) AS text
+    FROM ({' UNION ALL '.join(kinds)})"""
+
+
+o.add_cte("source_rows", f"""SELECT file_id, lang, n, ls[n + 1] AS line
+    FROM (SELECT file_id, lang, ls, unnest(range(0, len(ls))) AS n FROM (SELECT file_id, lang, {o.lines('text')} AS ls FROM files))""",
+          ["files"])
+
+
+@register("declarations", o.with_ctes(_source_sql(), "source_rows"))
+def q_declarations(spark, d):
+    """C1 by a scanner with lexical state: functions, classes and methods of sources."""
+    return declarations(st.source_files(spark, d))
+
+
 @register("loc_window_chunks", o.with_ctes(
     "SELECT file_id, pos, win, start_line, end_line FROM whole_windows", "whole_windows"))
 def q_loc_window_chunks(spark, d):

@@ -9,6 +9,8 @@ every query still reads the whole table.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,6 +43,41 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# Fixed stand-in sources: lines that line {n} of a document becomes, as a function or, every third one, as a class.
+SOURCE_LINES = {
+    "typescript": (['export function f{n}(a = "}"): { out: string } {', '  // class No { {line}',
+                    '  return `${ {a: 1}.a } { function no() {`;', '}', ''],
+                   ['export default class C{n}<T> {', '  /* } */ x = "{";', '  async m{n}(y: T): Promise<string> {',
+                    '    return "}" // {line}', '  }', '}', '']),
+    "python": (['async def f{n}(a="#("):', '    # class No: {line}', '    return """', 'def no(): (', '"""', ''],
+               ['class C{n}:', '    """def no():"""', '    @property', '    def m{n}(self):', '        return [1,', '2]  # {line}', '']),
+}
+
+
+def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents -> source code: every line of a text becomes a function or a class that has it in a comment.
+
+    ``file_id, language, text``; English texts become typescript, the others python.
+    """
+    f = files(spark, sf_dir)
+    language = F.when(F.col("lang") == "en", "typescript").otherwise("python")
+
+    def filled(lines: list[str], line, n):
+        # the number and the line fill their places by concatenation, since a line may hold anything
+        out = []
+        for piece in re.split(r"(\{n\}|\{line\})", "\n".join(lines)):
+            out.append({"{n}": n.cast("string"), "{line}": line}.get(piece, F.lit(piece)))
+        return F.concat(*out)
+
+    def source(kind: str):
+        function, cls = SOURCE_LINES[kind]
+        return F.array_join(F.transform(F.split("text", "\n", -1), lambda line, n: F.when(n % 3 == 2, filled(cls, line, n))
+                                        .otherwise(filled(function, line, n))), "\n")
+
+    return f.select("file_id", language.alias("language"),
+                    F.when(F.col("lang") == "en", source("typescript")).otherwise(source("python")).alias("text"))
+
+
 def files_deep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """pages -> files with uneven depth: URL without scheme, query, fragment."""
     p = table(spark, sf_dir, "pages")
