@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from canopy.functions import text as tx
 from canopy.operators import graph as g
+from canopy.operators import similar
 from canopy.plans import oracle_sql as o
 from canopy.plans.catalog import r6, register
 from canopy.plans.q_ontology import _links, _topics
@@ -90,3 +91,31 @@ def q_topic_walk(spark, d):
 def q_topic_components(spark, d):
     """Files that shared topics connect."""
     return g.components(_links(spark, d))
+
+
+# Vectors with near copies (every component moved by up to a tenth of itself) and exact ones of every tenth.
+o.add_cte("copied_vectors", """SELECT CAST(vec_id AS VARCHAR) AS id, embedding AS vector FROM embeddings
+    UNION ALL SELECT 'n' || vec_id, list_transform(range(1, len(embedding) + 1), lambda i:
+        CAST(embedding[i] * CAST(1 + ((vec_id * 31 + i * i) % 21 - 10) / 100.0 AS FLOAT) AS FLOAT)) FROM embeddings
+    UNION ALL SELECT 'e' || vec_id, embedding FROM embeddings WHERE vec_id % 10 = 0""", [])
+
+
+def _copied_vectors(spark, d):
+    e = st.node_embeddings(spark, d)
+    moved = F.transform("vector", lambda x, i: (x * (1 + (F.pmod(F.col("vec_id") * 31 + (i + 1) * (i + 1), F.lit(21)) - 10) / 100.0)
+                                                .cast("float")).cast("float"))
+    return e.select("id", "vector").unionByName(e.select(F.concat(F.lit("n"), "id").alias("id"), moved.alias("vector"))) \
+        .unionByName(e.where("vec_id % 10 = 0").select(F.concat(F.lit("e"), "id").alias("id"), "vector"))
+
+
+@register("similar_pairs", o.with_ctes(f"""SELECT 'member' AS kind, min(id) OVER (PARTITION BY vector) AS a, id AS b, 1.0::DOUBLE AS score
+    FROM copied_vectors
+    UNION ALL SELECT 'pair', x.a, y.a, {o.r6(o.cosine('x.vector', 'y.vector'))}
+    FROM (SELECT vector, min(id) AS a FROM copied_vectors GROUP BY vector) x
+    JOIN (SELECT vector, min(id) AS a FROM copied_vectors GROUP BY vector) y ON x.a < y.a
+    WHERE list_cosine_similarity(x.vector, y.vector) >= 0.9""", "copied_vectors"))
+def q_similar_pairs(spark, d):
+    """J8 with its pairs: classes of equal vectors, and pairs of classes with a cosine of 0.9 or more."""
+    pairs, members = similar.similar_pairs(_copied_vectors(spark, d), 64, 0.9)
+    m = members.select(F.lit("member").alias("kind"), F.col("class_id").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("score"))
+    return m.unionByName(pairs.select(F.lit("pair").alias("kind"), "a", "b", r6("score").alias("score")))
