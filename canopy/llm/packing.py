@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from canopy.llm.byte_bpe import encode, sentence_enders
-from canopy.llm.shared import slices
+from canopy.llm.shared import by_id, slices
 
 TEXTS_AT_ONCE = 256
 
@@ -112,13 +112,13 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, length: int = 1024, g
     offset`` and, with ``with_ids``, the piece's ``ids``.
 
     Null or empty text: the end id alone.  Null document ids come first and
-    rows with equal ids are packed each for itself, ordered by text.  A text
+    rows with equal ids are packed each for itself, ordered by the first 64
+    characters, then a hash of the text; any number of them is dealt over tasks.  A text
     longer than a block is a block of its own.  Empty input: no rows.
     ``sequence_id`` is the partition's number times 2**33 plus a count, so it
     is unique and ascends with document order.  Only the two columns are read.
     """
-    ordered = (docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-               .repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text"))
+    ordered = by_id(docs, id_col, text_col).select("doc_id", "text")
     fields = [("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()),
               ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())]
     fields += [("ids", pa.list_(pa.int32()))] * with_ids

@@ -533,3 +533,15 @@ def test_a_small_edit_reencodes_a_small_part():
     tree = token_counts.SegmentTree(text, *token_counts.new_leaves(text, counter), counter)
     tree.edit(50_000, 3, "new")
     assert tree.reencoded < 2000
+
+
+def test_packing_deals_one_id_over_tasks(spark):
+    same = spark.createDataFrame([(7, f"text {i % 50} of one id") for i in range(400)], "doc_id long, text string")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so few rows would become one partition
+    try:
+        out = packing.pack(same.repartition(4), BYTE).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len({r["sequence_id"] >> 33 for r in out}) > 1  # the range partitions
+    assert sum(r["start"] == 0 for r in out) == 400 and sum(r["length"] for r in out) == sum(
+        r["doc_tokens"] for r in out if r["start"] == 0)
