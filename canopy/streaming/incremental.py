@@ -11,6 +11,8 @@ event-time aggregation, only a keyed anti join against a table.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,10 +42,15 @@ def start_incremental(spark: SparkSession, source: DataFrame, store: TableStore,
 
 
 def document_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents table as a file stream, mapped to the files stand-in."""
+    """The documents table as a file stream, mapped to the files stand-in.
+
+    The table is a file or a folder of files; a stream over the path itself must
+    be a folder, so it is named by a pattern that only this table matches.
+    """
     schema = "doc_id long, text string, lang string, source string, n_chars long"
+    folder = re.sub(r"([\\*?{}\[\]])", r"\\\1", sf_dir.rstrip("/"))
     d = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
-         .option("pathGlobFilter", "documents.parquet").parquet(sf_dir.rstrip("/")))
+         .parquet(f"{folder}/documents.parque[t]"))
     ext = (F.when(F.col("lang") == "en", F.lit(".ts")).when(F.col("lang") == "fr", F.lit(".py"))
            .when(F.col("lang") == "de", F.lit(".md")).otherwise(F.lit(".bin")))
     name = F.concat(F.lit("doc"), F.col("doc_id").cast("string"), ext)

@@ -94,3 +94,20 @@ def test_rollup_follows_adds_changes_and_removals(spark, tmp_path):
     assert len(kept) >= len(version.split(",")) - 6           # d0, only, only/here and the three new ones
     tree.update_rollup(store, "dirs", _files(spark, later).limit(0))
     assert store.read("dirs").count() == 0 and store.read("dirs_files").count() == 0
+
+
+@pytest.mark.parametrize("layout", ["file", "folder"])
+def test_document_stream_reads_a_table_of_one_file_or_many(spark, tmp_path, layout):
+    from canopy.plans.q_pipeline import q_stream_incremental
+    at = tmp_path / "sf[1]"   # characters of a pattern in the path stand for themselves
+    texts = {i: f"text {i % 5}\nline {i % 3}" for i in range(40)}
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in texts.items()],
+                                 "doc_id long, text string, lang string, source string, n_chars long")
+    (at / "labels.parquet").mkdir(parents=True)
+    if layout == "folder":
+        docs.repartition(3).write.parquet(f"file://{tmp_path}/made")
+        (tmp_path / "made").rename(at / "documents.parquet")
+    else:
+        docs.coalesce(1).toPandas().to_parquet(at / "documents.parquet")
+    got = [r["hash"] for r in q_stream_incremental(spark, f"file://{at}").collect()]
+    assert len(got) == len(set(got)) == len(set(texts.values()))
