@@ -10,7 +10,7 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-__all__ = ["dot", "norm_sq", "cosine", "cosine_distance", "normalize", "vec_lit", "seq_norm_sq", "cosine_to",
+__all__ = ["let", "dot", "norm_sq", "cosine", "cosine_distance", "normalize", "vec_lit", "seq_norm_sq", "cosine_to",
            "cosine_array", "dot_array"]
 
 
@@ -18,6 +18,12 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once a row: inside a lambda over
+    elements a plain column expression would be computed again for each of them."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def dot(a, b, strict: bool = False) -> Column:
     """V1: dot product (cosine of unit vectors).
 
@@ -38,11 +44,11 @@ def norm_sq(a) -> Column:
                        lambda acc, x: acc + x.cast("double") * x.cast("double"))
 
 
-def cosine(a, b, strict: bool = False) -> Column:
+def cosine(a, b, strict: bool = False, na=None, nb=None) -> Column:
     """V2 (lenient: 0 on length mismatch or zero norm) / V3 (strict: raise on
-    length mismatch, 0 on zero norm)."""
+    length mismatch, 0 on zero norm).  ``na`` and ``nb`` are the squared norms where they are known."""
     a, b = _c(a), _c(b)
-    na, nb = norm_sq(a), norm_sq(b)
+    na, nb = norm_sq(a) if na is None else na, norm_sq(b) if nb is None else nb
     d = F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")),
                     F.lit(0.0).cast("double"), lambda acc, x: acc + x)
     mismatch = F.size(a) != F.size(b)
@@ -62,8 +68,8 @@ def cosine_distance(a, b) -> Column:
 def normalize(v) -> Column:
     """P10: L2-normalise (norm in double, stored float); zero vector kept."""
     v = _c(v)
-    n = F.sqrt(norm_sq(v))
-    return F.when(n == 0, v).otherwise(F.transform(v, lambda x: (x.cast("double") / n).cast("float")))
+    return let(F.sqrt(norm_sq(v)), lambda n: F.when(n == 0, v)
+               .otherwise(F.transform(v, lambda x: (x.cast("double") / n).cast("float"))))
 
 
 def _sql_double(x: float) -> str:

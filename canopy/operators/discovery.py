@@ -14,13 +14,16 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from canopy.functions.text import content_hash, segments
-from canopy.functions.vector import dot, norm_sq
+from canopy.functions.vector import let, norm_sq
 from canopy.operators.vectors import TOKEN_SPLIT
 from canopy.session import cut_lineage, materialize
 
 MAX_SUBTOPICS = 10   # fixed value: the most a domain is divided into
+ROWS_AT_ONCE = 4096  # vectors that a task holds as numbers
 
 
 def top_directories(dirs: DataFrame, max_segments: int = 2) -> DataFrame:
@@ -84,11 +87,84 @@ def discover_domains(files: DataFrame, k: int = 10, seed: int = 1, vec: str = "v
         rows, "domain_id int, pos int, title string, description string, vector array<float>")
 
 
-def _unit_sum(by: list[str], vectors: DataFrame) -> DataFrame:
-    """Per group the normalised sum of the unit vectors ``u`` and their number; partial sums are made before the exchange."""
+class _Centres:
+    """Centres of every domain (a few each), which tasks hold as numbers.
+
+    A vector's place is the position of its domain's centre with the largest product, the first of equal
+    ones.  Products are summed component by component, as :func:`canopy.functions.vector.dot` does, so they
+    are the same numbers; a centre of another length has none.
+    """
+
+    def __init__(self, rows: list, kind):
+        import pyarrow as pa
+        own: dict = {}
+        for d, pos, c in sorted((r for r in rows if r[0] is not None), key=lambda r: (r[0], r[1])):
+            own.setdefault(d, []).append((pos, c))
+        self.domains = pa.array(list(own), kind)
+        self.own = [([p for p, _ in of], [list(c) for _, c in of]) for of in own.values()]
+
+    def places(self, batches):
+        """(rows of a domain that has centres, its number, their vectors by length, their places or -1) a batch."""
+        import pyarrow.compute as pc
+        for rb in batches:
+            for start in range(0, rb.num_rows, ROWS_AT_ONCE):
+                part = rb.slice(start, ROWS_AT_ONCE)
+                number = pc.index_in(part.column(0), value_set=self.domains).fill_null(-1).to_numpy(zero_copy_only=False)
+                col = part.column(2)
+                starts, sizes = np.asarray(col.offsets, np.int64)[:-1], np.diff(np.asarray(col.offsets, np.int64))
+                flat = np.asarray(col.values.to_numpy(zero_copy_only=False), np.float64)
+                for d, (numbers, centres) in enumerate(self.own):
+                    for width in np.unique(sizes[number == d]):
+                        rows = np.flatnonzero((number == d) & (sizes == width))
+                        x = flat[starts[rows][:, None] + np.arange(width)]
+                        score = np.full((len(centres), len(rows)), -np.inf)
+                        for i, c in enumerate(centres):
+                            if len(c) == width:
+                                score[i] = 0.0
+                                for j in range(width):
+                                    score[i] += x[:, j] * c[j]
+                        place = np.where(score.max(0) > -np.inf, np.array(numbers)[score.argmax(0)], -1)
+                        yield part, rows, d, x, place
+
+
+def _members(centres: _Centres, key: str):
+    """Arrow batches of (domain_id, key, u) -> (domain_id, pos, key)."""
+    import pyarrow as pa
+
+    def run(batches):
+        for part, rows, _, _, place in centres.places(batches):
+            at = pa.array(rows)
+            yield pa.RecordBatch.from_arrays([part.column(0).take(at), pa.array(place.astype(np.int32), mask=place < 0), part.column(1).take(at)],
+                                             names=["domain_id", "pos", key])
+
+    return run
+
+
+def _partial_sums(centres: _Centres):
+    """Arrow batches of (domain_id, key, u) -> (domain_id, pos, n, u): a task's vectors of a place, added up."""
+    import pyarrow as pa
+
+    def run(batches):
+        sums: dict = {}
+        for _, _, d, x, place in centres.places(batches):
+            for pos in np.unique(place).tolist():
+                held = sums.setdefault((d, pos, x.shape[1]), [0, np.zeros(x.shape[1])])
+                held[0] += int((place == pos).sum())
+                held[1] += x[place == pos].sum(0)
+        if sums:
+            yield pa.RecordBatch.from_arrays([
+                centres.domains.take(pa.array([d for d, _, _ in sums])), pa.array([None if p < 0 else p for _, p, _ in sums], pa.int32()),
+                pa.array([n for n, _ in sums.values()], pa.int64()), pa.array([list(v) for _, v in sums.values()], pa.list_(pa.float64()))],
+                names=["domain_id", "pos", "n", "u"])
+
+    return run
+
+
+def _unit_sum(by: list[str], sums: DataFrame) -> DataFrame:
+    """Per group the normalised sum of the tasks' sums ``u`` and the number of vectors."""
     from pyspark.ml.functions import array_to_vector, vector_to_array
     from pyspark.ml.stat import Summarizer
-    g = vectors.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), Summarizer.sum(array_to_vector("u")).alias("s")) \
+    g = sums.groupBy(*by).agg(F.sum("n").alias("n"), Summarizer.sum(array_to_vector("u")).alias("s")) \
         .select(*by, "n", vector_to_array("s").alias("s")).withColumn("l", F.sqrt(norm_sq("s")))
     return g.select(*by, "n", F.when(F.col("l") == 0, F.col("s"))
                     .otherwise(F.transform("s", lambda x: x / F.col("l"))).alias("c"))
@@ -110,8 +186,8 @@ def discover_subtopics(assigned: DataFrame, max_sub: int = MAX_SUBTOPICS, iters:
     ``assigned``: (domain_id, key, vector).  A domain of n files is divided into
     floor(log2(n)) parts, at least 2 and at most ``max_sub``, fewer if files or
     distinct vectors run out.  Centres start at files chosen by a hash of the key; each
-    iteration is one pass over the stored unit vectors with a grouped sum, so a
-    domain with a third of all files is summed like any other.  Null, NaN and zero
+    iteration is one pass over the stored unit vectors in which every task adds up
+    its vectors of each centre, so a domain with a third of all files is summed like any other.  Null, NaN and zero
     vectors have no direction and take no part.
 
     Returns the subtopics (domain_id, pos, title, description, vector), with
@@ -119,26 +195,29 @@ def discover_subtopics(assigned: DataFrame, max_sub: int = MAX_SUBTOPICS, iters:
     """
     length = F.sqrt(norm_sq(vec))
     unit = assigned.where((length > 0) & ~F.isnan(length) & (length < float("inf"))).select(
-        "domain_id", key, F.transform(vec, lambda x: x.cast("double") / length).alias("u"))
+        "domain_id", key, let(length, lambda n: F.transform(vec, lambda x: x.cast("double") / n)).alias("u"))
     unit = materialize(unit, "subtopic-vectors")
     start = _first_files(unit, max_sub, key)
     parts = unit.groupBy("domain_id").agg(F.greatest(F.lit(2), F.least(
         F.lit(max_sub), F.floor(F.log2(F.count(F.lit(1)))))).alias("k"))
-    centres = cut_lineage(start.join(parts, "domain_id").where(F.col("pos") < F.col("k"))
-                          .select("domain_id", "pos", F.col("u").alias("c")))
+    centres = start.join(parts, "domain_id").where(F.col("pos") < F.col("k")).select("domain_id", "pos", F.col("u").alias("c"))
+    domain, name = unit.schema["domain_id"], unit.schema[key]
+    pos = T.StructField("pos", T.IntegerType())
+
+    def held(centres: DataFrame) -> _Centres:
+        return _Centres(centres.collect(), to_arrow_type(domain.dataType))  # max_sub rows a domain at most
 
-    def nearest(centres: DataFrame) -> DataFrame:
-        g = centres.groupBy("domain_id").agg(F.array_sort(F.collect_list(F.struct("pos", "c"))).alias("cs"))
-        score = F.transform("cs", lambda s: dot(F.col("u"), s["c"]))
-        at = F.array_position(score, F.array_max(score)).cast("int") - 1
-        return unit.join(g, "domain_id").select("domain_id", key, "u", F.get(F.col("cs"), at)["pos"].alias("pos"))
+    def sums(at: _Centres) -> DataFrame:
+        schema = T.StructType([domain, pos, T.StructField("n", T.LongType()), T.StructField("u", T.ArrayType(T.DoubleType()))])
+        return _unit_sum(["domain_id", "pos"], unit.mapInArrow(_partial_sums(at), schema))
 
+    at = held(centres)
     for _ in range(iters):
-        centres = cut_lineage(_unit_sum(["domain_id", "pos"], nearest(centres)).select("domain_id", "pos", "c"))
-    members = materialize(nearest(centres), "subtopic-members")
+        at = held(sums(at).select("domain_id", "pos", "c"))
+    members = unit.mapInArrow(_members(at, key), T.StructType([domain, pos, name]))
     wd = Window.partitionBy("domain_id").orderBy("pos")   # at most max_sub rows
-    subs = cut_lineage(_unit_sum(["domain_id", "pos"], members).withColumn("new", F.row_number().over(wd) - 1))
-    members = members.join(subs.select("domain_id", "pos", "new"), ["domain_id", "pos"]) \
+    subs = cut_lineage(sums(at).withColumn("new", F.row_number().over(wd) - 1))
+    members = materialize(members, "subtopic-members").join(subs.select("domain_id", "pos", "new"), ["domain_id", "pos"]) \
         .select("domain_id", F.col("new").alias("pos"), key)
     return subs.select(
         "domain_id", F.col("new").alias("pos"), F.concat(F.lit("sub-"), F.col("new").cast("string")).alias("title"),

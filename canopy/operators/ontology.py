@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from canopy.functions.vector import cosine, cosine_array, norm_sq
+from canopy.functions.vector import cosine, cosine_array, let, norm_sq
 
 LITERAL_DOMAINS = 64
 SCORES_AT_ONCE = 1 << 20   # scores of a block of rows in the matrix product
@@ -190,9 +190,8 @@ def _cluster_sums(assign: DataFrame, vec: str = "vector") -> DataFrame:
     """
     from pyspark.ml.functions import array_to_vector, vector_to_array
     from pyspark.ml.stat import Summarizer
-    nrm = F.sqrt(norm_sq(vec))
-    u = F.when(nrm == 0, F.transform(vec, lambda x: F.lit(0.0))) \
-        .otherwise(F.transform(vec, lambda x: x.cast("double") / nrm))
+    u = let(F.sqrt(norm_sq(vec)), lambda nrm: F.when(nrm == 0, F.transform(vec, lambda x: F.lit(0.0)))
+            .otherwise(F.transform(vec, lambda x: x.cast("double") / nrm)))
     a = assign.select("domain_id", u.alias("u")).select("domain_id", "u", norm_sq("u").alias("_q"))
     g = a.groupBy("domain_id").agg(F.count(F.lit(1)).alias("n"), F.sum("_q").alias("q"),
                                    Summarizer.sum(array_to_vector("u")).alias("_s"))
@@ -418,20 +417,21 @@ def assign_subtopics(assign: DataFrame, subtopic_vectors: DataFrame, threshold:
     """O5 default provider: inside its domain, each file takes every subtopic
     with cosine >= threshold, else the best one (lowest position on ties).
 
-    A domain's subtopics (2-10 of them) are one row, joined by ``domain_id``;
-    scores, choice and fallback are array functions of the joined row, without
+    A domain's subtopics (2-10 of them) are one row, joined by ``domain_id``; these
+    rows are broadcast, as a join by a few keys, or one that broadcasts the files, would
+    score all files of a domain in one task.  Scores, choice and fallback are array functions of the joined row, without
     a window.  A NaN vector falls back to the first subtopic, with a null score.
     """
     keep = keep or []
     subs = subtopic_vectors.groupBy("domain_id").agg(
-        F.array_sort(F.collect_list(F.struct("pos", "title", F.col("vector").alias("v")))).alias("_subs"))
-    j = assign.select(key, "domain_id", vec, *keep).join(subs, "domain_id")
+        F.array_sort(F.collect_list(F.struct("pos", "title", F.col("vector").alias("v"), norm_sq("vector").alias("q")))).alias("_subs"))
+    j = assign.select(key, "domain_id", vec, *keep).join(F.broadcast(subs), "domain_id")
 
-    def scored(s: Column) -> Column:
-        c = cosine(F.col(vec), s["v"], strict=True)
+    def scored(s: Column, na: Column) -> Column:
+        c = cosine(F.col(vec), s["v"], strict=True, na=na, nb=s["q"])
         return F.struct(s["title"].alias("title"), F.when(F.isnan(c), F.lit(float("-inf"))).otherwise(c).alias("score"))
 
-    t = j.select(key, "domain_id", *keep, F.transform("_subs", scored).alias("_c"))
+    t = j.select(key, "domain_id", *keep, let(norm_sq(vec), lambda na: F.transform("_subs", lambda s: scored(s, na))).alias("_c"))
     t = t.withColumn("_max", F.array_max(F.transform("_c", lambda c: c["score"])))
     above = F.filter("_c", lambda c: c["score"] >= threshold)
     best = F.slice(F.filter("_c", lambda c: c["score"] == F.col("_max")), 1, 1)

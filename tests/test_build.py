@@ -1,6 +1,7 @@
 """Composite jobs: reruns, titles from content, files of equal content, checks and the cost gate."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from canopy.plans.build import build_ontology, checked_assignments, default_assigner, run_pipeline
 from canopy.sources.store import TableStore
@@ -62,3 +63,30 @@ def test_build_without_texts_or_directions(spark):
     m = res["metrics"].first()
     assert m["coverage"] == 100 and m["total_ms"] >= m["clustering_ms"] > 0
     assert {r["title"] for r in res["domains"].collect()} == {"domain-1", "domain-2"}
+
+
+def test_a_norm_is_computed_once_a_row_not_once_an_element(spark):
+    import re
+    from canopy.functions.vector import let, normalize
+    one = spark.range(50).select(let(F.rand(3), lambda n: F.transform(F.array(*[F.lit(1.0)] * 5), lambda x: x * n)).alias("v"))
+    assert all(len(set(r["v"])) == 1 for r in one.collect())
+    v = spark.createDataFrame([([3.0, 4.0],), ([0.0, 0.0],), (None,)], "v array<float>").withColumn("v", normalize("v"))
+    assert [r["v"] and [round(x, 6) for x in r["v"]] for r in v.collect()] == [[0.6, 0.8], [0.0, 0.0], None]
+    plan = v._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"cast\(lambda x_\d+#\d+ as double\) / lambda x_\d+#\d+", plan) and not re.search(r"/ SQRT", plan)
+
+
+def test_vectors_of_few_domains_are_not_scored_in_one_task(spark):
+    from canopy.operators import discovery as dv, ontology as on
+    rows = [(f"f{i}", i % 2, [1.0, float(i % 7), float(i % 3)]) for i in range(60)]
+    assign = spark.createDataFrame(rows, "file_id string, domain_id int, vector array<float>").repartition(6)
+    subs, members = dv.discover_subtopics(assign, max_sub=3)
+    t = on.assign_subtopics(assign, subs, 0.99)
+    plan = t._jdf.queryExecution().executedPlan().toString()
+    assert "BuildRight" in plan and "BuildLeft" not in plan   # the few rows of the domains are sent, not the files
+    of = {(r["domain_id"], r["pos"]): r["vector"] for r in subs.collect()}
+    vectors = {f: v for f, _, v in rows}
+    for r in members.collect():   # a file is with the centre that is nearest, up to the last move of the centres
+        mine = max(sum(a * b for a, b in zip(vectors[r["file_id"]], of[(r["domain_id"], p)])) for p in range(3))
+        assert sum(a * b for a, b in zip(vectors[r["file_id"]], of[(r["domain_id"], r["pos"])])) >= 0.98 * mine
+    assert members.count() == 60 and len(of) == 6
