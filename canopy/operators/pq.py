@@ -9,12 +9,12 @@ from k-means of each piece over the residuals of a sample of at most
 are tables partitioned by list, the vectors by their nearest one.
 
 Search.  Codes of the probed lists are read; the score of a query with a code
-is looked up, one table of parts x codes numbers a query, and each Arrow batch
-keeps its ``rerank`` best a query.  The ``rerank`` best of all batches are scored
+is looked up, one table of parts x codes numbers a query, and each task
+keeps its best rows a query.  The ``rerank`` best of all tasks are scored
 exactly from the vectors, of which only their lists are read.
 
 Memory of a task: the lookup tables of a block of queries
-(``max_broadcast_bytes`` at most), and ``SCORES_AT_ONCE`` scores.
+(``max_broadcast_bytes`` at most), ``SCORES_AT_ONCE`` scores and the rows held.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,19 +62,23 @@ class Quantiser(NamedTuple):
 
 
 def lloyd(x: np.ndarray, k: int, rounds: int = 12, seed: int = 7) -> np.ndarray:
-    """Centres of k-means; an empty cluster takes the row that fits worst."""
+    """Centres of k-means; an empty cluster takes the row that fits worst.  ``SCORES_AT_ONCE`` distances are held."""
     rng = np.random.default_rng(seed)
     centres = x[rng.permutation(len(x))[:k]].copy()
+    step = max(1, SCORES_AT_ONCE // len(centres)) if len(centres) else 1
+    own, near = np.zeros(len(x), np.int64), np.zeros(len(x))
     for _ in range(rounds):
-        d = (centres * centres).sum(1)[None, :] - 2 * x @ centres.T
-        own = d.argmin(1)
+        for at in range(0, len(x), step):
+            d = (centres * centres).sum(1)[None, :] - 2 * x[at:at + step] @ centres.T
+            own[at:at + step] = d.argmin(1)
+            near[at:at + step] = d.min(1)
         size = np.bincount(own, minlength=len(centres))
         total = np.zeros_like(centres)
         np.add.at(total, own, x)
         full = size > 0
         centres[full] = total[full] / size[full, None]
         if not full.all():
-            worst = np.argsort(-(d[np.arange(len(x)), own] + (x * x).sum(1)), kind="stable")
+            worst = np.argsort(-(near + (x * x).sum(1)), kind="stable")
             centres[~full] = x[worst[:int((~full).sum())]]
     return centres
 
@@ -169,15 +174,31 @@ def read_quantiser(store: TableStore, name: str) -> Quantiser:
 
 
 def _scan(q: Quantiser, qids: np.ndarray, matrix: np.ndarray, probes: np.ndarray, keep: int):
-    """Arrow batches of codes to each query's ``keep`` best rows of the batch.
+    """Arrow batches of codes to each query's ``keep`` best rows of the task, ties by id.
 
-    ``probes``: (queries x lists), does the query probe the list?
+    ``probes``: (queries x lists), does the query probe the list?  Rows are held
+    until they are four times ``keep`` a query, then cut; from then on only rows that
+    reach a query's worst one are taken.
     """
     base, tables = matrix @ q.pivots.T, q.tables(matrix)
     parts = q.books.shape[0]
     step = max(1, SCORES_AT_ONCE // max(1, len(qids)))
 
+    names = ["query_id", "id", "home", "near"]
+
+    def cut(held: list) -> tuple[pa.Table, np.ndarray]:
+        """The best rows and what a row must reach to be among them."""
+        rows = pa.Table.from_batches(held)
+        rows = rows.take(pc.sort_indices(rows, [("query_id", "ascending"), ("near", "descending"), ("id", "ascending")]))
+        at = rows["query_id"].to_numpy()
+        nth = np.arange(len(at)) - np.searchsorted(at, at, side="left")
+        least = np.full(len(qids), -np.inf)
+        last = nth == keep - 1
+        least[at[last]] = rows["near"].to_numpy()[last]
+        return rows.filter(pa.array(nth < keep)).combine_chunks(), least
+
     def run(batches):
+        held, n_held, least = [], 0, np.full(len(qids), -np.inf)   # query_id is its place in qids until the end
         for batch in batches:
             for at in range(0, batch.num_rows, step):
                 part = batch.slice(at, step)
@@ -187,13 +208,18 @@ def _scan(q: Quantiser, qids: np.ndarray, matrix: np.ndarray, probes: np.ndarray
                 for p in range(parts):
                     scores += tables[:, p, :][:, codes[:, p]]
                 scores[~probes[:, lists]] = -np.inf
-                n = min(keep, scores.shape[1])
-                best = np.argpartition(-scores, n - 1, axis=1)[:, :n]
-                found = np.take_along_axis(scores, best, axis=1)
-                on = found > -np.inf
-                rows = pa.array(best[on])
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qids, on.sum(1))), part.column(0).take(rows), part.column(1).take(rows),
-                                                  pa.array(found[on])], names=["query_id", "id", "home", "near"])
+                which, row = np.nonzero((scores >= least[:, None]) & (scores > -np.inf))
+                rows = pa.array(row)
+                held.append(pa.RecordBatch.from_arrays([pa.array(which), part.column(0).take(rows), part.column(1).take(rows),
+                                                        pa.array(scores[which, row])], names=names))
+                n_held += len(row)
+                if n_held > 4 * keep * len(qids):
+                    best, least = cut(held)
+                    held, n_held = best.to_batches(), best.num_rows
+        if n_held:
+            best, _ = cut(held)
+            for rows in best.to_batches(max_chunksize=65_536):
+                yield pa.RecordBatch.from_arrays([pa.array(qids[rows.column(0).to_numpy()]), *rows.columns[1:]], names=names)
 
     return run
 
@@ -238,7 +264,7 @@ def _candidates(store, name, q: Quantiser, queries, nprobe, rerank, vec, budget)
         np.put_along_axis(probes, order, True, axis=1)
         lists = [int(i) for i in q.ids[probes.any(0)]]
         rows = store.read(f"{name}_codes").where(F.col("list_id").isin(lists)).select("id", "home", "list_id", "code")
-        # a vector may come up once for each of its lists, so as many times the rows are kept of a batch
+        # a vector may come up once for each of its lists, so as many times the rows are kept of a task
         part = rows.mapInArrow(_scan(q, qids, matrix, probes, 2 * rerank), "query_id long, id string, home int, near double")
         out = part if out is None else out.unionByName(part)
     if out is None:

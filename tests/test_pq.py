@@ -72,3 +72,39 @@ def test_recall_and_bytes_at_the_setting_of_the_query(spark, sf):
 def test_lloyd_fills_empty_clusters():
     x = np.r_[np.zeros((20, 2)), np.ones((1, 2)), np.full((1, 2), 5.0)]
     assert len(np.unique(pq.lloyd(x, 3), axis=0)) == 3
+
+
+def test_a_scan_gives_a_task_s_best_rows_and_not_a_batch_s(spark):
+    """Whatever the batches, a task gives each query its best rows, ties by id: no more than that leaves it."""
+    import pyarrow as pa
+    rng = np.random.default_rng(5)
+    q = pq.Quantiser(np.arange(2), np.zeros((2, 4)), rng.normal(size=(2, 3, 2)))
+    codes = rng.integers(0, 3, (500, 2)).astype(np.uint8)   # nine different rows, so most scores are tied
+    ids = [f"v{i:03d}" for i in rng.permutation(500)]
+    batch = pa.RecordBatch.from_arrays([pa.array(ids), pa.array([0] * 500, pa.int32()), pa.array([i % 2 for i in range(500)], pa.int32()),
+                                        pa.array([bytes(c) for c in codes])], names=["id", "home", "list_id", "code"])
+    queries = rng.normal(size=(3, 4))
+    probes = np.array([[True, True], [True, False], [False, False]])
+    near = np.array([[sum(t[p, c] for p, c in enumerate(code)) for code in codes] for t in q.tables(queries)])
+    want = {}
+    for i, qid in enumerate((7, 8, 9)):
+        able = [(-near[i, r], ids[r]) for r in range(500) if probes[i, r % 2]]
+        want[qid] = {d for _, d in sorted((round(s, 9), d) for s, d in able)[:6]}
+    for size in (500, 40, 1):
+        run = pq._scan(q, np.array([7, 8, 9]), queries, probes, 6)
+        got = {7: [], 8: [], 9: []}
+        for rb in run(batch.slice(at, size) for at in range(0, 500, size)):
+            for r in rb.to_pylist():
+                got[r["query_id"]].append(r["id"])
+        assert {k: set(v) for k, v in got.items()} == want and all(len(v) <= 6 for v in got.values())
+
+
+def test_lloyd_holds_some_distances_at_a_time(monkeypatch):
+    import tracemalloc
+    x = np.random.default_rng(2).normal(size=(20_000, 4))
+    tracemalloc.start()
+    whole = pq.lloyd(x, 256, rounds=2)
+    assert tracemalloc.get_traced_memory()[1] < 40e6   # all distances are 41 MB
+    tracemalloc.stop()
+    monkeypatch.setattr(pq, "SCORES_AT_ONCE", 1000)
+    assert np.allclose(pq.lloyd(x, 256, rounds=2), whole)
