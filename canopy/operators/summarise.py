@@ -21,6 +21,7 @@ from canopy.functions.text import content_hash, detect_language, line_count, lin
 from canopy.schemas import SUMMARY
 
 ERROR_TITLE = "[summary failed]"
+TEXT_CHARS = 1 << 20   # of texts that a provider gets at once, or one text: its answers are as long and held with them
 
 
 SENTENCE = "^[^.!?]*[.!?]?"
@@ -109,7 +110,9 @@ def summarise_with_provider(df: DataFrame, provider: Provider, key: str = "hash"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield provider.apply(pdf)
+            ends = pdf["text"].str.len().fillna(0).cumsum()
+            for _, part in pdf.groupby((ends // TEXT_CHARS).astype("int64").to_numpy()):  # ascending, so rows keep their order
+                yield provider.apply(part)
 
     return src.mapInPandas(run, PROVIDER_OUT).withColumnRenamed("key", key)
 

@@ -55,3 +55,20 @@ def test_merge_in_position_order(spark):
                                      "classes:array<struct<name:string,loc:int,summary:string>>,loc:int>")
     m = sm.merge_chunk_summaries(df).first()
     assert m["title"] == "first" and m["summary"] == "A\n\nB" and len(m["functions"]) == 1
+
+
+def test_a_provider_gets_texts_of_bounded_length(spark, monkeypatch):
+    monkeypatch.setattr(sm, "TEXT_CHARS", 100)
+
+    class Counting(sm.Provider):
+        def apply(self, pdf):
+            assert len(pdf) == 1 or pdf["text"].iloc[1:].str.len().sum() <= 100
+            return super().apply(pdf)
+
+        def summarise(self, text):
+            return {"title": text, "summary": text, "functions": [], "classes": [], "loc": 1}
+
+    rows = [(f"h{i}", "x" * (i * 7 % 60)) for i in range(90)] + [("long", "y" * 500), ("none", None)]
+    df = spark.createDataFrame(rows, "hash string, text string").coalesce(1)
+    got = {r["hash"]: (r["status"], r["summary"]["title"]) for r in sm.summarise_with_provider(df, Counting()).collect()}
+    assert got == {h: ("ok", t) for h, t in rows}
