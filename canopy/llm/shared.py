@@ -17,6 +17,7 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from canopy.functions.batches import byte_slices  # noqa: F401
 from canopy.session import checkpoint_dir
 
 
@@ -79,19 +80,6 @@ def slices(batch, size: int):
         yield batch.slice(at, size)
 
 
-def byte_slices(batch, column: int, size: int):
-    """Row slices of an Arrow batch whose texts in ``column`` have ``size`` bytes at most, or one row."""
-    import numpy as np
-    import pyarrow.compute as pc
-    ends = np.cumsum(pc.binary_length(batch.column(column)).fill_null(0).to_numpy())
-    at = 0
-    while at < batch.num_rows:
-        before = int(ends[at - 1]) if at else 0
-        stop = max(at + 1, int(np.searchsorted(ends, before + size, side="right")))
-        yield batch.slice(at, stop - at)
-        at = stop
-
-
 def integer_vectors(vectors: DataFrame, scale: int, id_col: str, vector_col: str, terms: int | None = None) -> DataFrame:
     """``vec_id, w, wide``: floor(scale * x) of the vectors whose components are all
     finite (and ``terms`` in number, where that is given).

@@ -21,6 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from canopy.functions.batches import byte_slices
 from canopy.operators.vectors import TOKEN_SPLIT, tokens
 from canopy.session import materialize
 
@@ -38,7 +39,7 @@ def _index_batches(key: str, text: str, terms: list[str]):
 
     def run(batches):
         known = pa.array(terms, pa.string())
-        for rb in batches:
+        for rb in (part for batch in batches for part in byte_slices(batch, batch.schema.get_field_index(text))):
             n = rb.num_rows
             txt = pc.fill_null(rb.column(rb.schema.get_field_index(text)), "")
             toks = pc.split_pattern_regex(pc.utf8_lower(txt), pattern=TOKEN_SPLIT)
