@@ -22,11 +22,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from canopy.functions.batches import byte_slices
 from canopy.functions.text import chunk_id, embed_text, node_kind
 from canopy.functions.vector import dot, normalize, vec_lit
 
 MAX_LITERAL_TARGETS = 64
 MAX_BROADCAST_BYTES = 64 * 1024 * 1024
+SCORES_AT_ONCE = 1 << 20   # scores of a batch that a task holds: some of its queries at a time
 
 
 # ------------------------------------------------------------ node texts
@@ -87,7 +89,7 @@ def token_buckets(text, dim: int) -> Column:
 def _hashed_tf_batches(keys: list[str], text: str, dim: int):
     """Arrow-batch embedder: text -> unit hashed term-frequency vector.
 
-    Per batch, vectorised: lower-case, split on non-word runs, drop empty
+    Per slice of a batch (``TEXT_BYTES``), vectorised: lower-case, split on non-word runs, drop empty
     tokens, map tokens to the batch's distinct tokens (``unique`` +
     ``index_in``), md5 once per distinct token (bucket = first 32 bits mod
     dim, exactly as :func:`token_buckets` computes it in SQL), one
@@ -101,28 +103,31 @@ def _hashed_tf_batches(keys: list[str], text: str, dim: int):
     import pyarrow.compute as pc
 
     def run(batches):
-        for rb in batches:
-            n = rb.num_rows
-            txt = rb.column(rb.schema.get_field_index(text))
-            toks = pc.split_pattern_regex(pc.utf8_lower(txt), pattern=TOKEN_SPLIT)
-            lens = np.asarray(pc.fill_null(pc.list_value_length(toks), 0).to_numpy(zero_copy_only=False),
-                              dtype=np.int64)
-            flat = pc.list_flatten(toks)
-            rows = np.repeat(np.arange(n, dtype=np.int64), lens)
-            keep = np.asarray(pc.not_equal(flat, "").to_numpy(zero_copy_only=False), dtype=bool)
-            uniq = pc.unique(flat)
-            ub = np.array([int(hashlib.md5(t.encode("utf-8")).hexdigest()[:8], 16) % dim
-                           for t in uniq.to_pylist()], dtype=np.int64)
-            idx = np.asarray(pc.index_in(flat, value_set=uniq).to_numpy(zero_copy_only=False), dtype=np.int64)
-            b = ub[idx[keep]] if len(ub) else np.zeros(0, dtype=np.int64)
-            c = np.bincount(rows[keep] * dim + b, minlength=n * dim).astype(np.float64).reshape(n, dim)
-            nrm = np.sqrt(np.einsum("ij,ij->i", c, c))
-            v = np.where(nrm[:, None] > 0, c / np.where(nrm > 0, nrm, 1.0)[:, None], c).astype(np.float32)
-            offs = pa.array(np.arange(0, n * dim + 1, dim, dtype=np.int32))
-            vec = pa.ListArray.from_arrays(offs, pa.array(v.reshape(-1)),
-                                           mask=txt.is_null() if txt.null_count else None)
-            arrays = [rb.column(rb.schema.get_field_index(k)) for k in keys] + [vec]
-            yield pa.RecordBatch.from_arrays(arrays, names=keys + ["vector"])
+        for batch in batches:
+            yield from map(embed, byte_slices(batch, batch.schema.get_field_index(text)))
+
+    def embed(rb):
+        n = rb.num_rows
+        txt = rb.column(rb.schema.get_field_index(text))
+        toks = pc.split_pattern_regex(pc.utf8_lower(txt), pattern=TOKEN_SPLIT)
+        lens = np.asarray(pc.fill_null(pc.list_value_length(toks), 0).to_numpy(zero_copy_only=False),
+                          dtype=np.int64)
+        flat = pc.list_flatten(toks)
+        rows = np.repeat(np.arange(n, dtype=np.int64), lens)
+        keep = np.asarray(pc.not_equal(flat, "").to_numpy(zero_copy_only=False), dtype=bool)
+        uniq = pc.unique(flat)
+        ub = np.array([int(hashlib.md5(t.encode("utf-8")).hexdigest()[:8], 16) % dim
+                       for t in uniq.to_pylist()], dtype=np.int64)
+        idx = np.asarray(pc.index_in(flat, value_set=uniq).to_numpy(zero_copy_only=False), dtype=np.int64)
+        b = ub[idx[keep]] if len(ub) else np.zeros(0, dtype=np.int64)
+        c = np.bincount(rows[keep] * dim + b, minlength=n * dim).astype(np.float64).reshape(n, dim)
+        nrm = np.sqrt(np.einsum("ij,ij->i", c, c))
+        v = np.where(nrm[:, None] > 0, c / np.where(nrm > 0, nrm, 1.0)[:, None], c).astype(np.float32)
+        offs = pa.array(np.arange(0, n * dim + 1, dim, dtype=np.int32))
+        vec = pa.ListArray.from_arrays(offs, pa.array(v.reshape(-1)),
+                                       mask=txt.is_null() if txt.null_count else None)
+        arrays = [rb.column(rb.schema.get_field_index(k)) for k in keys] + [vec]
+        return pa.RecordBatch.from_arrays(arrays, names=keys + ["vector"])
     return run
 
 
@@ -292,27 +297,31 @@ def _partial_topk_fn(qids: np.ndarray, qmat: np.ndarray, k: int, id_col: str, ve
                 starts = np.asarray(col.offsets, dtype=np.int64)[:-1]
                 for r in np.nonzero(ok)[0]:
                     m[r] = flat[starts[r] - starts[0]:starts[r] - starts[0] + dim]
-            s = m @ qmat.T
-            out_q, out_i, out_s = [], [], []
-            for j in range(s.shape[1]):
-                scored = ok & ~np.isnan(s[:, j])
-                colj = np.where(scored, s[:, j], -np.inf)
-                valid = np.nonzero(scored)[0]
-                if min_score is not None:
-                    cand = valid[colj[valid] >= min_score]
-                elif len(valid) > k:
-                    kth = np.partition(colj[valid], len(valid) - k)[len(valid) - k]
-                    cand = valid[colj[valid] >= kth]
-                else:
-                    cand = valid
-                if min_score is None and len(cand) > k:
-                    cand = cand[np.lexsort((ids[cand], -colj[cand]))[:k]]
-                out_q.append(np.full(len(cand), qids[j], dtype=np.int64))
-                out_i.append(ids[cand])
-                out_s.append(colj[cand])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(out_q)), pa.array(np.concatenate(out_i).astype(object), pa.string()),
-                 pa.array(np.concatenate(out_s))], names=["query_id", "id", "score"])
+            for at in range(0, len(qids), max(1, SCORES_AT_ONCE // n)):
+                yield best(ids, ok, m, slice(at, at + max(1, SCORES_AT_ONCE // n)))
+
+    def best(ids, ok, m, some):
+        s = m @ qmat[some].T
+        out_q, out_i, out_s = [], [], []
+        for j, qid in enumerate(qids[some]):
+            scored = ok & ~np.isnan(s[:, j])
+            colj = np.where(scored, s[:, j], -np.inf)
+            valid = np.nonzero(scored)[0]
+            if min_score is not None:
+                cand = valid[colj[valid] >= min_score]
+            elif len(valid) > k:
+                kth = np.partition(colj[valid], len(valid) - k)[len(valid) - k]
+                cand = valid[colj[valid] >= kth]
+            else:
+                cand = valid
+            if min_score is None and len(cand) > k:
+                cand = cand[np.lexsort((ids[cand], -colj[cand]))[:k]]
+            out_q.append(np.full(len(cand), qid, dtype=np.int64))
+            out_i.append(ids[cand])
+            out_s.append(colj[cand])
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.concatenate(out_q)), pa.array(np.concatenate(out_i).astype(object), pa.string()),
+             pa.array(np.concatenate(out_s))], names=["query_id", "id", "score"])
     return run
 
 

@@ -85,3 +85,30 @@ def test_language_patterns(spark):
     c = ch.chunk_by_language(df).collect()
     starts = sorted((r["file_id"], r["start_line"]) for r in c)
     assert starts == [(1, 1), (2, 0), (3, 0)]
+
+
+def test_texts_are_cut_into_words_a_few_bytes_at_a_time(monkeypatch):
+    """Vectors and term counts do not depend on the slices, and no slice has more bytes than it may."""
+    import numpy as np
+    import pyarrow as pa
+    from canopy.functions import batches
+    from canopy.operators import keyword as kw, vectors as vo
+    texts = [("login page " * (i % 9)).strip() or None for i in range(70)] + ["é" * 400]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(71)), pa.array(texts)], names=["id", "text"])
+    parts = list(batches.byte_slices(batch, 1, 120))
+    assert sum(p.num_rows for p in parts) == 71 and all(p.num_rows == 1 or pa.compute.sum(pa.compute.binary_length(p["text"])).as_py() <= 120
+                                                        for p in parts if p["text"].null_count < p.num_rows)
+    whole = [vo._hashed_tf_batches(["id"], "text", 8), kw._index_batches("id", "text", ["login", "page"])]
+    for run in whole:
+        want = [r for rb in run([batch]) for r in rb.to_pylist()]
+        with monkeypatch.context() as m:
+            m.setattr(batches.byte_slices, "__defaults__", (120,))
+            cut = list(run([batch]))
+        assert len(cut) == len(parts) > 5 and [r for rb in cut for r in rb.to_pylist()] == want
+    monkeypatch.setattr(vo, "SCORES_AT_ONCE", 40)   # a few queries at a time
+    x = np.random.default_rng(1).normal(size=(20, 4))
+    rows = pa.RecordBatch.from_arrays([pa.array([str(i) for i in range(20)]), pa.array(list(x), pa.list_(pa.float64()))], names=["id", "vector"])
+    out = list(vo._partial_topk_fn(np.arange(9), x[:9], 3, "id", "vector", None)([rows]))
+    assert len(out) == 5
+    got = [(r["query_id"], r["id"]) for rb in out for r in rb.to_pylist()]
+    assert sorted(got) == sorted((q, str(i)) for q in range(9) for i in np.argsort(-(x @ x[q]))[:3])
