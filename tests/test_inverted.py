@@ -1,5 +1,6 @@
 """The stored inverted index against BM25 by a full scan; what it reads and skips."""
 
+import math
 import random
 import shutil
 
@@ -76,3 +77,45 @@ def test_blocks_below_the_threshold_are_skipped(spark, tmp_path):
     got = _rows(inverted.search(store, "ix", queries, 4, report=report))
     assert got == _rows(kw.bm25_topk(docs, queries, 4))
     assert report["blocks"] == 100 and report["scored"] <= 8
+
+
+def _exchanged(plan):
+    """Records that each exchange of a plan that has run wrote."""
+    kind = plan.getClass().getSimpleName()
+    if kind == "AdaptiveSparkPlanExec":
+        return _exchanged(plan.executedPlan())
+    if kind.endswith("QueryStageExec"):
+        return _exchanged(plan.plan())
+    own = [plan.metrics().apply("shuffleRecordsWritten").value()] if kind == "ShuffleExchangeExec" else []
+    below = plan.children()
+    return own + [n for i in range(below.size()) for n in _exchanged(below.apply(i))]
+
+
+def test_a_block_passes_on_the_best_documents_alone(spark, tmp_path):
+    docs = spark.createDataFrame([(i, "same words in all") for i in range(800)], "doc_id long, text string").coalesce(1)
+    store = TableStore(spark, f"file://{tmp_path}")
+    inverted.write_index(store, "ix", docs, buckets=4, block_docs=80)
+    queries = spark.createDataFrame([(1, "same words in all")], "query_id long, text string")
+    found = inverted.search(store, "ix", queries, 4)
+    assert [r["doc_id"] for r in sorted(found.collect(), key=lambda r: r["rank"])] == [0, 1, 2, 3]
+    numbers = _exchanged(found._jdf.queryExecution().executedPlan())
+    assert numbers and max(numbers) <= 60, numbers   # 4 documents or terms of a block at most
+
+
+def test_keys_that_repeat_in_several_blocks_are_summed(spark, tmp_path):
+    rows = [(i if i else None, "needle " * (1 + i % 5) + "hay " * (10 + i % 7)) for i in range(60)]
+    far = [(key, "needle " + "hay " * 40) for key in [None, 7, 7, 33] for _ in range(6)]  # weak places of their own
+    store = TableStore(spark, f"file://{tmp_path}")
+    inverted.write_index(store, "ix", spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), buckets=4, block_docs=8)
+    inverted.append(store, "ix", spark.createDataFrame(far, "doc_id long, text string").coalesce(1))
+    queries = spark.createDataFrame([(1, "needle")], "query_id long, text string")
+    each = [(key, text.split().count("needle"), len(text.split())) for key, text in rows + far]
+    n, average = len(each), sum(x[2] for x in each) / len(each)
+    idf, want = math.log(0.5 / (n + 0.5) + 1), {}
+    for key, tf, dl in each:
+        want[key] = want.get(key, 0) + idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / average))
+    best = sorted(want, key=lambda key: (-round(want[key], 6), key is not None, key))[:3]
+    for _ in range(2):
+        got = sorted(inverted.search(store, "ix", queries, 3).collect(), key=lambda r: r["rank"])
+        assert [r["doc_id"] for r in got] == best and [r["score"] for r in got] == pytest.approx([want[key] for key in best], abs=2e-6)
+        inverted.merge_segments(store, "ix")
