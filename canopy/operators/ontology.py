@@ -25,10 +25,13 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from canopy.functions.vector import cosine, cosine_array, let, norm_sq
+from canopy.functions.batches import list_rows, products, squares
+from canopy.functions.vector import cosine_array, let, norm_sq, seq_norm_sq
 
 LITERAL_DOMAINS = 64
+ROWS_AT_ONCE = 4096        # vectors that a task scores against their domains' subtopics at once
 SCORES_AT_ONCE = 1 << 20   # scores of a block of rows in the matrix product
 THRESHOLD = 0.3
 TOP_FILES = 30
@@ -58,11 +61,14 @@ def _known(score: Column) -> Column:
     return F.when(score > float("-inf"), score)
 
 
-def _matrix_scores(doms: list, vec: str):
+def _matrix_scores(doms: list, vec: str, ordered: bool = False):
     """Arrow batches with a column ``_s`` of each row's cosines to all domains:
-    null for a null vector, 0 where either has a zero norm, minus infinity for NaN."""
+    null for a null vector, 0 where either has a zero norm, minus infinity for NaN.
+
+    ``ordered``: sums component by component, which gives the numbers of :func:`_score_array`; of a vector with a null
+    inside only the score with a zero vector is known, as there."""
     m = np.array([v for _, v in doms], dtype=np.float64)
-    norms = np.sqrt((m * m).sum(axis=1))
+    norms = np.sqrt(squares(m) if ordered else (m * m).sum(axis=1))
     n, dim = m.shape
     step = max(1, SCORES_AT_ONCE // n)
 
@@ -71,13 +77,16 @@ def _matrix_scores(doms: list, vec: str):
         known = np.asarray(col.is_valid())
         if not pc.all(pc.equal(pc.list_value_length(col.drop_null()), dim)).as_py() and known.any():
             raise ValueError("Vectors must have the same length")
-        x = np.asarray(col.drop_null().flatten(), dtype=np.float64).reshape(-1, dim)
-        own = np.sqrt((x * x).sum(axis=1))
+        held = col.drop_null().flatten()
+        x = np.asarray(held, dtype=np.float64).reshape(-1, dim)
+        own = np.sqrt(squares(x) if ordered else (x * x).sum(axis=1))
         zero = (own == 0)[:, None] | (norms == 0)[None, :]
-        cos = np.where(zero, 0.0, x @ m.T / np.where(zero, 1.0, own[:, None] * norms[None, :]))
-        values = np.full((len(known), n), np.nan)
+        cos = np.where(zero, 0.0, (products(m, x).T if ordered else x @ m.T) / np.where(zero, 1.0, own[:, None] * norms[None, :]))
+        values, unknown = np.full((len(known), n), np.nan), np.repeat(~known[:, None], n, axis=1)
         values[known] = np.where(np.isnan(cos), -np.inf, cos)
-        flat = pa.array(values.ravel(), mask=np.repeat(~known, n))
+        if ordered and held.null_count:
+            unknown[known] = np.asarray(held.is_null()).reshape(-1, dim).any(1)[:, None] & ~zero
+        flat = pa.array(values.ravel(), mask=unknown.ravel())
         arrays = [*rows.columns, pa.ListArray.from_arrays(np.arange(len(known) + 1, dtype=np.int32) * n, flat)]
         return pa.RecordBatch.from_arrays(arrays, names=[*rows.schema.names, "_s"])
 
@@ -88,14 +97,15 @@ def _matrix_scores(doms: list, vec: str):
     return run
 
 
-def _scored(files: DataFrame, cols: list[str], doms: list, vec: str) -> DataFrame:
-    """``cols`` and ``_s``, the row's scores to all domains in id order."""
+def _scored(files: DataFrame, cols: list[str], doms: list, vec: str, batched: bool = False) -> DataFrame:
+    """``cols`` and ``_s``, the row's scores to all domains in id order; ``batched``: in products a batch, with the same numbers."""
     cols = list(dict.fromkeys(cols))
     rows = files.select(*dict.fromkeys([*cols, vec]))
-    if len(doms) <= LITERAL_DOMAINS:
+    few = len(doms) <= LITERAL_DOMAINS
+    if few and not batched:
         return rows.withColumn("_na", norm_sq(vec)).select(*cols, _score_array(doms, vec).alias("_s"))
     schema = T.StructType([*rows.schema.fields, T.StructField("_s", T.ArrayType(T.DoubleType()))])
-    return rows.mapInArrow(_matrix_scores(doms, vec), schema).select(*cols, "_s")
+    return rows.mapInArrow(_matrix_scores(doms, vec, ordered=few), schema).select(*cols, "_s")
 
 
 def _ids(doms: list) -> Column:
@@ -110,16 +120,17 @@ def domain_scores(files: DataFrame, domains: DataFrame, key: str = "file_id", ve
 
 
 def assign_domains(files: DataFrame, domains: DataFrame, threshold: float = THRESHOLD,
-                   key: str = "file_id", vec: str = "vector", keep: list[str] | None = None) -> DataFrame:
+                   key: str = "file_id", vec: str = "vector", keep: list[str] | None = None, batched: bool = False) -> DataFrame:
     """O3 + W1 + U3 in one narrow pass: every domain with score >= threshold,
-    else the single best domain (lowest id on ties), flagged ``via_fallback``."""
+    else the single best domain (lowest id on ties), flagged ``via_fallback``.
+    ``batched``: few domains are scored in products a batch too, which costs Python workers and pays for many files."""
     doms = collect_domains(domains)
     keep = keep or []
     if not doms:  # nothing to assign to; sequence(0, -1) would run backwards
         return files.select(key, F.lit(None).cast("int").alias("domain_id"), F.lit(None).cast("double").alias("score"),
                             F.lit(None).cast("boolean").alias("via_fallback"), *keep).limit(0)
     ids, n = _ids(doms), len(doms)
-    t = _scored(files, [key, *keep], doms, vec)
+    t = _scored(files, [key, *keep], doms, vec, batched)
     idx = F.sequence(F.lit(0), F.lit(n - 1))
     above = F.filter(idx, lambda i: F.get(F.col("_s"), i) >= threshold)
     best = F.array_position(F.col("_s"), F.array_max("_s")).cast("int") - 1
@@ -270,11 +281,23 @@ def _path_ids(files: DataFrame) -> DataFrame:
 
 
 def ontology_links(assignments: DataFrame, files: DataFrame, domains: DataFrame, subtopics: DataFrame) -> DataFrame:
-    """H6: assignments -> (topic, file) links, confidence 100, distinct."""
-    ex = _exploded(assignments)
-    ids = subtopic_ids(domains, subtopics)
-    j = ex.join(_path_ids(files), "path").join(ids, ["domain_id", "title"])
-    links = j.select("topic_id", F.col("node_id").cast("string").alias("node_id")).dropDuplicates(["topic_id", "node_id"])
+    """H6: assignments -> (topic, file) links, confidence 100, distinct.
+
+    A topic is its domain's position and its own, so links are made distinct as lists of positions of a
+    (file, domain) and not one by one; ids are written last.
+    """
+    dp = domains.select("domain_id", F.col("pos").alias("dpos"))
+    first = subtopics.join(dp, "domain_id").where(F.col("title").isNotNull()).groupBy("domain_id", "title") \
+        .agg(F.min_by(F.struct("dpos", F.when(F.col("dpos").isNotNull(), F.col("pos")).alias("pos")), F.col("pos")).alias("s"))
+    places = first.groupBy("domain_id", "s.dpos").agg(
+        F.map_from_entries(F.collect_list(F.struct("title", F.struct("s.pos")))).alias("_pos"))   # the subtopics of a domain
+    known = F.filter(F.transform("subtopics", lambda t: F.try_element_at("_pos", t)), lambda x: x.isNotNull())
+    j = assignments.join(_path_ids(files), "path").join(places, "domain_id") \
+        .select("node_id", "dpos", F.array_distinct(F.transform(known, lambda x: x["pos"])).alias("at"))
+    held = j.groupBy("node_id", "dpos").agg(F.collect_set("at").alias("at"))   # few different lists, however many paths
+    links = held.select(F.col("node_id").cast("string").alias("node_id"), "dpos",
+                        F.explode(F.array_distinct(F.flatten("at"))).alias("pos")) \
+        .select(subtopic_topic_id(F.col("dpos"), F.col("pos")).alias("topic_id"), "node_id")
     return links.select(F.concat(F.lit("link-"), F.col("topic_id"), F.lit("-"), F.col("node_id")).alias("id"),
                         "topic_id", "node_id", F.lit("file").alias("node_type"), F.lit(100).alias("confidence"))
 
@@ -412,31 +435,94 @@ def call_count(n_domains) -> Column:
     return F.lit(1) + 2 * n_domains
 
 
+def _subtopic_choices(subs: list, kind, threshold: float, names: list[str]):
+    """Arrow batches whose first columns are (domain_id, vector) -> the other columns, domain_id, via_fallback, chosen (at, score).
+
+    ``subs``: (domain_id, vectors) of each domain; ``at`` is the place of a chosen one.  Rows of other domains go, and
+    those without a score: of a null vector, or one with a null inside, only the score with a zero vector is known, 0.
+    """
+    domains = pa.array([d for d, _ in subs], kind)
+    whole = [[v is not None and None not in v for v in vectors] for _, vectors in subs]
+    lengths = [np.sqrt([seq_norm_sq(v) if w else np.nan for v, w in zip(vectors, own)]) for (_, vectors), own in zip(subs, whole)]
+
+    def run(batches):
+        for rb in batches:
+            for start in range(0, rb.num_rows, ROWS_AT_ONCE):
+                yield from choose(rb.slice(start, ROWS_AT_ONCE))
+
+    def choose(part):
+        col = part.column(1)
+        starts, sizes, flat = list_rows(col)
+        known = np.asarray(col.is_valid())
+        sizes = np.where(known, sizes, -1)
+        if col.values.null_count:
+            gone = np.concatenate([[0], np.cumsum(np.asarray(col.values.is_null()))])
+            known = known & (gone[starts + sizes.clip(0)] == gone[starts])
+        number = np.asarray(pc.index_in(part.column(0), value_set=domains).fill_null(-1), np.int64)
+        for d, (_, vectors) in enumerate(subs):
+            mine = np.flatnonzero(number == d)
+            for width in np.unique(sizes[mine]).tolist():
+                if width >= 0 and any(v is not None and len(v) != width for v in vectors):
+                    raise ValueError("Vectors must have the same length")
+                rows = mine[sizes[mine] == width]
+                score, scored = scores(d, vectors, flat[starts[rows][:, None] + np.arange(max(width, 0))], known[rows])
+                yield taken(part, rows, score, scored)
+
+    def scores(d, vectors, x, known):
+        """(subtopics x rows) cosines, NaN as minus infinity, and which of them there are."""
+        score, own = np.zeros((len(vectors), len(x))), np.sqrt(squares(x))
+        if x.shape[1] and any(whole[d]):
+            score[whole[d]] = products([v for v, w in zip(vectors, whole[d]) if w], x)
+        zero = (known & (own == 0)) | (lengths[d] == 0)[:, None]
+        with np.errstate(all="ignore"):
+            score = np.where(zero, 0.0, score / (own * lengths[d][:, None]))
+        return np.where(np.isnan(score), -np.inf, score), zero | (known & np.array(whole[d])[:, None])
+
+    def taken(part, rows, score, scored):
+        score = np.where(scored, score, -np.inf)
+        most = score.max(0)
+        best = ((score == most) & scored).argmax(0)
+        fallback = most < threshold
+        chosen = (np.where(fallback, np.arange(len(score))[:, None] == best, score >= threshold) & scored).T
+        some = chosen.any(1)
+        row, at = np.nonzero(chosen)
+        value = score.T[row, at]
+        ends = np.concatenate([[0], np.cumsum(chosen[some].sum(1))]).astype(np.int32)
+        pairs = pa.StructArray.from_arrays([pa.array(at.astype(np.int32)), pa.array(value, mask=np.isneginf(value))], ["at", "score"])
+        stay = pa.array(rows[some])
+        return pa.RecordBatch.from_arrays([*(part.column(i).take(stay) for i in range(2, part.num_columns)), part.column(0).take(stay),
+                                           pa.array(fallback[some]), pa.ListArray.from_arrays(ends, pairs)], names=names)
+
+    return run
+
+
 def assign_subtopics(assign: DataFrame, subtopic_vectors: DataFrame, threshold: float = THRESHOLD,
-                     key: str = "file_id", vec: str = "vector", keep: list[str] | None = None) -> DataFrame:
+                     key: str = "file_id", vec: str = "vector", keep: list[str] | None = None,
+                     listed: bool = False) -> DataFrame:
     """O5 default provider: inside its domain, each file takes every subtopic
     with cosine >= threshold, else the best one (lowest position on ties).
 
-    A domain's subtopics (2-10 of them) are one row, joined by ``domain_id``; these
-    rows are broadcast, as a join by a few keys, or one that broadcasts the files, would
-    score all files of a domain in one task.  Scores, choice and fallback are array functions of the joined row, without
-    a window.  A NaN vector falls back to the first subtopic, with a null score.
+    The subtopics of all domains (2-10 of each) go to the tasks, which score each row's vector against its domain's
+    in products a batch, summed in the order of :func:`canopy.functions.vector.cosine`; the titles are
+    broadcast and joined by ``domain_id``, as a join by a few keys, or one that broadcasts the files, would
+    have all files of a domain in one task.  A NaN vector falls back to the first subtopic, with a null score.
+    ``listed``: one row a row of ``assign``, with all its ``titles``, instead of one a title.
     """
     keep = keep or []
-    subs = subtopic_vectors.groupBy("domain_id").agg(
-        F.array_sort(F.collect_list(F.struct("pos", "title", F.col("vector").alias("v"), norm_sq("vector").alias("q")))).alias("_subs"))
-    j = assign.select(key, "domain_id", vec, *keep).join(F.broadcast(subs), "domain_id")
-
-    def scored(s: Column, na: Column) -> Column:
-        c = cosine(F.col(vec), s["v"], strict=True, na=na, nb=s["q"])
-        return F.struct(s["title"].alias("title"), F.when(F.isnan(c), F.lit(float("-inf"))).otherwise(c).alias("score"))
-
-    t = j.select(key, "domain_id", *keep, let(norm_sq(vec), lambda na: F.transform("_subs", lambda s: scored(s, na))).alias("_c"))
-    t = t.withColumn("_max", F.array_max(F.transform("_c", lambda c: c["score"])))
-    above = F.filter("_c", lambda c: c["score"] >= threshold)
-    best = F.slice(F.filter("_c", lambda c: c["score"] == F.col("_max")), 1, 1)
-    fallback = F.col("_max") < threshold
-    t = t.select(key, "domain_id", *keep, fallback.alias("via_fallback"),
-                 F.explode(F.when(fallback, best).otherwise(above)).alias("_t"))
-    return t.select(key, "domain_id", F.col("_t.title").alias("title"), _known(F.col("_t.score")).alias("score"),
+    by_domain = subtopic_vectors.where(F.col("domain_id").isNotNull()).groupBy("domain_id").agg(
+        F.array_sort(F.collect_list(F.struct("pos", "title", F.col("vector").alias("v")))).alias("of"))
+    subs = [tuple(r) for r in by_domain.collect()]
+    domain = subtopic_vectors.schema["domain_id"]
+    titles = assign.sparkSession.createDataFrame([(d, [s["title"] for s in of]) for d, of in subs],
+                                                 T.StructType([domain, T.StructField("_titles", T.ArrayType(T.StringType()))]))
+    rows = assign.select("domain_id", vec, key, *keep)
+    choice = T.StructType([T.StructField("at", T.IntegerType()), T.StructField("score", T.DoubleType())])
+    fields = [*rows.schema.fields[2:], rows.schema["domain_id"], T.StructField("via_fallback", T.BooleanType()), T.StructField("_t", T.ArrayType(choice))]
+    choices = _subtopic_choices([(d, [s["v"] for s in of]) for d, of in subs], to_arrow_type(rows.schema["domain_id"].dataType),
+                                threshold, [f.name for f in fields])
+    t = rows.mapInArrow(choices, T.StructType(fields)).join(F.broadcast(titles), "domain_id")
+    if listed:
+        return t.select(key, "domain_id", F.transform("_t", lambda x: F.get(F.col("_titles"), x["at"])).alias("titles"), "via_fallback", *keep)
+    t = t.select(key, "domain_id", *keep, "via_fallback", "_titles", F.explode("_t").alias("_t"))
+    return t.select(key, "domain_id", F.get(F.col("_titles"), F.col("_t.at")).alias("title"), F.col("_t.score").alias("score"),
                     "via_fallback", *keep)

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from canopy.functions.batches import byte_slices
+from canopy.functions.batches import byte_slices, cut_words
 from canopy.functions.text import chunk_id, embed_text, node_kind
 from canopy.functions.vector import dot, normalize, vec_lit
 
@@ -89,9 +89,8 @@ def token_buckets(text, dim: int) -> Column:
 def _hashed_tf_batches(keys: list[str], text: str, dim: int):
     """Arrow-batch embedder: text -> unit hashed term-frequency vector.
 
-    Per slice of a batch (``TEXT_BYTES``), vectorised: lower-case, split on non-word runs, drop empty
-    tokens, map tokens to the batch's distinct tokens (``unique`` +
-    ``index_in``), md5 once per distinct token (bucket = first 32 bits mod
+    Per slice of a batch (``TEXT_BYTES``), vectorised: lower-case, cut at non-word runs, map tokens to
+    the slice's distinct tokens, md5 once per distinct token (bucket = first 32 bits mod
     dim, exactly as :func:`token_buckets` computes it in SQL), one
     ``bincount`` over (row, bucket), row-wise L2 normalisation, zero-copy
     list output.  Counts are integers, so the float64 norm is exact and the
@@ -109,18 +108,11 @@ def _hashed_tf_batches(keys: list[str], text: str, dim: int):
     def embed(rb):
         n = rb.num_rows
         txt = rb.column(rb.schema.get_field_index(text))
-        toks = pc.split_pattern_regex(pc.utf8_lower(txt), pattern=TOKEN_SPLIT)
-        lens = np.asarray(pc.fill_null(pc.list_value_length(toks), 0).to_numpy(zero_copy_only=False),
-                          dtype=np.int64)
-        flat = pc.list_flatten(toks)
-        rows = np.repeat(np.arange(n, dtype=np.int64), lens)
-        keep = np.asarray(pc.not_equal(flat, "").to_numpy(zero_copy_only=False), dtype=bool)
-        uniq = pc.unique(flat)
-        ub = np.array([int(hashlib.md5(t.encode("utf-8")).hexdigest()[:8], 16) % dim
-                       for t in uniq.to_pylist()], dtype=np.int64)
-        idx = np.asarray(pc.index_in(flat, value_set=uniq).to_numpy(zero_copy_only=False), dtype=np.int64)
-        b = ub[idx[keep]] if len(ub) else np.zeros(0, dtype=np.int64)
-        c = np.bincount(rows[keep] * dim + b, minlength=n * dim).astype(np.float64).reshape(n, dim)
+        words, rows = cut_words(pc.utf8_lower(txt))
+        toks = words.dictionary_encode()
+        first = b"".join([hashlib.md5(t).digest()[:4] for t in toks.dictionary.cast(pa.binary()).to_pylist()])
+        b = (np.frombuffer(first, ">u4") % dim).astype(np.int64)[np.asarray(toks.indices)]
+        c = np.bincount(rows * dim + b, minlength=n * dim).astype(np.float64).reshape(n, dim)
         nrm = np.sqrt(np.einsum("ij,ij->i", c, c))
         v = np.where(nrm[:, None] > 0, c / np.where(nrm > 0, nrm, 1.0)[:, None], c).astype(np.float32)
         offs = pa.array(np.arange(0, n * dim + 1, dim, dtype=np.int32))

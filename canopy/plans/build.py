@@ -34,8 +34,9 @@ def _ms(t0: float) -> int:
 
 def default_assigner(assign: DataFrame, subtopics: DataFrame, threshold: float) -> DataFrame:
     """(domain_id, path, subtopics) by cosine to the subtopic vectors."""
-    t = on.assign_subtopics(assign, subtopics, threshold, keep=["path"])
-    return t.groupBy("domain_id", "path").agg(F.collect_set("title").alias("subtopics"))  # at most 10 titles
+    t = on.assign_subtopics(assign, subtopics, threshold, keep=["path"], listed=True)
+    # at most 10 titles, so few different lists of a path
+    return t.groupBy("domain_id", "path").agg(F.array_compact(F.array_distinct(F.flatten(F.collect_set("titles")))).alias("subtopics"))
 
 
 def checked_assignments(assign: DataFrame, subtopics: DataFrame, threshold: float, assigner: Callable,
@@ -72,7 +73,7 @@ def build_ontology(files: DataFrame, store: TableStore | None = None, n_domains:
     domains = cut_lineage(dv.discover_domains(files, k=n_domains))  # 2 to 10 rows
     done("domain_discovery")
 
-    assign = materialize(on.assign_domains(files, domains, threshold, keep=["path", "vector"]), "assignment")
+    assign = materialize(on.assign_domains(files, domains, threshold, keep=["path", "vector"], batched=True), "assignment")
     texts = files.select("file_id", "text") if "text" in files.columns else None
     if texts is not None:
         own = assign.where(~F.col("via_fallback")).select("domain_id", "file_id")

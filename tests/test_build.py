@@ -90,3 +90,69 @@ def test_vectors_of_few_domains_are_not_scored_in_one_task(spark):
         mine = max(sum(a * b for a, b in zip(vectors[r["file_id"]], of[(r["domain_id"], p)])) for p in range(3))
         assert sum(a * b for a, b in zip(vectors[r["file_id"]], of[(r["domain_id"], r["pos"])])) >= 0.98 * mine
     assert members.count() == 60 and len(of) == 6
+
+
+def test_a_file_of_many_topics_is_cut_and_scored_once(spark, monkeypatch):
+    """Titles, subtopics and links take a row a file (or a file and domain), not one for each of its topics and words."""
+    from canopy.operators import discovery as dv, ontology as on
+    held = {}
+    kept = dv.materialize
+    monkeypatch.setattr(dv, "materialize", lambda df, name="tmp": held.setdefault(name, kept(df, name)))
+    rows = [(f"f{i}", d, f"p{i % 6}", [1.0, float(i % 4), float(i % 3)]) for i in range(8) for d in range(5)]
+    assign = spark.createDataFrame(rows, "file_id string, domain_id int, path string, vector array<float>").coalesce(1)
+    subs, members = dv.discover_subtopics(assign, max_sub=3)
+    assert held["subtopic-vectors"].count() == 8 and members.count() == 40
+    texts = spark.createDataFrame([(f"f{i}", f"Common word{i} élan, of a ab") for i in range(8)], "file_id string, text string")
+    titles = dv.cluster_titles(members, texts, ["domain_id", "pos"])
+    given = default_assigner(assign, subs, 0.3)
+    for df in (titles, given):
+        assert "Generate" not in df._jdf.queryExecution().executedPlan().toString()
+    domains = spark.createDataFrame([(d, d) for d in range(5)], "domain_id int, pos int")
+    links = on.ontology_links(given, assign.select("file_id", "path").distinct(), domains, subs)
+    plan = links._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate explode") < plan.index("collect_set")   # lists are made distinct, then taken apart
+    want = {f"link-domain-{r['domain_id'] + 1}-sub-{int(t[4:]) + 1}-{n}"
+            for r in given.collect() for t in r["subtopics"] for n in [max(f for f, _, p, _ in rows if p == r["path"])]}
+    assert sorted(r["id"] for r in links.collect()) == sorted(want)
+
+
+def test_titles_count_files_of_clusters_by_hand(spark, monkeypatch):
+    """Small blocks, words over several slices, repeated and null keys: the titles of a count by hand."""
+    import math
+    from collections import Counter
+
+    from canopy.operators import discovery as dv
+    texts = [(i % 7 if i % 5 else None, " ".join(f"t{(i * j) % 11:02d}" for j in range(1, 1 + i % 6)) + " xx É" if i % 9 else None) for i in range(60)]
+    members = [(i % 3 if i % 4 else None, i % 2, i % 8 if i % 7 else None) for i in range(40)]
+    n = Counter()
+    for d, p, k in members:
+        for key, text in texts:
+            if k is not None and k == key:
+                n.update((d, p, t) for t in set((text or "").lower().split()) if len(t) >= 3)
+    total, spread = len({m[:2] for m in members}), Counter(t for _, _, t in n)
+    want = {}
+    for c in {k[:2] for k in n}:
+        ranked = sorted((-round(v * math.log1p(total / spread[k[2]]), 9), k[2]) for k, v in n.items() if k[:2] == c)
+        want[c] = ", ".join(t for _, t in ranked[:2])
+    m = spark.createDataFrame(members, "domain_id int, pos int, file_id long").repartition(3)
+    t = spark.createDataFrame(texts, "file_id long, text string").repartition(3)
+    for at_once in (dv.COUNTS_AT_ONCE, 4):
+        monkeypatch.setattr(dv, "COUNTS_AT_ONCE", at_once)
+        got = {(r["domain_id"], r["pos"]): r["title"] for r in dv.cluster_titles(m, t, ["domain_id", "pos"], n_terms=2).collect()}
+        assert got == want and len(got) > 3
+    assert dv.cluster_titles(m.limit(0), t, ["domain_id"]).count() == 0
+
+
+def test_subtopics_of_odd_vectors(spark):
+    from canopy.operators import ontology as on
+    nan, subs = float("nan"), [(0, 0, "x", [1.0, 0.0]), (0, 1, "zero", [0.0, 0.0]), (0, 2, "gone", None), (1, 0, "y", [0.0, 2.0])]
+    rows = [("null", 0, None), ("hole", 0, [1.0, None]), ("nan", 0, [nan, 1.0]), ("zero", 0, [0.0, 0.0]), ("x", 0, [3.0, 4.0]),
+            ("null", 1, None), ("nan", 1, [nan, 1.0]), ("y", 1, [0.0, 1.0]), ("none", 2, [1.0, 1.0]), ("none", None, [1.0, 1.0])]
+    a = spark.createDataFrame(rows, "file_id string, domain_id int, vector array<float>")
+    s = spark.createDataFrame(subs, "domain_id int, pos int, title string, vector array<float>")
+    got = {(r["file_id"], r["domain_id"], r["title"], r["score"], r["via_fallback"]) for r in on.assign_subtopics(a, s, 0.3).collect()}
+    # without a direction the score is 0, without a vector it is known for a zero vector alone; NaN is below all
+    assert got == {("null", 0, "zero", 0.0, True), ("hole", 0, "zero", 0.0, True), ("nan", 0, "zero", 0.0, True), ("zero", 0, "x", 0.0, True),
+                   ("x", 0, "x", 3.0 / 5.0, False), ("nan", 1, "y", None, True), ("y", 1, "y", 1.0, False)}
+    with pytest.raises(Exception, match="same length"):
+        on.assign_subtopics(a.unionByName(spark.createDataFrame([("long", 1, [1.0, 2.0, 3.0])], a.schema)), s, 0.3).collect()

@@ -123,3 +123,14 @@ def test_subtopics_of_odd_vectors(spark):
     assert got == [("both", "a", False), ("both", "b", False), ("both", "c", False), ("nan", "a", True), ("none", "a", True),
                    ("zero", "a", True)]
     assert on.assign_subtopics(assign, subs.limit(0)).count() == 0
+
+
+def test_batched_scores_are_the_same_numbers(spark):
+    rows = [(f"f{i}", [float(i % 7) / 3, -float(i % 5) / 7, 1.0 / (i + 1)]) for i in range(30)]
+    rows += [("zero", [0.0] * 3), ("nan", [float("nan")] * 3), ("null", None), ("hole", [1.0, None, 2.0])]
+    files = spark.createDataFrame(rows, "file_id string, vector array<float>").repartition(3)
+    for last in ([0.0, 0.0, 0.0], [0.2, -0.4, 0.1]):
+        domains = spark.createDataFrame([(0, [0.3, 0.1, -0.7]), (1, [-0.9, 0.2, 0.4]), (5, last)], "domain_id int, vector array<float>")
+        for threshold in (0.3, -0.5):
+            one, two = (sorted(map(str, on.assign_domains(files, domains, threshold, batched=b).collect())) for b in (False, True))
+            assert one == two

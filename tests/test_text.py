@@ -112,3 +112,21 @@ def test_texts_are_cut_into_words_a_few_bytes_at_a_time(monkeypatch):
     assert len(out) == 5
     got = [(r["query_id"], r["id"]) for rb in out for r in rb.to_pylist()]
     assert sorted(got) == sorted((q, str(i)) for q in range(9) for i in np.argsort(-(x @ x[q]))[:3])
+
+
+def test_words_are_cut_as_the_pattern_cuts_them():
+    import random
+    import re
+
+    import pyarrow as pa
+
+    from canopy.functions.batches import cut_words
+    from canopy.operators.vectors import TOKEN_SPLIT
+    rng = random.Random(4)
+    for size in (0, 1, 9, 9, 9):
+        texts = [None if rng.random() < 0.2 else "".join(rng.choice("abz09 àßñú÷×ÿþ.€😀\n,ā") for _ in range(rng.randrange(30))) for _ in range(size)]
+        for kind in (pa.string(), pa.large_string()):
+            for skip in (0, min(2, size)):
+                words, rows = cut_words(pa.array(texts, kind).slice(skip))
+                want = [(w, i) for i, t in enumerate(texts[skip:]) for w in re.split(TOKEN_SPLIT, t or "") if w]
+                assert list(zip(words.to_pylist(), rows.tolist())) == want
